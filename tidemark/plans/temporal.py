@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
 from tidemark.functions import normal
-from tidemark.operators import intervals, snapshots
+from tidemark.operators import intervals, snapshots, timestamps
 from tidemark.session import pin
 from tidemark.sources.tables import load
 
@@ -88,3 +88,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(pin(spark), sf_dir, "ticker_overrides").select(normal.ticker(F.col("ticker")).alias("ticker"), "valid_from", "valid_to")
     out = intervals.periods_and_gaps(o, keys=["ticker"], valid_from="valid_from", valid_to="valid_to")
     return out.select("ticker", "kind", F.col("day_from").cast("string").alias("day_from"), F.col("day_to").cast("string").alias("day_to"))
+
+
+@catalog.query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = load(pin(spark), sf_dir, "filings_raw").select("raw_id", "feed", "acceptance_datetime")
+    feeds = load(spark, sf_dir, "feeds")
+    at = timestamps.parse_timestamp(F.col("acceptance_datetime"), F.col("tz_name"), F.col("day_first"))
+    instants = (
+        raw.join(feeds, "feed", "left").withColumn("at", at).where("at.has_time AND at.instant_us IS NOT NULL")
+        .select(F.lit("filings_raw").alias("src"), F.col("raw_id").alias("record_id"), timestamps.iso_utc(F.col("at.instant_us")).alias("norm"))
+    )
+    months = load(spark, sf_dir, "backtest_llm_change_monthly").select("row_id", "rebalance_date")
+    day = F.when(F.col("at.zoned"), normal.day_in_zone(F.timestamp_micros("at.instant_us"))).otherwise(F.date_from_unix_date("at.wall_day"))
+    days = (
+        months.withColumn("at", timestamps.parse_timestamp(F.col("rebalance_date"))).withColumn("day", day).where("day IS NOT NULL")
+        .select(F.lit("backtest_llm_change_monthly").alias("src"), F.col("row_id").alias("record_id"), F.col("day").cast("string").alias("norm"))
+    )
+    return instants.unionByName(days).distinct()
