@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
 from tidemark.functions import normal
-from tidemark.operators import intervals, snapshots, timestamps
-from tidemark.session import pin
+from tidemark.operators import eventtime, intervals, snapshots, timestamps
+from tidemark.session import pin, stage
 from tidemark.sources.tables import load
 
 catalog = Catalog()
+SLICE_DAYS = 512  # width of the time slices of p6
 
 _MEMBERS = """
 WITH raw AS (
@@ -106,3 +107,36 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.lit("backtest_llm_change_monthly").alias("src"), F.col("row_id").alias("record_id"), F.col("day").cast("string").alias("norm"))
     )
     return instants.unionByName(days).distinct()
+
+
+@catalog.query(
+    "p6_found",
+    """
+WITH e AS (SELECT DISTINCT accession, cik, (acceptance_datetime AT TIME ZONE 'America/New_York')::DATE AS day
+           FROM filings WHERE acceptance_datetime IS NOT NULL),
+o AS (SELECT DISTINCT nullif(replace(upper(trim(ticker, ' ' || chr(9))), '-', '.'), '') AS ticker, cik,
+             coalesce(valid_from, DATE '0001-01-01') AS a, coalesce(valid_to, DATE '9999-12-31') AS b FROM ticker_overrides),
+m AS (SELECT DISTINCT snapshot_date, nullif(replace(upper(trim(ticker, ' ' || chr(9))), '-', '.'), '') AS ticker
+      FROM membership WHERE snapshot_date IS NOT NULL),
+cal AS (SELECT snapshot_date, lead(snapshot_date) OVER (ORDER BY snapshot_date) AS nxt FROM (SELECT DISTINCT snapshot_date FROM m))
+SELECT DISTINCT e.accession, e.cik, o.ticker, cal.snapshot_date::VARCHAR AS snapshot_date
+FROM e JOIN o ON o.cik = e.cik AND e.day BETWEEN o.a AND o.b
+JOIN cal ON e.day >= cal.snapshot_date AND (cal.nxt IS NULL OR e.day < cal.nxt)
+JOIN m ON m.snapshot_date = cal.snapshot_date AND m.ticker = o.ticker""",
+)
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filings = load(pin(spark), sf_dir, "filings").where("acceptance_datetime IS NOT NULL AND cik IS NOT NULL")
+    events = filings.select("accession", "cik", normal.day_in_zone(F.col("acceptance_datetime")).alias("day")).distinct()
+    overrides = load(spark, sf_dir, "ticker_overrides").select("cik", normal.ticker(F.col("ticker")).alias("ticker"), "valid_from", "valid_to")
+    held = stage(eventtime.valid_keys(events, overrides, entity="cik", member="ticker", event_time="day", valid_from="valid_from", valid_to="valid_to", slice_days=SLICE_DAYS), "p6-held")
+    listed = members(spark, sf_dir)
+    calendar = snapshots.snapshot_calendar(listed, "snapshot_date")
+    runs = snapshots.version_history(listed, date="snapshot_date", entity="ticker", payload=[], open_end=normal.MAX_DAY)
+    known = eventtime.known_as_of(
+        held, eventtime.presence_versions(runs, ["ticker"], "valid_from", "valid_to"), keys=["ticker"], event_time="day", version_time="known_on", values=["present"], slice_width=SLICE_DAYS
+    ).where("present")
+    in_force = F.col("day") >= F.col("snapshot_date")
+    until = F.col("next_date").isNull() | (F.col("day") < F.col("next_date"))
+    days = known.select("day").distinct()
+    snapshot_of_day = days.join(calendar, in_force & until).select("day", F.col("snapshot_date").cast("string").alias("snapshot_date"))
+    return known.join(snapshot_of_day, "day").select("accession", "cik", "ticker", "snapshot_date").distinct()
