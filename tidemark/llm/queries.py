@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
-from tidemark.llm import nearest_time
+from tidemark.llm import entity_match, nearest_time
 from tidemark.session import pin
+from tidemark.sources.tables import load
 
 catalog = Catalog()
 
@@ -31,3 +32,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     filings = (spark, f"{sf_dir}/filings.parquet", "cik", "acceptance_datetime", "accession")
     pairs = nearest_time.nearest_in_time(signals, filings, tolerance_seconds=12 * 3600)
     return pairs.select(F.col("left_id").cast("bigint").alias("signal_id"), F.col("right_id").alias("accession")).distinct()
+
+
+def company_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(left_id review, right_id vendor, confidence) of all candidate pairs."""
+    pin(spark)
+    name = entity_match.parsed_name
+    review = load(spark, sf_dir, "ticker_map_review").withColumn("n", name(F.col("company"))).select(
+        F.col("review_id").alias("id"), "n.core", "n.trade", "n.form", "n.state", entity_match.symbol_form(F.col("ticker")).alias("symbol"),
+        F.lpad(F.pmod("cik", F.lit(10_000)).cast("string"), 4, "0").alias("tail"), F.year("valid_from").alias("y0"), F.year("valid_to").alias("y1"),
+    )
+    vendor = load(spark, sf_dir, "vendor_issuers").withColumn("n", name(F.col("issuer_name"))).select(
+        F.col("vendor_id").alias("id"), "n.core", "n.trade", "n.form", F.coalesce(F.lower("state"), F.col("n.state")).alias("state"), entity_match.symbol_form(F.col("symbol")).alias("symbol"),
+        F.nullif(F.btrim("reg_tail"), F.lit("")).alias("tail"), F.col("first_year").alias("y0"), F.col("last_year").alias("y1"),
+    )
+    return entity_match.match_entities(review, vendor)
+
+
+@catalog.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sure = company_matches(spark, sf_dir).where(F.col("confidence") >= entity_match.MATCH_AT)
+    return sure.select(F.col("left_id").alias("review_id"), F.col("right_id").alias("vendor_id"))
+
+
+@catalog.query("p3_confidence")
+def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = company_matches(spark, sf_dir)
+    return pairs.select(F.col("left_id").alias("review_id"), F.col("right_id").alias("vendor_id"), F.round("confidence", 6).alias("confidence"))
