@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
-from tidemark.llm import entity_match, nearest_time
+from tidemark.llm import entity_match, nearest_time, spam
 from tidemark.session import pin
 from tidemark.sources.tables import load
 
@@ -59,3 +59,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = company_matches(spark, sf_dir)
     return pairs.select(F.col("left_id").alias("review_id"), F.col("right_id").alias("vendor_id"), F.round("confidence", 6).alias("confidence"))
+
+
+@catalog.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(pin(spark), sf_dir, "documents").where("doc_id IS NOT NULL")
+    return spam.spam_pages(docs).select("doc_id").distinct()
