@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
-from tidemark.llm import entity_match, nearest_time, spam
-from tidemark.session import pin
+from tidemark.functions import normal
+from tidemark.llm import entity_match, mixing, nearest_time, packing, spam, tokens
+from tidemark.session import pin, stage
 from tidemark.sources.tables import load
 
 catalog = Catalog()
@@ -65,3 +66,42 @@ def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(pin(spark), sf_dir, "documents").where("doc_id IS NOT NULL")
     return spam.spam_pages(docs).select("doc_id").distinct()
+
+
+def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, tokens) of all documents, counted once."""
+    source = F.translate(normal.label(F.col("source")), "- ", "__")
+    docs = load(pin(spark), sf_dir, "documents").select("doc_id", source.alias("source"), tokens.token_count(F.col("text")).alias("tokens"))
+    return stage(docs, "sizes")
+
+
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = sized_documents(spark, sf_dir)
+    return packing.pack(sizes.select("doc_id", "tokens"), load(spark, sf_dir, "containers"))
+
+
+@catalog.query("p8_containers")
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(spark, sf_dir)
+
+
+@catalog.query("p8_unused")
+def p8_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.unused_share(packed_documents(spark, sf_dir)).withColumn("unused_share", F.round("unused_share", 6))
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = sized_documents(spark, sf_dir)
+    targets = load(spark, sf_dir, "mix_targets").withColumn("source", F.translate(normal.label(F.col("source")), "- ", "__"))
+    return mixing.mix_sources(sizes, targets)
+
+
+@catalog.query("p9_selection")
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(spark, sf_dir)[0]
+
+
+@catalog.query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = mixed_documents(spark, sf_dir)[1]
+    return shares.withColumn("actual_share", F.round("actual_share", 9)).withColumn("target_tokens", F.round("target_tokens", 3))
