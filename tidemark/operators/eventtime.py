@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.asof import carried_in, slice_of, ticks
 from tidemark.operators.intervals import coverage
 from tidemark.session import stage
 
@@ -28,15 +28,6 @@ def _connection():
     return _connections[0]
 
 
-def _ticks(df: DataFrame, col: str) -> Column:
-    kind = df.schema[col].dataType
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("long")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(col).cast("timestamp"))
-    return F.col(col).cast("long")
-
-
 def known_as_of(
     events: DataFrame,
     versions: DataFrame,
@@ -70,30 +61,20 @@ def known_as_of(
     spark = events.sparkSession
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = {v: v if v not in events.columns else f"{v}_known" for v in values}
-    left = events.withColumn("_t", _ticks(events, event_time))
-    left = left.withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_width)).cast("long"))
+    left = events.withColumn("_t", ticks(events, event_time))
+    left = left.withColumn("_slice", slice_of(F.col("_t"), slice_width))
     present = F.lit(True)
     for k in keys:
         present = present & F.col(k).isNotNull()
     state = F.struct(*[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)], F.lit(0).alias("_one"))
     right = (
         versions.where(present & F.col(version_time).isNotNull())
-        .select(*[F.col(k).alias(k) for k in keys], _ticks(versions, version_time).alias("_t"), state.alias("_s"))
+        .select(*[F.col(k).alias(k) for k in keys], ticks(versions, version_time).alias("_t"), state.alias("_s"))
         .groupBy(*keys, "_t").agg(F.max("_s").alias("_s"))
-        .withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_width)).cast("long"))
+        .withColumn("_slice", slice_of(F.col("_t"), slice_width))
     )
     wanted = left.where(present & F.col("_t").isNotNull()).select(*keys, "_slice").distinct()
-    lasts = right.groupBy(*keys, "_slice").agg(F.max(F.struct("_t", "_s")).alias("_last"))
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    none = F.lit(None).cast(lasts.schema["_last"].dataType)
-    carried = (
-        wanted.withColumn("_wanted", F.lit(1)).withColumn("_last", none)
-        .unionByName(lasts.withColumn("_wanted", F.lit(0)).select(*keys, "_slice", "_wanted", "_last"))
-        .groupBy(*keys, "_slice").agg(F.max("_wanted").alias("_wanted"), F.max("_last").alias("_last"))
-        .withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
-        .where("_wanted = 1 AND _carry IS NOT NULL")
-        .select(*keys, F.col("_carry._t").alias("_t"), F.col("_carry._s").alias("_s"), "_slice")
-    )
+    carried = carried_in(right, wanted, keys)
     right = right.join(wanted, [*keys, "_slice"], "left_semi").select(*keys, "_t", "_s", "_slice").unionByName(carried)
 
     bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
