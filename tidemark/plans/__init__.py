@@ -6,9 +6,9 @@ from tidemark.catalog import Catalog
 
 
 def core() -> Catalog:
-    from tidemark.plans import temporal
+    from tidemark.plans import lookups, temporal
 
     full = Catalog()
-    for part in (temporal,):
+    for part in (temporal, lookups):
         full.include(part.catalog)
     return full
