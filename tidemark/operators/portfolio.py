@@ -108,7 +108,7 @@ def t_stat(mean: Column, sd: Column, n: Column) -> Column:
 def growth(monthly: DataFrame, value: str, groups: Sequence[str] = (), order: str = "date") -> DataFrame:
     """Cumulative growth and drawdown of a period series; the running maximum begins with period 1."""
     w = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    path = monthly.withColumn("growth", F.exp(F.sum(F.log1p(value)).over(w)))
+    path = monthly.withColumn("growth", F.product(1 + F.col(value)).over(w))
     return path.withColumn("drawdown", F.col("growth") / F.max("growth").over(w) - 1)
 
 

@@ -6,9 +6,9 @@ from tidemark.catalog import Catalog
 
 
 def core() -> Catalog:
-    from tidemark.plans import lookups, temporal
+    from tidemark.plans import lookups, study, temporal
 
     full = Catalog()
-    for part in (temporal, lookups):
+    for part in (temporal, lookups, study):
         full.include(part.catalog)
     return full
