@@ -6,9 +6,9 @@ from tidemark.catalog import Catalog
 
 
 def core() -> Catalog:
-    from tidemark.plans import lookups, study, temporal
+    from tidemark.plans import lookups, streams, study, temporal, texts
 
     full = Catalog()
-    for part in (temporal, lookups, study):
+    for part in (temporal, lookups, study, texts, streams):
         full.include(part.catalog)
     return full
