@@ -155,10 +155,16 @@ universe_r AS (SELECT f.accession, f.cik, f.t, f.date_filed, ticker, nullif(symb
 
 
 def universe(spark: SparkSession, d: str) -> DataFrame:
-    """Filings of companies that were members on the day of filing; the first ticker's symbol, one row per accession."""
-    f = roles.filings(spark, d)
-    on_day = pit.members_as_of(f.select(F.col("date_filed").alias("day")), roles.members(spark, d), day="day", date="snapshot_date", member="ticker").select("day", "ticker")
-    held = resolved(on_day, spark, d).where("cik IS NOT NULL")
+    """Filings of companies that were members on the day of filing; the first ticker's symbol, one row per accession.
+
+    A filing meets only the tickers its own company may hold, and of those only the ones in the
+    snapshot in force; which company a ticker meant that day is then settled for these few alone,
+    so nothing is made per day and member.
+    """
+    f, r, m = roles.filings(spark, d), roles.ranges(spark, d), roles.members(spark, d).where("ticker IS NOT NULL")
+    asked = f.select(F.col("date_filed").alias("day"), "cik").where("day IS NOT NULL").distinct().join(pit.in_force(f.select(F.col("date_filed").alias("day")), roles.members(spark, d), day="day", date="snapshot_date"), "day")
+    may_hold = asked.join(r.select("cik", "ticker").distinct(), "cik").join(m, ["snapshot_date", "ticker"], "left_semi")
+    held = resolved(may_hold.select("ticker", "day", F.col("cik").alias("asked_cik")), spark, d).where("cik = asked_cik")
     firms = held.groupBy("day", "cik").agg(F.min(F.struct("ticker", "yahoo_symbol")).alias("m"))
     joined = f.join(firms.select(F.col("day").alias("date_filed"), "cik", "m.ticker", F.col("m.yahoo_symbol").alias("symbol")), ["date_filed", "cik"])
     return pit.first_of(joined, ["accession"], ["cik"]).select("accession", "cik", "t", "date_filed", "ticker", "symbol")
