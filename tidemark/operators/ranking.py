@@ -29,7 +29,9 @@ def rank_correlation(df: DataFrame, groups: Sequence[str], x: str, y: str) -> Da
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     ranked = ok.withColumns({"_rx": average_rank(x, groups), "_ry": average_rank(y, groups)})
     enough = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.when(enough, F.corr("_rx", "_ry")).alias("ic"))
+    # not corr(): it raises where a side does not vary
+    ic = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
+    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.when(enough, ic).alias("ic"))
 
 
 def ic_t(ic: Column, n: Column) -> Column:

@@ -138,7 +138,7 @@ def snapshot_changes(
     )
     bits = [*range(0, leaf_bits, fanout_bits), leaf_bits]
     differing = None
-    for depth in bits:
+    for above, depth in zip([0, *bits], bits):
         shift = leaf_bits - depth
         if shift:
             node = F.shiftright("leaf", shift)
@@ -151,9 +151,8 @@ def snapshot_changes(
             level = leaves.withColumnRenamed("leaf", "node")
         sides = _pairs(level, ["node"], n)
         if differing is not None:
-            up = min(fanout_bits, depth)
             parents = differing.select("pair", F.col("node").alias("_up"))
-            sides = sides.withColumn("_up", F.shiftright("node", up)).join(parents, ["pair", "_up"], "left_semi").drop("_up")
+            sides = sides.withColumn("_up", F.shiftright("node", depth - above)).join(parents, ["pair", "_up"], "left_semi").drop("_up")
         side = F.struct("d1", "d2", "c")
         differing = (
             sides.groupBy("pair", "node")
