@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.session import drop_scratch, scratch_path
 
-END_OF_TIME = "9000-01-01 00:00:00"
+END_OF_TIME = "2260-01-01 00:00:00"  # the latest that workers can hold in nanoseconds is 2262
 _ROWS = pa.schema([("entity", pa.string()), ("ts", pa.int64()), ("id", pa.string())])
 
 
@@ -55,9 +55,9 @@ def _matcher(tolerance_us: int):
         left, right = (_unpack(old[0]), _unpack(old[1])) if old else (_unpack(None), _unpack(None))
         if not state.hasTimedOut:
             rows = pd.concat([*batches])
-            is_left = rows["side"] == "l"
-            left = pd.concat([left, rows.loc[is_left, ["entity", "ts", "id"]]], ignore_index=True)
-            right = pd.concat([right, rows.loc[~is_left, ["entity", "ts", "id"]]], ignore_index=True)
+            of = lambda side: rows.loc[rows["side"] == side, ["entity", "ts", "id"]]
+            left = pd.concat([left, of("l")], ignore_index=True)
+            right = pd.concat([right, of("r")], ignore_index=True)
             right = right.sort_values(["ts", "id"]).drop_duplicates(["entity", "ts"])
         mark = state.getCurrentWatermarkMs() * 1000
         due = left["ts"] + tolerance_us < mark
@@ -78,12 +78,12 @@ def _matcher(tolerance_us: int):
 
 def nearest_stream(rows: DataFrame, *, tolerance_seconds: int, lateness: str, slice_days: int = 32, lanes: int = 16) -> DataFrame:
     """Streaming (left_id, right_id) pairs of a stream (side ``l`` or ``r``, entity string, ts
-    timestamp, id string).
+    timestamp, id string); rows of any other side only move the watermark.
 
     A buffer is keyed by (entity hash, time slice): right rows within the tolerance of a slice's
     edge also go to its neighbour, so a hot entity is spread over its slices, and one slice never
     has to see another.  Rows later than ``lateness`` behind the newest row are too late for the
-    watermark and are dropped by the engine, as are times before 1970; a bounded input is
+    watermark and are dropped by the engine, as are times before 1970 (and from 2260 on); a bounded input is
     therefore run as one batch (:func:`nearest_in_time`).
     """
     tol, width = tolerance_seconds * 1_000_000, slice_days * 86_400_000_000
@@ -134,8 +134,8 @@ def nearest_in_time(left: tuple, right: tuple, *, tolerance_seconds: int, slice_
         ).where("ts IS NOT NULL")
 
     marker = spark.readStream.schema("side string").parquet(f"{base}/end").select(
-        "side", F.lit("").alias("entity"), F.lit(END_OF_TIME).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("id")
-    )
+        "side", F.lit("").alias("entity"), F.lit(END_OF_TIME).cast("timestamp").alias("ts"), F.lit("").alias("id")
+    )  # no null: the marker must pass every filter to move the watermark
     rows = stream(left, "l").unionByName(stream(right, "r")).unionByName(marker)
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = nearest_stream(rows, tolerance_seconds=tolerance_seconds, lateness="0 seconds", slice_days=slice_days, lanes=lanes)
