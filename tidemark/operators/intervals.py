@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.normal import MAX_DAY, MIN_DAY
+from tidemark.session import stage
 
 FIRST = -719162  # days from 1970-01-01 to 0001-01-01
 
@@ -82,7 +83,7 @@ def coverage(df: DataFrame, *, keys: Sequence[str], valid_from: str, valid_to: s
     )
     lo, hi = _start(F.col("_shard"), shard_days), _start(F.col("_shard") + 1, shard_days)
     touches = (F.col("_a") == lo) | (F.col("_b") >= hi)
-    settled = settled.withColumn("_edge", touches)
+    settled = stage(settled.withColumn("_edge", touches), "settled")  # read twice, and once more by the gaps
     stitch = W.partitionBy(*keys).orderBy("_a", "_b")
     edge = (
         settled.where("_edge")

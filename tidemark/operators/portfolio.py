@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.pit import in_force
 from tidemark.operators.ranking import bucket, rank_correlation
+from tidemark.session import stage
 
 
 def rebalance_dates(calendar: DataFrame, *, date: str = "date", every: int = 1) -> DataFrame:
@@ -31,9 +33,9 @@ def period_returns(prices: DataFrame, dates: DataFrame) -> DataFrame:
     """
     clean = prices.where("adj_close IS NOT NULL AND NOT isnan(adj_close)").groupBy("date", "symbol").agg(F.avg("adj_close").alias("p"))
     spans = dates.where("next_date IS NOT NULL").select(F.col("date").alias("t"), F.col("next_date").alias("t1"))
-    days = clean.select("date").distinct()
-    period = days.join(spans, (F.col("date") > F.col("t")) & (F.col("date") <= F.col("t1"))).select("date", "t")
-    ends = clean.join(period, "date").groupBy("t", "symbol").agg(F.max_by("p", "date").alias("p1"))
+    before = clean.select(F.date_sub("date", 1).alias("eve"))
+    period = in_force(before, spans, day="eve", date="t").select(F.date_add("eve", 1).alias("date"), "t")
+    ends = clean.join(period, "date").join(spans, "t").where("date <= t1").groupBy("t", "symbol").agg(F.max_by("p", "date").alias("p1"))
     starts = clean.join(spans.select(F.col("t").alias("date")), "date").select(F.col("date").alias("t"), "symbol", F.col("p").alias("p0"))
     return starts.join(ends, ["t", "symbol"], "left").select(
         F.col("t").alias("date"), "symbol", F.coalesce(F.col("p1") / F.when(F.col("p0") != 0, F.col("p0")) - 1, F.lit(0.0)).alias("ret")
@@ -66,7 +68,7 @@ def long_short(panel: DataFrame, *, q: int = 5, min_stocks: int = 100, cost_bp:
     Periods with fewer than ``min_stocks`` usable rows are left out.  No row's state depends on
     more than the period before, so all periods are computed at once.
     """
-    legs = _legs(panel, q, min_stocks, size)
+    legs = stage(_legs(panel, q, min_stocks, size), "legs")  # read by returns, trades, quantiles and ranks
     periods = legs.select("date").distinct().withColumn("i", F.row_number().over(W.orderBy("date")))
     leg = F.when(F.col("q") == q, 1).when(F.col("q") == 1, -1)
     base = F.col(size) if size else F.lit(1.0)
@@ -75,11 +77,10 @@ def long_short(panel: DataFrame, *, q: int = 5, min_stocks: int = 100, cost_bp:
     grown = F.col("w") * (1 + F.coalesce("ret", F.lit(0.0)))
     drifted = held.withColumn("w_prev", grown / F.sum(grown).over(W.partitionBy("date", "leg"))).select((F.col("i") + 1).alias("i"), "leg", "cik", "w_prev")
     target = held.select("i", "leg", "cik", "w")
-    last = periods.agg(F.max("i").alias("last"))
     trades = (
         target.join(drifted, ["i", "leg", "cik"], "full")
         .groupBy("i").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("w_prev", F.lit(0.0)))).alias("traded"))
-        .join(last, F.col("i") <= F.col("last")).drop("last")
+        .join(periods.select("i"), "i", "left_semi")  # the last targets drift into no period
     )
     returns = held.groupBy("date", "i").agg(
         _leg_return(1).alias("ret_long"), _leg_return(-1).alias("ret_short"),

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.normal import MAX_DAY
+from tidemark.session import stage
 
 
 def snapshot_calendar(df: DataFrame, date: str) -> DataFrame:
@@ -136,6 +137,7 @@ def snapshot_changes(
         F.bit_xor(_digest([F.col("_e"), *parts], "b")).alias("d2"),
         F.count(F.lit(1)).alias("c"),
     )
+    leaves = stage(leaves, "digests")  # small, and read once per level
     bits = [*range(0, leaf_bits, fanout_bits), leaf_bits]
     differing = None
     for above, depth in zip([0, *bits], bits):

@@ -116,8 +116,10 @@ def signals_on(dates: DataFrame, signals: DataFrame) -> DataFrame:
     span = W.partitionBy("cik").orderBy("known_day")
     until = F.least(F.coalesce(F.lead("known_day").over(span), F.date_add("known_day", MAX_AGE)), F.date_add("known_day", MAX_AGE))
     held = daily.withColumn("until", until)
+    months = F.sequence(F.trunc("known_day", "MM"), F.trunc("until", "MM"), F.expr("INTERVAL 1 MONTH"))
+    reach = held.withColumn("_m", F.explode(months))
     on = (F.col("date") > F.col("known_day")) & (F.col("date") <= F.col("until"))
-    return dates.select("date").join(held, on).select("date", "cik", "known_day", "score")
+    return dates.select("date", F.trunc("date", "MM").alias("_m")).join(reach, "_m").where(on).select("date", "cik", "known_day", "score")
 
 
 @catalog.query("signals_as_of", f"WITH {roles.ctes('monthly', 'signals')}, {_RETURNS_SQL}, {_SIGNALS_SQL} SELECT t::VARCHAR AS date, cik, known_day::VARCHAR AS known_day, round(score, 6) AS score FROM asof_r")
@@ -252,9 +254,10 @@ v AS (SELECT variant, ic, ret_ls - turnover * 4 * bp * 1e-4 AS net FROM monthly_
 SELECT variant, count(*) AS periods, round(avg(ic), 6) AS mean_ic, round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(12) END, 6) AS sharpe_net FROM v GROUP BY variant""",
 )
 def variant_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Costs and subperiods as rows of parameters, joined to the one base run (a few rows a month)."""
-    grid = spark.createDataFrame([(n, c, a or normal.MIN_DAY, b or normal.MAX_DAY) for n, c, a, b in _GRID], "variant string, bp double, a string, b string")
-    v = monthly(spark, d).join(F.broadcast(grid), F.col("date").between(F.col("a").cast("date"), F.col("b").cast("date")))
+    """Costs and subperiods as parameters of the rows of one base run."""
+    day = lambda x: F.lit(x).cast("date")
+    grid = [F.struct(F.lit(n).alias("variant"), F.lit(c).alias("bp"), day(a or normal.MIN_DAY).alias("a"), day(b or normal.MAX_DAY).alias("b")) for n, c, a, b in _GRID]
+    v = monthly(spark, d).select("*", F.inline(F.array(*grid))).where("date BETWEEN a AND b")
     net = F.col("ret_ls") - F.col("turnover") * 4 * F.col("bp") * 1e-4
     v = v.withColumn("net", net)
     sharpe = F.when(F.stddev_samp("net") > 0, F.avg("net") / F.stddev_samp("net") * 12**0.5)
@@ -352,8 +355,8 @@ SELECT period, count(*) AS n, sum(has_price::INT) AS n_priced, round(avg(has_pri
 )
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping labelled periods, ends included."""
-    periods = spark.createDataFrame(_PERIODS, "period string, a string, b string")
-    c = coverage(spark, d).join(F.broadcast(periods), F.col("month").between(F.col("a").cast("date"), F.col("b").cast("date")))
+    periods = [F.struct(F.lit(n).alias("period"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for n, a, b in _PERIODS]
+    c = coverage(spark, d).select("*", F.inline(F.array(*periods))).where("month BETWEEN a AND b")
     why = lambda r: F.count(F.when(F.col("missing_reason") == r, 1)).alias(r)
     priced = F.col("has_price").cast("int")
     return c.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum(priced).alias("n_priced"), F.round(F.avg(priced), 6).alias("share"), why("no_cik"), why("no_symbol"), why("no_price"))

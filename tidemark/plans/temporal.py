@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
 from tidemark.functions import normal
-from tidemark.operators import eventtime, intervals, snapshots, timestamps
+from tidemark.operators import eventtime, intervals, pit, snapshots, timestamps
 from tidemark.session import pin, stage
 from tidemark.sources.tables import load
 
@@ -130,13 +130,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     overrides = load(spark, sf_dir, "ticker_overrides").select("cik", normal.ticker(F.col("ticker")).alias("ticker"), "valid_from", "valid_to")
     held = stage(eventtime.valid_keys(events, overrides, entity="cik", member="ticker", event_time="day", valid_from="valid_from", valid_to="valid_to", slice_days=SLICE_DAYS), "p6-held")
     listed = members(spark, sf_dir)
-    calendar = snapshots.snapshot_calendar(listed, "snapshot_date")
     runs = snapshots.version_history(listed, date="snapshot_date", entity="ticker", payload=[], open_end=normal.MAX_DAY)
     known = eventtime.known_as_of(
         held, eventtime.presence_versions(runs, ["ticker"], "valid_from", "valid_to"), keys=["ticker"], event_time="day", version_time="known_on", values=["present"], slice_width=SLICE_DAYS
     ).where("present")
-    in_force = F.col("day") >= F.col("snapshot_date")
-    until = F.col("next_date").isNull() | (F.col("day") < F.col("next_date"))
-    days = known.select("day").distinct()
-    snapshot_of_day = days.join(calendar, in_force & until).select("day", F.col("snapshot_date").cast("string").alias("snapshot_date"))
-    return known.join(snapshot_of_day, "day").select("accession", "cik", "ticker", "snapshot_date").distinct()
+    snapshot_of_day = pit.in_force(events, listed, day="day", date="snapshot_date")
+    return known.join(snapshot_of_day, "day").select("accession", "cik", "ticker", F.col("snapshot_date").cast("string").alias("snapshot_date")).distinct()
