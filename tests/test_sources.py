@@ -116,3 +116,81 @@ def test_price_source(spark, tmp_path):
 def test_zoneless_times_are_utc(spark, tmp_path):
     spark.sql("SELECT TIMESTAMP_NTZ'2020-01-01 00:00:00' AS t").write.parquet(str(tmp_path / "x.parquet"))
     assert load(spark, str(tmp_path), "x").dtypes == [("t", "timestamp")]
+
+
+class Clock:
+    def __init__(self):
+        self.now, self.slept = 0.0, []
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, s):
+        self.slept.append(round(s, 6))
+        self.now += s
+
+
+def test_rate_limit_books_slots():
+    from tidemark.sources.fetch import RateLimiter
+
+    c = Clock()
+    lim = RateLimiter(4, c, c.sleep)
+    for _ in range(3):
+        lim.wait()
+    c.now += 10
+    lim.wait()
+    assert c.slept == [0.25, 0.25]
+
+
+def client(tmp_path, replies, clock):
+    from tidemark.sources.fetch import CachedClient, RateLimiter
+
+    calls = []
+
+    def opener(url):
+        calls.append(url)
+        return replies[min(len(calls), len(replies)) - 1]
+
+    return CachedClient(opener, str(tmp_path), RateLimiter(1000, clock, clock.sleep), sleep=clock.sleep), calls
+
+
+def test_client_retries_caches_and_gives_up(tmp_path):
+    from tidemark.sources.fetch import FetchError
+
+    c = Clock()
+    ok, calls = client(tmp_path / "a", [(503, b""), (429, b""), (200, b"body")], c)
+    assert ok.get("u", "k") == b"body" and ok.get("u", "k") == b"body" and len(calls) == 3 and {1.0, 2.0} <= set(c.slept)
+    bad, calls = client(tmp_path / "b", [(404, b"")], c)
+    with pytest.raises(FetchError, match="404"):
+        bad.get("u", "k")
+    assert len(calls) == 1 and not list((tmp_path / "b").glob("*"))
+
+
+def test_fetch_all_keeps_errors(spark, tmp_path):
+    from tidemark.sources import fetch
+
+    folder = str(tmp_path / "c")
+
+    def make():
+        return fetch.CachedClient(lambda url: (200, b"x") if url.startswith("good") else (404, b""), folder, fetch.RateLimiter(1000))
+
+    df = spark.createDataFrame([("good1", "a"), ("bad", "b"), ("good1", "a")], "url string, key string")
+    out = {r["key"]: (r["doc_path"] is not None, r["fetch_error"]) for r in fetch.fetch_all(df, make, url="url", key="key").collect()}
+    assert out == {"a": (True, None), "b": (False, "FetchError: bad: status 404")}
+
+
+def test_config(tmp_path):
+    from tidemark.config import load_config
+
+    (tmp_path / "c.json").write_text('{"portfolio": {"cost_bp": 5}}')
+    c = load_config(str(tmp_path / "c.json"), {"TIDEMARK_PORTFOLIO__QUANTILES": "10", "OTHER": "x"})
+    assert c["portfolio"]["cost_bp"] == 5 and c["portfolio"]["quantiles"] == 10 and c["pairs"]["min_gap_days"] == 270
+    with pytest.raises(KeyError):
+        load_config(env={"TIDEMARK_PORTFOLIO__NOPE": "1"})
+
+
+def test_stages_name_known_queries():
+    from tidemark.__main__ import STAGES
+    from tidemark.plans import core
+
+    assert {q for qs in STAGES.values() for q in qs} <= set(core().queries)

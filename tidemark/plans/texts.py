@@ -496,3 +496,55 @@ def growth_by_variant(spark: SparkSession, d: str) -> DataFrame:
     return portfolio.growth(v, "ret_ls", ["variant"], "at").select("variant", "row_id", F.round("growth", 6).alias("growth"))
 
 
+
+
+SCOPE = ("2015-01-01", "2018-12-31")
+
+
+@catalog.query(
+    "scoring_scope",
+    f"""WITH {roles.ctes('filings', 'members', 'calendar', 'ranges')}, {lookups.UNIVERSE_SQL}, {lookups.PREV_SQL},
+inside AS (SELECT accession FROM universe_r WHERE t IS NOT NULL AND {roles.NY_SQL.format('t')}::DATE BETWEEN DATE '{SCOPE[0]}' AND DATE '{SCOPE[1]}')
+SELECT accession FROM inside UNION SELECT prev_accession FROM prev_r WHERE accession IN (FROM inside) AND prev_accession IS NOT NULL""",
+)
+def scoring_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Universe filings accepted within a period of New York days, both included, and their predecessors."""
+    day = normal.day_in_zone(F.col("t"))
+    inside = lookups.universe(spark, d).where(day.between(*[F.lit(x).cast("date") for x in SCOPE])).select("accession")
+    before = lookups.previous_filings(spark, d).join(inside, "accession", "left_semi").where("prev_accession IS NOT NULL")
+    return inside.unionByName(before.select(F.col("prev_accession").alias("accession"))).distinct()
+
+
+CUTOFF = 2018
+
+
+@catalog.query("memorization_cells")
+def memorization_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of original and masked excerpts side by side, before and after a cutoff year: rank
+    agreement, mean shift, and how the shift differs between the two."""
+    s = roles.filings(spark, d).select("accession", "cik", F.year("date_filed").alias("year")).join(sections(spark, d), ["accession", "cik"])
+    s = s.withColumn("excerpt", excerpts.excerpt(F.col("text"))["excerpt"]).join(identities(spark, d), "cik", "left")
+    s = s.withColumn("key", F.concat_ws("|", "accession", "cik"))
+    masked = masking.mask_documents(s, ident="key", text="excerpt", names="names", tickers="tickers").select("key", "masked")
+    score = lambda df, text, suffix: excerpts.score_excerpts(df, excerpts.CountingBackend, ident="key", text=text).where("status = 'valid'").select(
+        "key", ((F.col("hedging") + F.col("risk_severity") - F.col("tone")) / 3).alias(f"pessimism_{suffix}")
+    )
+    both = score(s.select("key", "excerpt"), "excerpt", "original").join(score(masked, "masked", "masked"), "key").join(s.select("key", "year"), "key")
+    both = both.withColumn("cell", F.when(F.col("year") <= CUTOFF, "pre").otherwise("post"))
+    shift = F.col("pessimism_masked") - F.col("pessimism_original")
+    out = ranking.rank_correlation(both, ["cell"], "pessimism_original", "pessimism_masked").withColumnRenamed("ic", "spearman")
+    gap = both.groupBy("cell").agg(F.avg(shift).alias("mean_shift"), F.avg(F.abs(shift)).alias("mean_abs_shift"))
+    means = both.agg((F.avg(F.when(F.col("cell") == "pre", shift)) - F.avg(F.when(F.col("cell") == "post", shift))).alias("difference"))
+    return out.join(gap, "cell").join(F.broadcast(means))  # means: one row
+
+
+@catalog.query(
+    "clears_bars",
+    f"""WITH {_VARIANTS_SQL}, m AS (SELECT variant, count(*) AS n, avg(ret_ls_net) AS mu, stddev_samp(ret_ls_net) AS sd FROM variants_r GROUP BY variant)
+SELECT variant, CASE WHEN mu / (sd / sqrt(n)) > 2 THEN 'clear' WHEN mu > 0 THEN 'weak' ELSE 'none' END AS verdict FROM m""",
+)
+def clears_bars(spark: SparkSession, d: str) -> DataFrame:
+    """A verdict per variant: net return significant, positive, or neither."""
+    m = variants(spark, d).groupBy("variant").agg(F.avg("ret_ls_net").alias("mu"), F.stddev_samp("ret_ls_net").alias("sd"), F.count(F.lit(1)).alias("n"))
+    t = portfolio.t_stat(F.col("mu"), F.col("sd"), F.col("n"))
+    return m.select("variant", F.when(t > 2, "clear").when(F.col("mu") > 0, "weak").otherwise("none").alias("verdict"))
