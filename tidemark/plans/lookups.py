@@ -31,10 +31,10 @@ def previous_filings(spark: SparkSession, d: str) -> DataFrame:
 
 
 PREV_SQL = f"""prev_k AS (SELECT cik, t AS prev_t, max(accession) AS prev_accession FROM filings_r WHERE t IS NOT NULL GROUP BY cik, t),
-cut_r AS (SELECT accession, cik, t, t - INTERVAL {MIN_GAP} DAY AS cutoff FROM filings_r WHERE t IS NOT NULL),
+cut_r AS (SELECT accession, cik, t, t - INTERVAL {MIN_GAP * 24} HOUR AS cutoff FROM filings_r WHERE t IS NOT NULL),
 prev_j AS (SELECT c.*, p.prev_t, p.prev_accession FROM cut_r c ASOF LEFT JOIN prev_k p ON c.cik = p.cik AND c.cutoff >= p.prev_t),
-prev_r AS (SELECT accession, cik, t, CASE WHEN t - prev_t <= INTERVAL {MAX_GAP} DAY THEN prev_accession END AS prev_accession,
-                  CASE WHEN t - prev_t <= INTERVAL {MAX_GAP} DAY THEN prev_t END AS prev_t FROM prev_j)"""
+prev_r AS (SELECT accession, cik, t, CASE WHEN epoch_us(t) - epoch_us(prev_t) <= {MAX_GAP * DAY_US} THEN prev_accession END AS prev_accession,
+                  CASE WHEN epoch_us(t) - epoch_us(prev_t) <= {MAX_GAP * DAY_US} THEN prev_t END AS prev_t FROM prev_j)"""
 
 
 @catalog.query("prev_filing_asof", f"WITH {roles.ctes('filings')}, {PREV_SQL} SELECT accession, cik, epoch_us(t) AS t_us, prev_accession, epoch_us(prev_t) AS prev_us FROM prev_r")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import Catalog
 from tidemark.functions import normal
 from tidemark.operators import eventtime, intervals, pit, snapshots, timestamps
+from tidemark.plans import timestamp_sql
 from tidemark.session import pin, stage
 from tidemark.sources.tables import load
 
@@ -91,7 +92,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ticker", "kind", F.col("day_from").cast("string").alias("day_from"), F.col("day_to").cast("string").alias("day_to"))
 
 
-@catalog.query("p7_found")
+@catalog.query("p7_found", timestamp_sql.sql())
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = load(pin(spark), sf_dir, "filings_raw").select("raw_id", "feed", "acceptance_datetime")
     feeds = load(spark, sf_dir, "feeds")
