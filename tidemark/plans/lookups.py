@@ -279,7 +279,7 @@ def symbol_resolution(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {roles.ctes('daily', 'ranges')}, span AS (SELECT symbol, min(date) AS lo, max(date) AS hi FROM daily_r GROUP BY symbol),
 tm AS (SELECT ticker, cik, coalesce(valid_from, DATE '0001-01-01') AS a, coalesce(valid_to, DATE '9999-12-31') AS b, cik % (SELECT count(*) FROM supplier) + 1 AS symbol FROM ranges_r),
 v AS (SELECT tm.*, coalesce(lo > b OR hi < a, false) AS bad FROM tm LEFT JOIN span USING (symbol))
-SELECT symbol, count(*) AS n_ranges, sum(bad::INT) AS n_bad, NOT bool_and(bad) AS kept FROM v GROUP BY symbol""",
+SELECT symbol, count(*) AS n_ranges, sum(bad::INT)::BIGINT AS n_bad, NOT bool_and(bad) AS kept FROM v GROUP BY symbol""",
 )
 def symbol_vetting(spark: SparkSession, d: str) -> DataFrame:
     """Series that overlap none of the ranges they are meant for are rejected; one good range keeps a symbol."""

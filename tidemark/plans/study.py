@@ -350,7 +350,7 @@ _PERIODS = [("all", "2012-01-01", "2018-12-31"), ("early", "2012-01-01", "2015-1
 @catalog.query(
     "coverage_summary",
     f"""WITH {_COVER_CTES}, periods(period, a, b) AS (VALUES {', '.join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _PERIODS)})
-SELECT period, count(*) AS n, sum(has_price::INT) AS n_priced, round(avg(has_price::INT), 6) AS share, count(*) FILTER (WHERE missing_reason = 'no_cik') AS no_cik,
+SELECT period, count(*) AS n, sum(has_price::INT)::BIGINT AS n_priced, round(avg(has_price::INT), 6) AS share, count(*) FILTER (WHERE missing_reason = 'no_cik') AS no_cik,
   count(*) FILTER (WHERE missing_reason = 'no_symbol') AS no_symbol, count(*) FILTER (WHERE missing_reason = 'no_price') AS no_price FROM cover_r JOIN periods ON month BETWEEN a AND b GROUP BY period""",
 )
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:

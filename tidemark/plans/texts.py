@@ -190,7 +190,17 @@ def forward_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("doc_id").agg(F.sum(F.size("p")).alias("paragraphs"), F.sum(F.size(F.filter("p", lambda x: x["p"].rlike(excerpts.FORWARD)))).alias("forward"))
 
 
-@catalog.query("excerpt")
+@catalog.query(
+    "excerpt",
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, i, l[i] AS p, list_filter(regexp_split_to_array(l[i], '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
+k AS (SELECT *, len(w) AS n, regexp_matches(p, '\\b(?:expect\\w*|anticipat\\w*|outlook\\w*|believ\\w*)\\b', 'i') AS ahead FROM p WHERE len(w) >= 8),
+v AS (SELECT 1 AS m, * FROM k WHERE ahead UNION ALL SELECT 2, * FROM k),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id, m ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before FROM v),
+f AS (SELECT doc_id, m, string_agg(CASE WHEN before + n <= 120 THEN p ELSE array_to_string(w[1:120 - before], ' ') END, chr(10) || chr(10) ORDER BY i) AS excerpt, sum(least(n, 120 - before))::INT AS used FROM c WHERE before < 120 GROUP BY doc_id, m)
+SELECT d.doc_id, coalesce(CASE WHEN a.used >= 40 THEN a.excerpt ELSE o.excerpt END, '') AS excerpt, CASE WHEN a.used >= 40 THEN 'forward_looking' ELSE 'opening_fallback' END AS method, coalesce(CASE WHEN a.used >= 40 THEN a.used ELSE o.used END, 0) AS tokens
+FROM l d LEFT JOIN f a ON a.doc_id = d.doc_id AND a.m = 1 LEFT JOIN f o ON o.doc_id = d.doc_id AND o.m = 2""",
+)
 def excerpt(spark: SparkSession, d: str) -> DataFrame:
     docs = load(pin(spark), d, "documents").where("text IS NOT NULL")
     return docs.select("doc_id", excerpts.excerpt(F.col("text"), 120, 40).alias("e")).select("doc_id", "e.*")
@@ -282,10 +292,10 @@ def identities(spark: SparkSession, d: str) -> DataFrame:
 
 @catalog.query(
     "filing_identities",
-    f"SELECT cik, list_sort(list(DISTINCT company) FILTER (WHERE company IS NOT NULL)) AS names, coalesce(list_sort(list(DISTINCT {roles.TICKER_SQL.replace('ticker', 'symbol')}) FILTER (WHERE {roles.TICKER_SQL.replace('ticker', 'symbol')} IS NOT NULL)), []) AS tickers FROM filings WHERE cik IS NOT NULL GROUP BY cik",
+    f"SELECT cik, coalesce(string_agg(DISTINCT company, '|' ORDER BY company), '') AS names, coalesce(string_agg(DISTINCT {roles.TICKER_SQL.replace('ticker', 'symbol')}, '|' ORDER BY {roles.TICKER_SQL.replace('ticker', 'symbol')}), '') AS tickers FROM filings WHERE cik IS NOT NULL GROUP BY cik",
 )
 def filing_identities(spark: SparkSession, d: str) -> DataFrame:
-    return identities(spark, d)
+    return identities(spark, d).select("cik", *[F.concat_ws("|", c).alias(c) for c in ("names", "tickers")])
 
 
 @catalog.query("entity_mask")

@@ -49,8 +49,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/tidemark-{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/tidemark-{tag}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the intermediate tables made so far; results read from them are gone with them."""
+    while _made:
+        drop_scratch(spark, _made.pop())
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
