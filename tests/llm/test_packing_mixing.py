@@ -67,6 +67,7 @@ def test_mix(spark):
     assert got["m", "big"]["tokens"] == pytest.approx(200_000, rel=0.01) and got["m", "small"]["tokens"] == pytest.approx(120_000, rel=0.02)
     assert got["m", "tiny"]["is_short"] and got["m", "tiny"]["n_used"] == 10 and not got["m", "big"]["is_short"]
     assert got["m2", "absent"]["tokens"] == 0 and got["m2", "absent"]["is_short"] and got["m2", "small"]["tokens"] == 0
+    assert got["m", "tiny"]["exact_up_to"] == pytest.approx(2 * sum(t or 0 for _, src, t in docs if src == "tiny") / 0.2) and got["m2", "small"]["exact_up_to"] is None
     s = selection.toPandas()
     assert s.groupby(["mix", "source", "doc_id"]).size().groupby(["mix", "source"]).max().to_dict() == {("m", "big"): 3, ("m", "small"): s[s["source"] == "small"].groupby("doc_id").size().max(), ("m", "tiny"): 2, ("m2", "big"): 1}
     assert not s.duplicated(["mix", "doc_id", "repeat_no"]).any() and s["repeat_no"].le(8).all()

@@ -61,7 +61,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None
     selection: (mix, source, doc_id, repeat_no, tokens, shuffle_key), in the order of
     ``shuffle_key``, a hash that spreads all copies over the whole mix.
     shares: (mix, source, target_share, target_tokens, tokens, actual_share, max_repeats, n_docs,
-    n_used, is_short), a row for each target, also where the source has no document.
+    n_used, is_short, exact_up_to), a row for each target, also where the source has no document;
+    ``exact_up_to`` is the largest total at which this source is not short.
 
     Method: a document's number of repetitions is the Poisson quantile of its hashed uniform
     number, cut at ``max_repeats``.  The rate first gives the wanted mean under that cut; as few
@@ -117,13 +118,13 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None
     )
     used = counted.groupBy("mix", "source").agg(F.sum(F.col("tokens") * F.col("n")).alias("tokens"), F.count(F.lit(1)).alias("n_used"))
     asked = spark.createDataFrame(
-        [(p["mix"], p["source"], p["share"], p["wanted"], p["cap"], sizes.get(p["source"], (0, 0))[1], p["wanted"] > p["cap"] * p["have"]) for p in plan],
-        "mix string, source string, target_share double, target_tokens double, max_repeats int, n_docs bigint, is_short boolean",
+        [(p["mix"], p["source"], p["share"], p["wanted"], p["cap"], sizes.get(p["source"], (0, 0))[1], p["wanted"] > p["cap"] * p["have"], p["cap"] * p["have"] / p["share"] if p["share"] else None) for p in plan],
+        "mix string, source string, target_share double, target_tokens double, max_repeats int, n_docs bigint, is_short boolean, exact_up_to double",
     )
     joined = asked.join(used, ["mix", "source"], "left").na.fill(0, ["tokens", "n_used"])
     totals = joined.groupBy("mix").agg(F.sum("tokens").alias("all_tokens"))
     shares = joined.join(totals, "mix").select(
         "mix", "source", "target_share", "target_tokens", "tokens",
-        F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"), "max_repeats", "n_docs", "n_used", "is_short",
+        F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"), "max_repeats", "n_docs", "n_used", "is_short", "exact_up_to",
     )
     return selection, shares

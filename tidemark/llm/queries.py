@@ -104,4 +104,4 @@ def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.query("p9_shares")
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = mixed_documents(spark, sf_dir)[1]
-    return shares.withColumn("actual_share", F.round("actual_share", 9)).withColumn("target_tokens", F.round("target_tokens", 3))
+    return shares.withColumn("actual_share", F.round("actual_share", 9)).withColumns({c: F.round(c, 3) for c in ("target_tokens", "exact_up_to")})
