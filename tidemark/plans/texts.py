@@ -11,7 +11,7 @@ from tidemark.operators import documents, excerpts, masking, portfolio, ranking,
 from tidemark.plans import lookups, roles, study
 from tidemark.session import pin
 from tidemark.sources import parsers, sinks
-from tidemark.sources.tables import load
+from tidemark.sources.tables import load, load_texts
 
 catalog = Catalog()
 MAX_RATIO = 3.0
@@ -247,7 +247,7 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("section_extract")
 def section_extract(spark: SparkSession, d: str) -> DataFrame:
     """Item sections cut out of whole filings, each rebuilt as a page around a document's text."""
-    docs = load(pin(spark), d, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    docs = load_texts(pin(spark), d, "documents", "doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
     body = F.regexp_replace("text", "\n", "</p><p>")
     page = F.concat(
         F.lit("<html><body><p>Item 1. Business</p><p>We make things.</p><p>Item 7. Management's Discussion and Analysis</p><p>"), body,
@@ -301,7 +301,7 @@ def filing_identities(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("entity_mask")
 def entity_mask(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its company's names and tickers masked; what leaks through is counted."""
-    docs = load(pin(spark), d, "documents").where("text IS NOT NULL").select("doc_id", "cik", "text").join(identities(spark, d), "cik", "left")
+    docs = load_texts(pin(spark), d, "documents", "doc_id", "cik", "text").where("text IS NOT NULL").join(identities(spark, d), "cik", "left")
     out = masking.mask_documents(docs, ident="doc_id", text="text", names="names", tickers="tickers")
     return out.withColumn("masked", F.md5("masked"))
 
