@@ -9,7 +9,7 @@ from tidemark.catalog import Catalog
 from tidemark.functions import normal
 from tidemark.llm import entity_match, mixing, nearest_time, packing, spam, tokens
 from tidemark.session import pin, stage
-from tidemark.sources.tables import load
+from tidemark.sources.tables import load, load_texts
 
 catalog = Catalog()
 
@@ -64,14 +64,14 @@ def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.query("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(pin(spark), sf_dir, "documents").where("doc_id IS NOT NULL")
+    docs = load_texts(pin(spark), sf_dir, "documents", "doc_id", "text").where("doc_id IS NOT NULL")
     return spam.spam_pages(docs).select("doc_id").distinct()
 
 
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, tokens) of all documents, counted once."""
     source = F.translate(normal.label(F.col("source")), "- ", "__")
-    docs = load(pin(spark), sf_dir, "documents").select("doc_id", source.alias("source"), tokens.token_count(F.col("text")).alias("tokens"))
+    docs = load_texts(pin(spark), sf_dir, "documents", "doc_id", "source", "text").select("doc_id", source.alias("source"), tokens.token_count(F.col("text")).alias("tokens"))
     return stage(docs, "sizes")
 
 
