@@ -59,7 +59,7 @@ def known_as_of(
     """
     keys, values = list(keys), list(values)
     spark = events.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = {v: v if v not in events.columns else f"{v}_known" for v in values}
     left = events.withColumn("_t", ticks(events, event_time))
     left = left.withColumn("_slice", slice_of(F.col("_t"), slice_width))
