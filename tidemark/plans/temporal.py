@@ -127,7 +127,7 @@ JOIN m ON m.snapshot_date = cal.snapshot_date AND m.ticker = o.ticker""",
 )
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     filings = load(pin(spark), sf_dir, "filings").where("acceptance_datetime IS NOT NULL AND cik IS NOT NULL")
-    events = filings.select("accession", "cik", normal.day_in_zone(F.col("acceptance_datetime")).alias("day")).distinct()
+    events = stage(filings.select("accession", "cik", normal.day_in_zone(F.col("acceptance_datetime")).alias("day")).distinct(), "p6-events")
     overrides = load(spark, sf_dir, "ticker_overrides").select("cik", normal.ticker(F.col("ticker")).alias("ticker"), "valid_from", "valid_to")
     held = stage(eventtime.valid_keys(events, overrides, entity="cik", member="ticker", event_time="day", valid_from="valid_from", valid_to="valid_to", slice_days=SLICE_DAYS), "p6-held")
     listed = members(spark, sf_dir)
