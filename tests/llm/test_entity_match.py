@@ -105,3 +105,25 @@ def test_a_crowded_block_asks_for_more_agreement(spark):
     wide = {tuple(x) for x in em.candidates(a, b).collect()}
     tight = {tuple(x) for x in em.candidates(a, b, crowded=100).collect()}
     assert tight < wide and {(i, i) for i in range(80)} <= tight and len(tight) < 0.6 * len(wide)
+
+
+def test_a_company_with_most_rows_keeps_all_its_pairs(spark):
+    """Every block of one company is crowded; its rows lack form, trade and state, and last years differ or miss."""
+    left, right = companies(7, 150), companies(8, 150)
+    right[:100] = [dict(c) for c in left[:100]]
+    hot = {"core": "qualopter", "trade": None, "form": None, "state": None, "symbol": "QUA1", "tail": "0815", "y0": 2010}
+    a = [dict(hot, y1=(None, 2014, 2016)[i % 3]) for i in range(1050)] + left
+    b = [dict(hot, y1=(None, 2018)[i % 2]) for i in range(1050)] + right
+    out = em.match_entities(frame(spark, a), frame(spark, b)).where(f"confidence >= {em.MATCH_AT}")
+    assert out.where("left_id < 1050 AND right_id < 1050").distinct().count() == 1050 * 1050
+    assert out.where("left_id >= 1050 AND left_id = right_id").count() >= 95 and out.where("left_id < 1050 AND right_id >= 1050 OR left_id >= 1050 AND right_id < 1050").isEmpty()
+
+
+def test_collapsing_and_salting_lose_no_candidates(spark):
+    r = random.Random(9)
+    base = companies(9, 60)
+    a, b = (frame(spark, [noisy(r.choice(base), r) for _ in range(200)]) for _ in range(2))
+    plain = {tuple(x) for x in em.candidates(a, b, crowded=1 << 40).collect()}
+    for salted in (1_000_000, 5):
+        got = [tuple(x) for x in em.candidates(a, b, salted=salted).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain

@@ -27,6 +27,7 @@ NOISE = frozenset({"the", "and"})
 PARSED = "core string, trade string, form string, state string"
 NAME_BANDS, LONE_BANDS, PAIRED_BANDS, YEARS_APART = 20, 20, 8, 2
 MATCH_AT = 0.5
+SLICE = 256  # rows of one representative that are spread together
 
 
 @lru_cache(maxsize=200_000)
@@ -142,7 +143,7 @@ def compare(a: tuple, b: tuple, seen: int) -> tuple[dict[str, float], tuple[int,
     near = []
     for side, p, q in (("y0", a0, b0), ("y1", a1, b1)):
         if p is not None and q is not None:
-            d = abs(p - q)
+            d = int(abs(p - q))  # a batch with gaps comes as floats
             f[f"{side}_{d}" if d <= 2 else f"{side}_far"] = 1
             near.append(d)
     if near:
@@ -232,21 +233,73 @@ def _refined(keys: DataFrame, side: DataFrame, hot: DataFrame, spread: int) -> D
     return keys.join(hot, "block", "left_semi").join(known, "id").select("id", F.explode(narrow).alias("block"))
 
 
-def candidates(left: DataFrame, right: DataFrame, *, crowded: int = 1_000_000) -> DataFrame:
-    """Distinct (left_id, right_id) that agree on a band or value of two attributes at once.
+def _collapsed(side: DataFrame, columns: list[str], tag: str) -> tuple[DataFrame, DataFrame]:
+    """Representatives (rep, slices, columns...) of the equal rows of a side, and their rows as (rep, slice, id)."""
+    groups = side.groupBy(*columns).agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    reps = stage(groups.withColumn("rep", F.monotonically_increasing_id()), tag)  # written once, so the numbers stay
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+    members = side.alias("s").join(reps.alias("r"), same).select("r.rep", F.pmod(F.xxhash64("s.id"), "r.slices").cast("int").alias("slice"), "s.id")
+    return reps, stage(members, "members")
+
+
+def _spread(pairs: DataFrame, key: str, reps: DataFrame, members: DataFrame, ident: str) -> DataFrame:
+    """Each pair once for every row behind the representative ``key``, a crowded one's rows in slices."""
+    slices = reps.select(F.col("rep").alias(key), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    rows = members.select(F.col("rep").alias(key), "slice", F.col("id").alias(ident))
+    return pairs.join(slices, key).join(rows, [key, "slice"]).drop(key, "slice")
+
+
+def _crowds(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(block, na, nb) of the blocks met by both sides."""
+    count = lambda k, n: k.groupBy("block").agg(F.count(F.lit(1)).alias(n))
+    return count(a, "na").join(count(b, "nb"), "block")
+
+
+def _met(a: DataFrame, b: DataFrame, salted: int) -> DataFrame:
+    """Distinct (left, right) of keys (id, block); blocks of more than ``salted`` pairs are cut by
+    the left id into parts that each meet the whole right side."""
+    parts = F.least(F.ceil(F.col("na") * F.col("nb") / salted), F.col("na")).cast("int")
+    large = stage(_crowds(a, b).where(F.col("na") * F.col("nb") > salted).select("block", parts.alias("parts")), "crowded")
+    a, b, on = a.withColumnRenamed("id", "left"), b.withColumnRenamed("id", "right"), ["block"]
+    if not large.isEmpty():
+        n = F.coalesce("parts", F.lit(1))
+        a = a.join(large, "block", "left").withColumn("part", F.pmod(F.xxhash64("left"), n).cast("int")).drop("parts")
+        b = b.join(large, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
+        on = ["block", "part"]
+    return a.join(b, on).select("left", "right").distinct()
+
+
+def candidates(left: DataFrame, right: DataFrame, *, crowded: int | None = None, salted: int = 1_000_000) -> DataFrame:
+    """Distinct (left_id, right_id) that agree on a band or value of two attributes at once; each id comes once.
 
     A block joins two attributes: a MinHash band of the name with symbol, tail or first year (the
     left side's year spread by two), symbol with tail, symbol with first year.  Bands that meet the
     year alone hold three rows of the signature, those that also meet the trade's initial two.
     A single frequent name, symbol or year therefore never makes a block by itself.
 
-    A block that would still compare more than ``crowded`` pairs says little about identity (a
-    third of all rows may share symbol and year): there a pair must also agree on the last year,
-    give or take one, and on form, trade or state - or meet in another, less crowded block.
+    Rows alike in all that blocks read meet as one representative and are spread again, so a
+    company that holds a third of all rows costs its distinct forms, not its rows; blocks still
+    large are salted.  No pair is lost by either.  Only on request, by ``crowded``, pairs of blocks
+    of more than so many pairs must also agree on the last year, give or take one, and on form,
+    trade or state; matching never asks for that.
     """
-    a, b = stage(_block_keys(left, YEARS_APART), "blocks"), stage(_block_keys(right, 0), "blocks")  # read by counts and join
-    count = lambda k, n: k.groupBy("block").agg(F.count(F.lit(1)).alias(n))
-    hot = stage(count(a, "na").join(count(b, "nb"), "block").where(F.col("na") * F.col("nb") > crowded).select("block"), "crowded")
+    if crowded is not None:
+        return _narrowed(left, right, crowded)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = ["core", "trade", "symbol", "tail", "y0"]
+    sides = []
+    for side, spread in ((left, YEARS_APART), (right, 0)):
+        short = side.withColumns({"trade": F.substring("trade", 1, 1), "symbol": F.regexp_replace("symbol", "\\.", "")}).select("id", *read)
+        reps, members = _collapsed(short, read, "profiles")
+        keys = stage(_block_keys(reps.withColumnRenamed("rep", "id").repartition(parts, "id"), spread), "blocks")  # read by counts and join
+        sides.append((reps, members, keys))
+    (one, ones, a), (two, twos, b) = sides
+    return _spread(_spread(_met(a, b, salted), "left", one, ones, "left_id"), "right", two, twos, "right_id")
+
+
+def _narrowed(left: DataFrame, right: DataFrame, crowded: int) -> DataFrame:
+    a, b = stage(_block_keys(left, YEARS_APART), "blocks"), stage(_block_keys(right, 0), "blocks")
+    hot = stage(_crowds(a, b).where(F.col("na") * F.col("nb") > crowded).select("block"), "crowded")
     one, two = a, b
     if not hot.isEmpty():
         one, two = (k.join(hot, "block", "left_anti").unionByName(_refined(k, side, hot, spread)) for k, side, spread in ((a, left, 1), (b, right, 0)))
@@ -319,7 +372,8 @@ def match_entities(left: DataFrame, right: DataFrame, *, sample: int = 40_000) -
     """(left_id, right_id, confidence) of all candidate pairs of two tables.
 
     Both sides come as (id, core, trade, form, state, symbol, tail, y0, y1), any attribute null.
-    The classifier is fitted on the driver on at most ``sample`` weakly labelled pairs of each
+    Equal rows of a side are matched as one representative, and every pair is spread to the rows
+    behind it.  The classifier is fitted on the driver on at most ``sample`` weakly labelled pairs of each
     class, drawn by hash and weighted back; candidates, features and scores cover all rows.  Pairs
     met by name and year alone whose names differ in more than six letters of ten are left out.
     A pair is labelled a match where at least two of the groups name, symbol, tail and time speak
@@ -328,25 +382,27 @@ def match_entities(left: DataFrame, right: DataFrame, *, sample: int = 40_000) -
     repeated ids give repeated rows no new pairs.
     """
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = left.where("id IS NOT NULL").dropDuplicates().repartition(parts, "id")  # signatures cost far more than bytes tell
-    right = right.where("id IS NOT NULL").dropDuplicates().repartition(parts, "id")
+    ids = {"left_id": dict(left.dtypes)["id"], "right_id": dict(right.dtypes)["id"]}
+    left = stage(left.where("id IS NOT NULL").dropDuplicates(["id", *_SIDE]), "left")
+    right = stage(right.where("id IS NOT NULL").dropDuplicates(["id", *_SIDE]), "right")
     seen = left.select("core").unionAll(right.select("core")).where("core IS NOT NULL").groupBy("core").agg(F.count(F.lit(1)).alias("seen"))
-    pairs = candidates(left, right)
-    named = lambda df, p: df.select(F.col("id").alias("left_id" if p == "l" else "right_id"), *[F.col(c).alias(f"{p}_{c}") for c in _SIDE])
+    (one, ones), (two, twos) = _collapsed(left, _SIDE, "representatives"), _collapsed(right, _SIDE, "representatives")
+    named = lambda df, p: df.select(F.col("rep").alias("left_id" if p == "l" else "right_id"), *[F.col(c).alias(f"{p}_{c}") for c in _SIDE])
+    pairs = candidates(one.withColumnRenamed("rep", "id"), two.withColumnRenamed("rep", "id"))
     wide = (
-        pairs.join(named(left, "l"), "left_id").join(named(right, "r"), "right_id")
+        pairs.join(named(one, "l"), "left_id").join(named(two, "r"), "right_id")
         .where(_worth_comparing())
         .join(seen.withColumnRenamed("core", "l_core"), "l_core", "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
+        .repartition(parts * 4, "left_id", "right_id")  # comparing costs far more than bytes tell
     )
-    ids = f"left_id {dict(left.dtypes)['id']}, right_id {dict(right.dtypes)['id']}"
-    schema = ids + "".join(f", {f} float" for f in FEATURES) + "".join(f", {v} tinyint" for v in VOTES)
+    schema = "left_id bigint, right_id bigint" + "".join(f", {f} float" for f in FEATURES) + "".join(f", {v} tinyint" for v in VOTES)
     scored = stage(wide.mapInPandas(_featurise, schema), "pairs")
     ident = sum((F.col(v).cast("int") for v in VOTES if v != "vote_time"), F.lit(0))
     label = F.when(ident + F.col("vote_time") >= 2, 1).when(ident <= -1, 0)
     labelled = scored.withColumn("label", label).where("label IS NOT NULL")
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
-        return scored.select("left_id", "right_id", F.lit(None).cast("double").alias("confidence")).limit(0)
+        return scored.select(*[F.col(c).cast(t).alias(c) for c, t in ids.items()], F.lit(None).cast("double").alias("confidence")).limit(0)
     parts = []
     for label, n in sizes.items():
         rows = labelled.where(F.col("label") == label)
@@ -356,4 +412,5 @@ def match_entities(left: DataFrame, right: DataFrame, *, sample: int = 40_000) -
         parts.append((part.to_numpy(dtype=float), np.full(len(part), float(label)), np.full(len(part), n / max(len(part), 1))))
     beta, (slope, shift) = train(*[np.concatenate(p) for p in zip(*parts)])
     logit = sum((F.col(f).cast("double") * float(b) for f, b in zip(FEATURES, beta)), F.lit(float(beta[-1])))
-    return scored.select("left_id", "right_id", (1 / (1 + F.exp(-(logit * slope + shift)))).alias("confidence"))
+    judged = scored.select(F.col("left_id").alias("left"), F.col("right_id").alias("right"), (1 / (1 + F.exp(-(logit * slope + shift)))).alias("confidence"))
+    return _spread(_spread(judged, "left", one, ones, "left_id"), "right", two, twos, "right_id").select("left_id", "right_id", "confidence")
