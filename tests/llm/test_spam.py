@@ -64,3 +64,15 @@ def test_table(spark):
     df = spark.createDataFrame(data, "doc_id bigint, text string").selectExpr("*", "1 AS clause_share")
     assert sorted(r["doc_id"] or 0 for r in spam.spam_pages(df).collect()) == [0, 1, 1]
     assert spam.spam_pages(df.limit(0)).collect() == []
+
+
+def test_prose_before_long_links_clears_no_page():
+    links = "\n".join(f"https://www.picks.example/gold-coins-and-cheap-stocks-online/page-{i}" for i in range(24))
+    page = PROSE * 3 + "\n" + links
+    assert spam.is_spam(page) and not spam.is_spam(PROSE * 3 + "\n" + links[:140])
+
+
+def test_clauses_that_suffice_spare_only_the_repeats():
+    for page in [*SPAM.values(), *HAM.values(), *(PROSE + "\n" + x for x in SPAM.values())]:
+        clause, repeated = spam.page_measures(page)
+        assert spam.is_spam(page) == (clause < spam.MAX_CLAUSE and repeated >= spam.MIN_REPEATED)

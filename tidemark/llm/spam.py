@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,9 +32,6 @@ FUNCTION_WORDS = frozenset(
 ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 LEET = str.maketrans("013457", "oieast")
 
-#: A page whose words are function words to this share, with no content words dominating, has
-#: clause structure throughout and needs no automaton.
-PROSE_FUNCTION_SHARE, PROSE_CONCENTRATION = 0.22, 0.012
 #: A page is spam when clauses hold less than this share of it and repeats outside clauses cover
 #: at least that share.
 MAX_CLAUSE, MIN_REPEATED = 0.38, 0.2
@@ -55,22 +51,6 @@ def fold(text: str) -> str:
     return _MIXED.sub(lambda m: m.group().translate(LEET), t)
 
 
-def looks_like_prose(text: str) -> bool:
-    """Whether word counts alone show clause structure: function words throughout, and no few
-    content words making up the page."""
-    words = text.lower().split()
-    if len(words) < 8:
-        return False
-    counts = Counter(words)
-    n, function = len(words), 0
-    for w in FUNCTION_WORDS & counts.keys():
-        function += counts.pop(w)
-    if not PROSE_FUNCTION_SHARE * n <= function <= 0.75 * n:
-        return False
-    same = sum(c * c for c in counts.values() if c > 1)
-    return same < PROSE_CONCENTRATION * n * n
-
-
 def is_clause(segment: str) -> bool:
     """A sentence or a bullet that reads like one: words joined by function words, no links or
     tags, and no phrase said twice."""
@@ -138,11 +118,12 @@ def repeated_tokens(ids: list[int]) -> list[int]:
     return [longest[s] for s in at]
 
 
-def page_measures(text: str | None) -> tuple[float, float]:
+def page_measures(text: str | None, enough: float = 2.0) -> tuple[float, float]:
     """(share of characters in clauses, share covered by repeats outside clauses), blanks aside.
 
     Numbers count as one token whatever their digits.  A repeat counts from two tokens and five
     characters on, so a word that merely recurs is none.  A page without letters measures (1, 0).
+    Where clauses hold ``enough`` of the page, its repeats are not measured and come out as 0.
     """
     if not text or not text.strip():
         return 1.0, 0.0
@@ -152,13 +133,15 @@ def page_measures(text: str | None) -> tuple[float, float]:
         if is_clause(t[lo:hi]):
             clause[lo:hi] = b"\x01" * (hi - lo)
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(t)]
-    ids: dict[str, int] = {}
-    seq = [ids.setdefault("0" if t[a].isdigit() else t[a:b], len(ids)) for a, b in tokens]
-    lengths = repeated_tokens(seq)
     if not any(t[a].isalpha() for a, b in tokens):
         return 1.0, 0.0  # figures alone are neither clauses nor keywords
     total = sum(b - a for a, b in tokens)
     in_clause = sum(b - a for a, b in tokens if clause[a])
+    if in_clause >= enough * total:
+        return in_clause / total, 0.0
+    ids: dict[str, int] = {}
+    seq = [ids.setdefault("0" if t[a].isdigit() else t[a:b], len(ids)) for a, b in tokens]
+    lengths = repeated_tokens(seq)
     covered, start = 0, len(tokens)
     for i in range(len(tokens) - 1, -1, -1):
         k = lengths[i]
@@ -170,9 +153,7 @@ def page_measures(text: str | None) -> tuple[float, float]:
 
 
 def is_spam(text: str | None) -> bool:
-    if not text or looks_like_prose(text):
-        return False
-    clause, repeated = page_measures(text)
+    clause, repeated = page_measures(text, MAX_CLAUSE)
     return clause < MAX_CLAUSE and repeated >= MIN_REPEATED
 
 
@@ -189,9 +170,7 @@ def spam_pages(docs: DataFrame, *, ident: str = "doc_id", text: str = "text") ->
         for pdf in batches:
             hits = []
             for i, t in zip(pdf[ident].tolist(), pdf[text].tolist()):
-                if not t or looks_like_prose(t):
-                    continue
-                clause, repeated = page_measures(t)
+                clause, repeated = page_measures(t, MAX_CLAUSE)
                 if clause < MAX_CLAUSE and repeated >= MIN_REPEATED:
                     hits.append((i, clause, repeated))
             yield pd.DataFrame(hits, columns=[ident, "clause_share", "repeated_share"])
