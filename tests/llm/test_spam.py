@@ -76,3 +76,11 @@ def test_clauses_that_suffice_spare_only_the_repeats():
     for page in [*SPAM.values(), *HAM.values(), *(PROSE + "\n" + x for x in SPAM.values())]:
         clause, repeated = spam.page_measures(page)
         assert spam.is_spam(page) == (clause < spam.MAX_CLAUSE and repeated >= spam.MIN_REPEATED)
+
+
+@pytest.mark.parametrize(("kinds", "words"), [(60, 200), (100, 300)])
+def test_single_keywords_in_varying_order(kinds, words):
+    r = random.Random(kinds)
+    keys = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(kinds)]
+    page = " ".join(r.choice(keys) for _ in range(words))
+    assert spam.page_measures(page)[1] > 0.8 and spam.is_spam(page)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -122,34 +123,36 @@ def page_measures(text: str | None, enough: float = 2.0) -> tuple[float, float]:
     """(share of characters in clauses, share covered by repeats outside clauses), blanks aside.
 
     Numbers count as one token whatever their digits.  A repeat counts from two tokens and five
-    characters on, so a word that merely recurs is none.  A page without letters measures (1, 0).
-    Where clauses hold ``enough`` of the page, its repeats are not measured and come out as 0.
+    characters on; outside clauses a content word of five letters counts by itself where it recurs
+    there, as keywords in varying order repeat no stretch.  A page without letters measures (1, 0).
+    Where clauses hold ``enough`` of the page, the rest is not measured: the share so far comes out, and 0.
     """
     if not text or not text.strip():
         return 1.0, 0.0
     t = fold(text)
-    clause = bytearray(len(t))
+    total, held, clause = len("".join(t.split())), 0, bytearray(len(t))
     for lo, hi in segments(t):
         if is_clause(t[lo:hi]):
             clause[lo:hi] = b"\x01" * (hi - lo)
+            held += len("".join(t[lo:hi].split()))
+            if held >= enough * total:
+                return held / total, 0.0
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(t)]
     if not any(t[a].isalpha() for a, b in tokens):
         return 1.0, 0.0  # figures alone are neither clauses nor keywords
-    total = sum(b - a for a, b in tokens)
-    in_clause = sum(b - a for a, b in tokens if clause[a])
-    if in_clause >= enough * total:
-        return in_clause / total, 0.0
     ids: dict[str, int] = {}
     seq = [ids.setdefault("0" if t[a].isdigit() else t[a:b], len(ids)) for a, b in tokens]
     lengths = repeated_tokens(seq)
+    alone = Counter(t[a:b] for a, b in tokens if not clause[a] and b - a >= 5 and t[a].isalpha())
     covered, start = 0, len(tokens)
     for i in range(len(tokens) - 1, -1, -1):
         k = lengths[i]
         if k >= 2 and i - k + 1 < start and tokens[i][1] - tokens[i - k + 1][0] >= 5:
             start = i - k + 1
-        if i >= start and not clause[tokens[i][0]]:
-            covered += tokens[i][1] - tokens[i][0]
-    return in_clause / max(total, 1), covered / max(total, 1)
+        a, b = tokens[i]
+        if not clause[a] and (i >= start or alone[t[a:b]] >= 2 and t[a:b] not in FUNCTION_WORDS):
+            covered += b - a
+    return held / max(total, 1), covered / max(total, 1)
 
 
 def is_spam(text: str | None) -> bool:
