@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import documents, excerpts, masking, wordlists
+from tidemark.plans import texts as queries
 
 BODY = " ".join(["Revenue increased because demand was strong."] * 60)
 ITEM7, ITEM8 = "Item 7. Management's Discussion and Analysis", "Item 8. Financial Statements and Supplementary Data"
@@ -126,3 +130,18 @@ def test_masking_table(spark):
     df = spark.createDataFrame([(1, "Acme in 2020", ["Acme Inc"], ["ACM"]), (2, None, None, None)], "i int, t string, n array<string>, k array<string>")
     out = {r["i"]: r for r in masking.mask_documents(df, ident="i", text="t", names="n", tickers="k").collect()}
     assert out[1]["masked"] == "[COMPANY] in [YEAR]" and out[1]["leak_name"] == 0 and out[2]["masked"] == ""
+
+
+def test_years_and_dates_are_masked_in_every_document(spark, tmp_path):
+    texts = ["In fiscal 2014 and FY15 sales fell; by Mar. 3, 2012 all was sold.", "The 1990s, 2005 and 3/4/2011: 1,999 and 2010.5 stay.", "no year here", "fiscal '09 or 12/31/08", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def brute(text):
+        for patterns, label in ((masking.DATES, "[DATE]"), (masking.YEARS, "[YEAR]")):
+            for p in patterns:
+                text = re.sub(p, label, text)
+        return hashlib.md5(text.encode()).hexdigest()
+
+    got = dict(map(tuple, queries.date_year_mask_all(spark, str(tmp_path)).collect()))
+    assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None}
+    assert got[3] == hashlib.md5(b"fiscal [YEAR] or [DATE]").hexdigest()

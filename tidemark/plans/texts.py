@@ -283,6 +283,13 @@ def date_year_mask(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.md5(masking.mask_dates(F.col("text"))).alias("digest"))
 
 
+@catalog.query("date_year_mask_all")
+def date_year_mask_all(spark: SparkSession, d: str) -> DataFrame:
+    """Dates and years masked in every document that has a text."""
+    docs = load_texts(pin(spark), d, "documents", "doc_id", "text").where("text IS NOT NULL")
+    return docs.select("doc_id", F.md5(masking.mask_dates(F.col("text"))).alias("digest"))
+
+
 def identities(spark: SparkSession, d: str) -> DataFrame:
     """(cik, names, tickers): every spelling and symbol a company was seen with."""
     f = load(pin(spark), d, "filings").where("cik IS NOT NULL")
