@@ -4,6 +4,7 @@ import gzip
 import io
 import zipfile
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,14 @@ def test_stages_name_known_queries():
     from tidemark.plans import core
 
     assert {q for qs in STAGES.values() for q in qs} <= set(core().queries)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_every_price_series_comes_out_of_the_wide_form(spark):
+    from tidemark import __main__ as runner
+    from tidemark.plans import core, roles
+
+    d = "/root/testdata/sf0.001"
+    (name,) = [n for n in runner.STAGES["prices"] if n.startswith("wide_to_long")]
+    want = {r[0] for r in roles.monthly(spark, d).select(F.col("symbol").cast("string")).distinct().collect()}
+    assert {r["symbol"] for r in core().queries[name](spark, d).select("symbol").distinct().collect()} == want and len(want) > 4

@@ -377,6 +377,17 @@ def wide_to_long(spark: SparkSession, d: str) -> DataFrame:
     return parsers.wide_prices(wide).select(F.col("date").cast("string").alias("date"), "symbol", F.round("adj_close", 6).alias("adj_close"))
 
 
+@catalog.query("wide_to_long_all", f"WITH {roles.ctes('monthly')} SELECT date::VARCHAR AS date, symbol::VARCHAR AS symbol, round(adj_close, 6) AS adj_close FROM monthly_r")
+def wide_to_long_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every price series through the wide form, in blocks of columns: a date has a row per block."""
+    slots = 100
+    block, slot = F.floor(F.col("symbol") / slots).alias("block"), F.pmod("symbol", F.lit(slots)).alias("slot")
+    wide = roles.monthly(spark, d).select("date", block, slot, "adj_close").groupBy("date", "block").pivot("slot", list(range(slots))).agg(F.first("adj_close"))
+    long = parsers.wide_prices(wide.withColumn("date", F.struct("date", "block")).drop("block"))
+    symbol = (F.col("date.block") * slots + F.col("symbol").cast("bigint")).cast("string")
+    return long.select(F.col("date.date").cast("string").alias("date"), symbol.alias("symbol"), F.round("adj_close", 6).alias("adj_close"))
+
+
 @catalog.query(
     "deterministic_sample", "SELECT accession, cik FROM (SELECT DISTINCT accession, cik FROM filings WHERE accession IS NOT NULL AND cik IS NOT NULL) ORDER BY sha256('42:' || accession || ':' || cik), accession LIMIT 200"
 )
