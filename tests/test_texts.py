@@ -145,3 +145,17 @@ def test_years_and_dates_are_masked_in_every_document(spark, tmp_path):
     got = dict(map(tuple, queries.date_year_mask_all(spark, str(tmp_path)).collect()))
     assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None}
     assert got[3] == hashlib.md5(b"fiscal [YEAR] or [DATE]").hexdigest()
+
+
+def test_the_check_stage_reports_failed_extractions(spark, tmp_path):
+    from tidemark import __main__ as runner
+
+    (name,) = runner.STAGES["check"]
+    texts = [BODY, BODY + " more words", "Too short a section. " * 30, "too short", None]
+    rows = [(i, t, len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id int, text string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.catalog.queries[name](spark, str(tmp_path)).collect()
+    assert {(r["status"], r["method"], r["failure_reason"]): r["n"] for r in out} == {
+        ("ok", "item_heading", None): 3, ("failed", None, "section_too_short"): 1, ("failed", None, "empty_document"): 1,
+    }
+    assert {r["coverage"] for r in out} == {0.6} and all(r["median_words_ok"] >= 100 for r in out)

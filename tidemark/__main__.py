@@ -16,7 +16,7 @@ from tidemark.session import pin
 from tidemark.sources.sinks import write_table
 
 STAGES = {
-    "index": ["index_parse", "accession_from_filename"], "sample": ["deterministic_sample"], "sections": ["section_extract"], "check": ["extraction_report"],
+    "index": ["index_parse", "accession_from_filename"], "sample": ["deterministic_sample"], "sections": ["section_extract"], "check": ["section_report"],
     "universe": ["ticker_windows", "entity_resolution", "symbol_resolution", "map_review", "universe_filings"], "prices": ["symbol_vetting", "wide_to_long_all"],
     "returns": ["forward_returns", "lookahead_violations"], "coverage": ["coverage_panel", "coverage_by_year", "coverage_summary", "missing_companies"], "documents": ["document_scope"],
     "dictionary": ["lm_cohort_counts", "lm_shares"], "signals": ["prev_filing_asof", "lm_change", "signal_coverage", "missing_reasons"], "factors": ["factor_compound"],

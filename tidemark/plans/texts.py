@@ -9,7 +9,7 @@ from tidemark.catalog import Catalog
 from tidemark.functions import normal
 from tidemark.operators import documents, excerpts, masking, portfolio, ranking, statistics, wordlists
 from tidemark.plans import lookups, roles, study
-from tidemark.session import pin
+from tidemark.session import pin, stage
 from tidemark.sources import parsers, sinks
 from tidemark.sources.tables import load, load_texts
 
@@ -244,10 +244,8 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     return sinks.upsert(old, new, ["accession"])
 
 
-@catalog.query("section_extract")
-def section_extract(spark: SparkSession, d: str) -> DataFrame:
+def _extracted(docs: DataFrame) -> DataFrame:
     """Item sections cut out of whole filings, each rebuilt as a page around a document's text."""
-    docs = load_texts(pin(spark), d, "documents", "doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
     body = F.regexp_replace("text", "\n", "</p><p>")
     page = F.concat(
         F.lit("<html><body><p>Item 1. Business</p><p>We make things.</p><p>Item 7. Management's Discussion and Analysis</p><p>"), body,
@@ -256,6 +254,23 @@ def section_extract(spark: SparkSession, d: str) -> DataFrame:
     return documents.extract_sections(docs.select("doc_id", page.alias("html")), ident="doc_id", html="html", min_words=50).drop("text")
 
 
+@catalog.query("section_extract")
+def section_extract(spark: SparkSession, d: str) -> DataFrame:
+    return _extracted(load_texts(pin(spark), d, "documents", "doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL"))
+
+
+@catalog.query("section_report")
+def section_report(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of the extraction over all documents, a row per status, method and kind of failure;
+    ``coverage`` is the share that succeeded and ``median_words_ok`` its median, the same in every row."""
+    t = stage(_extracted(load_texts(pin(spark), d, "documents", "doc_id", "text")), "extracted")  # read by groups and totals
+    t = t.withColumn("failure_reason", F.split_part("failure_reason", F.lit(":"), F.lit(1)))
+    by = t.groupBy("status", "method", "failure_reason").agg(F.count(F.lit(1)).alias("n"), F.median("n_words").alias("median_words"))
+    ok = F.col("status") == "ok"
+    total = t.agg(F.count(F.lit(1)).alias("total"), F.round(F.avg(ok.cast("int")), 4).alias("coverage"), F.median(F.when(ok, F.col("n_words"))).alias("median_words_ok"))
+    return by.join(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("total"), 4)).drop("total")  # total: one row
+
+
 @catalog.query(
     "extraction_report",
     """WITH t AS (SELECT doc_id, coalesce(n_chars, 0) AS n, CASE WHEN coalesce(n_chars, 0) = 0 THEN 'empty: no text' WHEN n_chars < 500 THEN 'short: under 500' END AS failure_reason FROM documents)
