@@ -159,3 +159,10 @@ def test_the_check_stage_reports_failed_extractions(spark, tmp_path):
         ("ok", "item_heading", None): 3, ("failed", None, "section_too_short"): 1, ("failed", None, "empty_document"): 1,
     }
     assert {r["coverage"] for r in out} == {0.6} and all(r["median_words_ok"] >= 100 for r in out)
+
+
+def test_the_registered_interval_rests_on_2000_draws(spark, tmp_path):
+    rows = [(i, "v", i, *(float((i * k) % 31) for k in (7, 11, 13, 17, 19))) for i in range(40)]
+    cols = "row_id int, variant string, period_end int, ret_ls double, ret_ls_net double, ret_long double, ret_short double, ic double"
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "backtest_llm_change_monthly.parquet"))
+    assert [r["n"] for r in queries.bootstrap_ci(spark, str(tmp_path)).collect()] == [2000]

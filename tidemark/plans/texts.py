@@ -504,7 +504,7 @@ def trial_sharpes(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the gap between two rank correlations, per variant."""
-    gaps = statistics.bootstrap_gap(variants(spark, d), group="variant", a="ret_long", b="ic", y="ret_ls", draws=100)
+    gaps = statistics.bootstrap_gap(variants(spark, d), group="variant", a="ret_long", b="ic", y="ret_ls", draws=2000)
     return statistics.interval(gaps, ["variant"], "gap")
 
 
