@@ -25,8 +25,12 @@ FORMS = frozenset("inc corp co ltd plc lp trust group holdings llc nv sa ag".spl
 NOISE = frozenset({"the", "and"})
 
 PARSED = "core string, trade string, form string, state string"
-NAME_BANDS, LONE_BANDS, PAIRED_BANDS, YEARS_APART = 20, 20, 8, 2
+YEARS_APART, YEAR_WINDOW = 2, 5
 MATCH_AT = 0.5
+#: (bands, rows a band) of the name's MinHash signature, by what else a band must meet: trade
+#: initial and first year, first year alone, trade initial alone, symbol, registration tail.
+BANDS = {"trade_year": (40, 3), "year": (12, 6), "trade": (4, 8), "symbol": (8, 1), "tail": (16, 2)}
+SIGNATURE = max(b * r for b, r in BANDS.values())
 SLICE = 256  # rows of one representative that are spread together
 
 
@@ -34,17 +38,20 @@ SLICE = 256  # rows of one representative that are spread together
 def parse_name(name: str | None) -> tuple[str | None, str | None, str | None, str | None]:
     """(core, trade, legal form, state) of a company name; each None where the name has none.
 
-    ``Trade, Core (Form)`` is turned round, accents, case, blanks and hyphens inside words are
-    dropped, a ``/XX/`` tag is the state.  The last of several content words is the trade, the
-    words before it, run together, are the core.
+    A name turned round at its comma, as catalogues list them, is turned back unless only legal
+    forms follow the comma; accents, case, brackets, blanks and hyphens inside words are dropped, a
+    ``/XX/`` tag is the state.  The last of several content words is the trade, the words before
+    it, run together, are the core.
     """
     if not name:
         return None, None, None, None
     s = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
     tag = re.search(r"/([a-z]{2,3})/", s)
     s = re.sub(r"/[a-z]{2,3}/", " ", s).strip()
-    if turned := re.fullmatch(r"(.+?),\s*(.+?)\s*\((.+)\)\s*", s):
-        s = f"{turned[2]} {turned[1]} {turned[3]}"
+    head, _, rest = s.partition(",")
+    rest, _, aside = rest.partition("(")
+    if any(w not in FORMS and w not in LEGAL for w in re.findall(r"[a-z0-9]+", re.sub(r"\b([a-z])\.([a-z])\.", r"\1\2", rest))):
+        s = f"{rest} {head} {aside}"
     s = re.sub(r"\b([a-z])\.([a-z])\.", r"\1\2", s)
     words = [LEGAL.get(w, w) for w in re.findall(r"[a-z0-9]+", re.sub(r"[-']", "", s)) if w not in NOISE]
     content = [w for w in words if w not in FORMS]
@@ -164,6 +171,7 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             votes[n] = v
         out = pd.DataFrame(rows, columns=FEATURES)
         out[VOTES] = votes
+        out.insert(0, "draw", pdf["draw"].to_numpy())
         out.insert(0, "right_id", pdf["right_id"].to_numpy())
         out.insert(0, "left_id", pdf["left_id"].to_numpy())
         yield out
@@ -195,42 +203,79 @@ def symbol_form(col: Column) -> Column:
     return F.nullif(F.regexp_replace(s, "[-/ ]+", "."), F.lit(""))
 
 
-def _signatures(bands: int, rows: int, seed: int) -> Column:
-    """Band keys of the MinHash signature over the padded three-letter shingles of ``core``."""
-    padded = F.concat(F.lit("^"), F.col("core"), F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
-    least = lambda k: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(k))))
-    return F.array(*[F.xxhash64(F.lit(seed + b), *[least(seed + b * rows + r) for r in range(rows)]) for b in range(bands)])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def band_keys(cores: list[str]) -> np.ndarray:
+    """A row of band keys for each name: MinHash over the padded three-letter shingles, all names at once.
+
+    The kinds of :data:`BANDS` follow each other and read the same signature from its start.
+    """
+    letters = [np.frombuffer(f"^{c}$".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) for c in cores]
+    grams = [(x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:] for x in letters]
+    starts = np.cumsum([0, *map(len, grams)])[:-1]
+    flat = np.concatenate(grams)
+    least = [np.minimum.reduceat(_mixed(flat + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)), starts) for k in range(SIGNATURE)]
+    keys = []
+    for n, rows in BANDS.values():
+        for b in range(n):
+            key = np.full(len(cores), b + 1, dtype=np.uint64)
+            for k in range(b * rows, (b + 1) * rows):
+                key = _mixed(key * np.uint64(31) + least[k])
+            keys.append(key)
+    return np.column_stack(keys).view(np.int64)
+
+
+def signature_bands(core: Column) -> Column:
+    """array<bigint> of :func:`band_keys`, null for a null or empty name."""
+
+    @F.pandas_udf("array<bigint>")
+    def keys(cores: pd.Series) -> pd.Series:
+        codes, names = pd.factorize(cores.where(cores != "", None))
+        if not len(names):
+            return pd.Series([None] * len(cores))
+        with np.errstate(over="ignore"):
+            bands = list(band_keys(list(names)))
+        return pd.Series([bands[c] if c >= 0 else None for c in codes])
+
+    return keys(core)
 
 
 def _block_keys(side: DataFrame, spread: int) -> DataFrame:
-    """(id, block) keys; ``spread`` widens this side's first year by so many years each way."""
-    years = F.when(F.col("y0").isNotNull(), F.sequence(F.col("y0") - spread, F.col("y0") + spread)).otherwise(F.array().cast("array<int>"))
-    base = F.regexp_replace("symbol", "\\.", "")
-    if_core = lambda c: F.when(F.col("core").isNotNull(), c).otherwise(F.array().cast("array<bigint>"))
+    """(id, y0, block) keys; ``spread`` widens this side's first year by so many years each way.
+
+    Years meet in windows, so a row has one or two of them whatever the spread.
+    """
+    windows = F.sequence(*[F.floor((F.col("y0") + by) / F.lit(YEAR_WINDOW)) for by in (-spread, spread)])
+    years = F.coalesce(windows, F.array().cast("array<bigint>"))
     side = side.select(
-        "id", "tail", base.alias("sym"), years.alias("years"), F.substring("trade", 1, 1).alias("initial"),
-        if_core(_signatures(NAME_BANDS, 2, 1000)).alias("wide"), if_core(_signatures(LONE_BANDS, 3, 3000)).alias("long"), if_core(_signatures(PAIRED_BANDS, 1, 5000)).alias("thin"),
+        "id", "y0", "tail", F.regexp_replace("symbol", "\\.", "").alias("sym"), years.alias("years"), F.substring("trade", 1, 1).alias("initial"), signature_bands(F.col("core")).alias("bands")
     )
+    at, of = 1, {}
+    for kind, (n, _) in BANDS.items():
+        of[kind] = F.coalesce(F.slice("bands", at, n), F.array().cast("array<bigint>"))
+        at += n
+    each = lambda kind, *more: F.transform(of[kind], lambda b: F.xxhash64(F.lit(kind), b, *more))
+    yearly = lambda key: F.flatten(F.transform("years", key))
+    known = lambda *c: F.array_contains(F.array(*[F.col(x).isNull() for x in c]), False) & ~F.array_contains(F.array(*[F.col(x).isNull() for x in c]), True)
     keys = [
-        F.when(F.col("sym").isNotNull() & F.col("tail").isNotNull(), F.array(F.xxhash64(F.lit("st"), "sym", "tail"))),
-        F.when(F.col("sym").isNotNull(), F.transform("thin", lambda b: F.xxhash64(F.lit("bs"), b, F.col("sym")))),
-        F.when(F.col("tail").isNotNull(), F.transform("thin", lambda b: F.xxhash64(F.lit("bt"), b, F.col("tail")))),
-        F.when(F.col("sym").isNotNull(), F.transform("years", lambda y: F.xxhash64(F.lit("sy"), F.col("sym"), y))),
-        F.when(F.col("initial").isNotNull(), F.flatten(F.transform("years", lambda y: F.transform(F.col("wide"), lambda b: F.xxhash64(F.lit("byi"), b, y, F.col("initial")))))),
-        F.flatten(F.transform("years", lambda y: F.transform(F.col("long"), lambda b: F.xxhash64(F.lit("by"), b, y)))),
+        F.when(known("sym", "tail"), F.array(F.xxhash64(F.lit("st"), "sym", "tail"))),
+        F.when(known("sym"), F.transform("years", lambda y: F.xxhash64(F.lit("sy"), "sym", y))),
+        F.when(known("sym"), each("symbol", F.col("sym"))),
+        F.when(known("tail"), each("tail", F.col("tail"))),
+        F.when(known("initial"), each("trade", F.col("initial"))),
+        F.when(known("initial"), yearly(lambda y: each("trade_year", y, F.col("initial")))),
+        yearly(lambda y: each("year", y)),
     ]
     none = F.array().cast("array<bigint>")
-    return side.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(k, none) for k in keys])))).alias("block"))
-
-
-def _refined(keys: DataFrame, side: DataFrame, hot: DataFrame, spread: int) -> DataFrame:
-    """Keys of crowded blocks narrowed by the last year together with form, trade or state."""
-    years = F.sequence(F.col("y1") - spread, F.col("y1") + spread)
-    tags = F.filter(F.array(F.concat(F.lit("f"), "form"), F.concat(F.lit("t"), F.substring("trade", 1, 1)), F.concat(F.lit("s"), "state")), lambda t: t.isNotNull())
-    known = side.where("y1 IS NOT NULL").select("id", years.alias("years"), tags.alias("tags"))
-    narrow = F.flatten(F.transform("years", lambda y: F.transform("tags", lambda t: F.xxhash64("block", y, t))))
-    return keys.join(hot, "block", "left_semi").join(known, "id").select("id", F.explode(narrow).alias("block"))
+    timed = [False, True, False, False, False, True, True]
+    of_kind = lambda want: F.array_distinct(F.flatten(F.array(*[F.coalesce(k, none) for k, t in zip(keys, timed) if t == want])))
+    both = F.array(F.struct(F.lit(None).cast("int").alias("y0"), of_kind(False).alias("blocks")), F.struct(F.col("y0").cast("int").alias("y0"), of_kind(True).alias("blocks")))
+    return side.select("id", F.inline(both)).select("id", "y0", F.explode("blocks").alias("block"))
 
 
 def _collapsed(side: DataFrame, columns: list[str], tag: str) -> tuple[DataFrame, DataFrame]:
@@ -260,31 +305,29 @@ def _met(a: DataFrame, b: DataFrame, salted: int) -> DataFrame:
     the left id into parts that each meet the whole right side."""
     parts = F.least(F.ceil(F.col("na") * F.col("nb") / salted), F.col("na")).cast("int")
     large = stage(_crowds(a, b).where(F.col("na") * F.col("nb") > salted).select("block", parts.alias("parts")), "crowded")
-    a, b, on = a.withColumnRenamed("id", "left"), b.withColumnRenamed("id", "right"), ["block"]
+    a, b, on = a.withColumnsRenamed({"id": "left", "y0": "ly"}), b.withColumnsRenamed({"id": "right", "y0": "ry"}), ["block"]
     if not large.isEmpty():
         n = F.coalesce("parts", F.lit(1))
         a = a.join(large, "block", "left").withColumn("part", F.pmod(F.xxhash64("left"), n).cast("int")).drop("parts")
         b = b.join(large, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
         on = ["block", "part"]
-    return a.join(b, on).select("left", "right").distinct()
+    near = F.col("ly").isNull() | F.col("ry").isNull() | (F.abs(F.col("ly") - F.col("ry")) <= YEARS_APART)
+    return a.join(b, on).where(near).select("left", "right").distinct()
 
 
-def candidates(left: DataFrame, right: DataFrame, *, crowded: int | None = None, salted: int = 1_000_000) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, *, salted: int = 1_000_000) -> DataFrame:
     """Distinct (left_id, right_id) that agree on a band or value of two attributes at once; each id comes once.
 
-    A block joins two attributes: a MinHash band of the name with symbol, tail or first year (the
-    left side's year spread by two), symbol with tail, symbol with first year.  Bands that meet the
-    year alone hold three rows of the signature, those that also meet the trade's initial two.
-    A single frequent name, symbol or year therefore never makes a block by itself.
+    A block joins two attributes or three: a MinHash band of the name with symbol, with tail, with
+    the trade's initial, with the first year or with both of these; symbol with tail; symbol with
+    first year (years up to two apart).  The less the other attributes tell, the more rows of the
+    signature a band holds, so that names meet by chance about as seldom in every kind of block.
+    A single frequent name, symbol or year never makes a block by itself.
 
     Rows alike in all that blocks read meet as one representative and are spread again, so a
     company that holds a third of all rows costs its distinct forms, not its rows; blocks still
-    large are salted.  No pair is lost by either.  Only on request, by ``crowded``, pairs of blocks
-    of more than so many pairs must also agree on the last year, give or take one, and on form,
-    trade or state; matching never asks for that.
+    large are salted.  No pair is lost by either, and no block is cut.
     """
-    if crowded is not None:
-        return _narrowed(left, right, crowded)
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     read = ["core", "trade", "symbol", "tail", "y0"]
     sides = []
@@ -297,15 +340,6 @@ def candidates(left: DataFrame, right: DataFrame, *, crowded: int | None = None,
     return _spread(_spread(_met(a, b, salted), "left", one, ones, "left_id"), "right", two, twos, "right_id")
 
 
-def _narrowed(left: DataFrame, right: DataFrame, crowded: int) -> DataFrame:
-    a, b = stage(_block_keys(left, YEARS_APART), "blocks"), stage(_block_keys(right, 0), "blocks")
-    hot = stage(_crowds(a, b).where(F.col("na") * F.col("nb") > crowded).select("block"), "crowded")
-    one, two = a, b
-    if not hot.isEmpty():
-        one, two = (k.join(hot, "block", "left_anti").unionByName(_refined(k, side, hot, spread)) for k, side, spread in ((a, left, 1), (b, right, 0)))
-    return one.withColumnRenamed("id", "left_id").join(two.withColumnRenamed("id", "right_id"), "block").select("left_id", "right_id").distinct()
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -335,14 +369,12 @@ def masked(x: np.ndarray, group: str) -> np.ndarray:
     return out
 
 
-def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, seed: int = 7) -> tuple[np.ndarray, tuple[float, float]]:
-    """Classifier weights and the slope and shift that calibrate its logits on a held-out fifth.
+def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, tuple[float, float]]:
+    """Classifier weights and the slope and shift that calibrate its logits on the pairs ``held`` out.
 
     Weak labels come from agreement of several attribute groups; each labelled pair is also shown
     with single groups masked, so the weight of every group is learnt where another is missing.
     """
-    rng = np.random.default_rng(seed)
-    held = rng.random(len(y)) < 0.2
     if held.all() or not held.any() or len(set(y[~held])) < 2:
         held = np.zeros(len(y), dtype=bool)
 
@@ -359,23 +391,15 @@ def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, seed: int = 7) -> tuple[n
     return beta, (float(slope), float(shift))
 
 
-def _worth_comparing() -> Column:
-    """Pairs with equal symbol or tail, and of the others those whose names are not plainly different:
-    short signatures meet by chance far more often than names of which over half the letters agree."""
-    base = lambda c: F.regexp_replace(c, "\\.", "")
-    same = F.coalesce(base("l_symbol") == base("r_symbol"), F.lit(False)) | F.coalesce(F.col("l_tail") == F.col("r_tail"), F.lit(False))
-    longer = F.greatest(F.length("l_core"), F.length("r_core"))
-    return same | F.coalesce(F.levenshtein("l_core", "r_core") <= 0.6 * longer, F.lit(False))
-
-
 def match_entities(left: DataFrame, right: DataFrame, *, sample: int = 40_000) -> DataFrame:
     """(left_id, right_id, confidence) of all candidate pairs of two tables.
 
     Both sides come as (id, core, trade, form, state, symbol, tail, y0, y1), any attribute null.
     Equal rows of a side are matched as one representative, and every pair is spread to the rows
-    behind it.  The classifier is fitted on the driver on at most ``sample`` weakly labelled pairs of each
-    class, drawn by hash and weighted back; candidates, features and scores cover all rows.  Pairs
-    met by name and year alone whose names differ in more than six letters of ten are left out.
+    behind it.  The classifier is fitted on the driver on about ``sample`` weakly labelled pairs of each
+    class, drawn by a hash of their attributes and weighted back; a fifth of them, by the same
+    hash, is held out to calibrate.  Candidates, features and scores cover all rows, every
+    candidate is scored, and confidences depend on the rows alone, not on how they are spread.
     A pair is labelled a match where at least two of the groups name, symbol, tail and time speak
     for it net of those against it, a non-match where, time aside, more speak against it than for
     it.  Without labels of both classes no pair is returned, as nothing can be learnt.  Rows with a null id are ignored;
@@ -387,15 +411,16 @@ def match_entities(left: DataFrame, right: DataFrame, *, sample: int = 40_000) -
     right = stage(right.where("id IS NOT NULL").dropDuplicates(["id", *_SIDE]), "right")
     seen = left.select("core").unionAll(right.select("core")).where("core IS NOT NULL").groupBy("core").agg(F.count(F.lit(1)).alias("seen"))
     (one, ones), (two, twos) = _collapsed(left, _SIDE, "representatives"), _collapsed(right, _SIDE, "representatives")
-    named = lambda df, p: df.select(F.col("rep").alias("left_id" if p == "l" else "right_id"), *[F.col(c).alias(f"{p}_{c}") for c in _SIDE])
+    print_of = F.xxhash64(*_SIDE)
+    named = lambda df, p: df.select(F.col("rep").alias("left_id" if p == "l" else "right_id"), print_of.alias(f"{p}_print"), *[F.col(c).alias(f"{p}_{c}") for c in _SIDE])
     pairs = candidates(one.withColumnRenamed("rep", "id"), two.withColumnRenamed("rep", "id"))
+    known = named(one, "l").join(seen.withColumnRenamed("core", "l_core"), "l_core", "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
     wide = (
-        pairs.join(named(one, "l"), "left_id").join(named(two, "r"), "right_id")
-        .where(_worth_comparing())
-        .join(seen.withColumnRenamed("core", "l_core"), "l_core", "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
+        pairs.join(known, "left_id").join(named(two, "r"), "right_id")
+        .withColumn("draw", F.shiftrightunsigned(F.xxhash64("l_print", "r_print"), 1))
         .repartition(parts * 4, "left_id", "right_id")  # comparing costs far more than bytes tell
     )
-    schema = "left_id bigint, right_id bigint" + "".join(f", {f} float" for f in FEATURES) + "".join(f", {v} tinyint" for v in VOTES)
+    schema = "left_id bigint, right_id bigint, draw bigint" + "".join(f", {f} float" for f in FEATURES) + "".join(f", {v} tinyint" for v in VOTES)
     scored = stage(wide.mapInPandas(_featurise, schema), "pairs")
     ident = sum((F.col(v).cast("int") for v in VOTES if v != "vote_time"), F.lit(0))
     label = F.when(ident + F.col("vote_time") >= 2, 1).when(ident <= -1, 0)
@@ -403,14 +428,15 @@ def match_entities(left: DataFrame, right: DataFrame, *, sample: int = 40_000) -
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return scored.select(*[F.col(c).cast(t).alias(c) for c, t in ids.items()], F.lit(None).cast("double").alias("confidence")).limit(0)
-    parts = []
-    for label, n in sizes.items():
+    drawn = []
+    for label, n in sorted(sizes.items()):
         rows = labelled.where(F.col("label") == label)
         if n > sample:
-            rows = rows.where(F.pmod(F.xxhash64("left_id", "right_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-        part = rows.select(*FEATURES).toPandas()
-        parts.append((part.to_numpy(dtype=float), np.full(len(part), float(label)), np.full(len(part), n / max(len(part), 1))))
-    beta, (slope, shift) = train(*[np.concatenate(p) for p in zip(*parts)])
+            rows = rows.where(F.col("draw") < (1 << 63) * sample // n)
+        part = rows.select("draw", *FEATURES).toPandas().sort_values(["draw", *FEATURES])
+        held = part["draw"].to_numpy(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+        drawn.append((part[FEATURES].to_numpy(dtype=float), np.full(len(part), float(label)), np.full(len(part), n / max(len(part), 1)), held % np.uint64(5) == 0))
+    beta, (slope, shift) = train(*[np.concatenate(p) for p in zip(*drawn)])
     logit = sum((F.col(f).cast("double") * float(b) for f, b in zip(FEATURES, beta)), F.lit(float(beta[-1])))
     judged = scored.select(F.col("left_id").alias("left"), F.col("right_id").alias("right"), (1 / (1 + F.exp(-(logit * slope + shift)))).alias("confidence"))
     return _spread(_spread(judged, "left", one, ones, "left_id"), "right", two, twos, "right_id").select("left_id", "right_id", "confidence")
