@@ -12,7 +12,7 @@ from tidemark.llm import mixing, packing, tokens
 def test_fill_never_overflows_and_wastes_little(seed):
     r = random.Random(seed)
     sizes = [min(99, int(r.lognormvariate(2.5, 1)) + 1) for _ in range(3000)]
-    bins = packing.fill(sizes, 100)
+    bins, _ = packing.fill(sizes, 100)
     load = {}
     for b, s in zip(bins, sizes):
         load[b] = load.get(b, 0) + s
@@ -21,9 +21,33 @@ def test_fill_never_overflows_and_wastes_little(seed):
 
 
 def test_fill_keeps_class_counts():
-    assert len(set(packing.fill([60] * 5, 100))) == 5 and len(set(packing.fill([40] * 6, 100))) == 3
-    assert len(set(packing.fill([34] * 4, 100))) == 2 and packing.fill([], 10) == []
-    assert len(set(packing.fill([60, 40, 60, 40], 100))) == 2  # left-over room is refilled
+    n_bins = lambda sizes, **kw: len(set(packing.fill(sizes, 100, **kw)[0]))
+    assert n_bins([60] * 5) == 5 and n_bins([40] * 6) == 3 and n_bins([34] * 4) == 2 and packing.fill([], 10) == ([], [])
+    assert n_bins([60, 40, 60, 40]) == 2 and n_bins([60, 40, 60, 40], refill=False) == 3  # left-over room is refilled
+    r = random.Random(3)
+    sizes = [r.randrange(1, 101) for _ in range(4000)]
+    bins, moved = packing.fill(sizes, 100, refill=False)
+    held = {}
+    for b, s in zip(bins, sizes):
+        held.setdefault(b, []).append(s)
+    assert not any(moved)
+    for j in range(1, packing.CLASSES):  # a class fills its bins with its count, all but the last one
+        own = [len(x) for x in held.values() if min(100 // x[0], packing.CLASSES) == j]
+        assert all(min(100 // s, packing.CLASSES) == j for x in held.values() if min(100 // x[0], packing.CLASSES) == j for s in x)
+        assert sorted(own)[1:] == [j] * (len(own) - 1)
+
+
+def test_the_packing_does_not_depend_on_splits(spark):
+    r = random.Random(8)
+    items = [(r.randrange(300), r.randrange(1, 90)) for _ in range(900)] + [(5, 40)] * 9000
+    boxes = spark.createDataFrame([("a", 64)], "container string, capacity_tokens int")
+    got = []
+    for parts in (2, 7):
+        r.shuffle(items)
+        df = spark.createDataFrame(items, "doc_id bigint, tokens bigint").repartition(parts)
+        got.append(sorted(map(tuple, packing.pack(df, boxes, items_per_worker=700).collect())))
+    assert got[0] == got[1]
+    assert sum(x[7] for x in got[0]) == sum(t for _, t in items)
 
 
 def test_pack(spark):
@@ -56,6 +80,12 @@ def test_poisson_quantiles():
     assert mixing.rate_for(4, 4) == math.inf and mixing.rate_for(0, 4) == 0 and mixing.poisson_steps(math.inf, 3) == [-1.0] * 3
 
 
+def test_large_rates():
+    rate = mixing.rate_for(650.0, 1000)
+    assert math.isfinite(rate) and mixing.mean_repeats(rate, 1000) == pytest.approx(650.0)
+    assert mixing.mean_repeats(mixing.rate_for(4999.5, 5000), 5000) == pytest.approx(4999.5, rel=1e-6) and mixing.poisson_steps(0, 2) == [1.0, 1.0]
+
+
 def test_mix(spark):
     r = random.Random(2)
     docs = [(i, "big" if i < 3000 else "small" if i < 3300 else "tiny", r.randrange(1, 400)) for i in range(3310)] + [(None, "big", 5), (9999, None, 5), (9998, "big", 0), (9997, "big", None)]

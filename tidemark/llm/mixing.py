@@ -13,14 +13,18 @@ GRID = 33
 
 
 def poisson_steps(rate: float, cap: int) -> list[float]:
-    """P(N <= k) for k = 0 .. cap - 1: a uniform number above k of them means k repetitions."""
+    """P(N <= k) for k = 0 .. cap - 1: a uniform number above k of them means k repetitions.
+
+    Terms are summed through their logarithms, so no rate is too large.
+    """
     if math.isinf(rate):
         return [-1.0] * cap
-    out, term, total = [], math.exp(-rate), 0.0
+    if rate <= 0:
+        return [1.0] * cap
+    out, total = [], 0.0
     for k in range(cap):
-        total += term
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
         out.append(min(total, 1.0))
-        term *= rate / (k + 1)
     return out
 
 
@@ -36,9 +40,9 @@ def rate_for(mean: float, cap: int) -> float:
         return math.inf
     lo, hi = 0.0, 1.0
     while mean_repeats(hi, cap) < mean:
-        hi *= 2
-        if hi > 600:
+        if hi > 64 * cap + 1024:  # every document comes the greatest number of times, to the last digit
             return math.inf
+        hi *= 2
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if mean_repeats(mid, cap) < mean else (lo, mid)

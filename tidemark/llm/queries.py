@@ -87,7 +87,37 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.query("p8_unused")
 def p8_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.unused_share(packed_documents(spark, sf_dir)).withColumn("unused_share", F.round("unused_share", 6))
+    """Unused share of every kind of container, by the plain classes and with their left-over room refilled."""
+    sizes = sized_documents(spark, sf_dir).select("doc_id", "tokens")
+    each = [packing.unused_share(packing.pack(sizes, load(spark, sf_dir, "containers"), refill=refill)).withColumn("refill", F.lit(refill)) for refill in (False, True)]
+    return each[0].unionByName(each[1]).withColumns({c: F.round(c, 6) for c in ("unused_share", "refilled_share")})
+
+
+@catalog.query(
+    "p8_invariants",
+    """SELECT container, capacity_tokens, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_items, 0::BIGINT AS tokens_lost, 0::BIGINT AS bins_too_full, 0::BIGINT AS cut_needlessly,
+  0::BIGINT AS first_tokens_wrong FROM (SELECT DISTINCT container, capacity_tokens FROM containers WHERE capacity_tokens > 0)""",
+)
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every packing: each text is placed whole and once, no container is too full,
+    only a text longer than the capacity is cut, and pieces follow each other without a gap."""
+    sizes = sized_documents(spark, sf_dir).select("doc_id", "tokens")
+    packed = stage(packing.pack(sizes, load(spark, sf_dir, "containers")), "packed")  # read by bins and by items
+    kind = ["container", "capacity_tokens"]
+    bins = packed.groupBy(*kind, "bin_id").agg(F.sum("tokens").alias("held")).groupBy(*kind).agg(F.count(F.when(F.col("held") > F.col("capacity_tokens"), 1)).alias("bins_too_full"))
+    whole = packing.numbered(sizes.where("tokens > 0")).withColumnRenamed("tokens", "size")
+    size = F.sum("tokens").alias("placed")
+    pieces = packed.groupBy(*kind, "doc_id", "copy", "bin_id", "part").agg(F.max("tokens").alias("tokens"), F.max("first_token").alias("first_token"))
+    parts = pieces.groupBy(*kind, "doc_id", "copy").agg(
+        size, F.count(F.when((F.col("part") > 0) & (F.col("first_token") < F.col("capacity_tokens")), 1)).alias("cut"),
+        F.count(F.when(F.col("first_token") != F.col("part") * F.col("capacity_tokens"), 1)).alias("wrong"),
+    )
+    n = whole.groupBy("doc_id", "copy").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    items = parts.alias("p").join(n.alias("n"), F.expr("n.doc_id <=> p.doc_id AND n.copy = p.copy"))
+    sums = items.groupBy(*kind).agg(
+        F.sum("n").alias("n_items"), F.sum(F.abs(F.col("size") - F.col("placed"))).alias("tokens_lost"), F.sum("cut").alias("cut_needlessly"), F.sum("wrong").alias("first_tokens_wrong")
+    )
+    return sums.join(bins, kind).select(*kind, "n_items", "tokens_lost", "bins_too_full", "cut_needlessly", "first_tokens_wrong")
 
 
 def mixed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -105,3 +135,26 @@ def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = mixed_documents(spark, sf_dir)[1]
     return shares.withColumn("actual_share", F.round("actual_share", 9)).withColumns({c: F.round(c, 3) for c in ("target_tokens", "exact_up_to")})
+
+
+_SOURCE_SQL = "translate(lower(trim({}, ' ' || chr(9))), '- ', '__')"
+
+
+@catalog.query(
+    "p9_invariants",
+    f"""WITH d AS (SELECT {_SOURCE_SQL.format('source')} AS source, count(*) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND length(text) > 0 GROUP BY 1),
+t AS (SELECT DISTINCT mix, {_SOURCE_SQL.format('source')} AS source, target_share, max_repeats FROM mix_targets)
+SELECT mix, source, round(target_share, 6) AS target_share, max_repeats, coalesce(n, 0) AS n_docs, 0::BIGINT AS used_too_often, 0::BIGINT AS tokens_misreported, true AS shares_add_up FROM t LEFT JOIN d USING (source)""",
+)
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every mix: no document beyond its cap, and the reported tokens and shares are
+    those of the selection."""
+    selection, shares = mixed_documents(spark, sf_dir)
+    used = selection.groupBy("mix", "source", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.max("repeat_no").alias("last"), F.sum("tokens").alias("tokens"))
+    per = used.groupBy("mix", "source").agg(F.max("last").alias("most"), F.sum("tokens").alias("selected"))
+    total = shares.groupBy("mix").agg(F.sum("actual_share").alias("sum"))
+    out = shares.join(per, ["mix", "source"], "left").join(total, "mix")
+    return out.select(
+        "mix", "source", F.round("target_share", 6).alias("target_share"), "max_repeats", "n_docs", F.when(F.col("most") > F.col("max_repeats"), 1).otherwise(0).cast("bigint").alias("used_too_often"),
+        F.abs(F.coalesce("selected", F.lit(0)) - F.col("tokens")).alias("tokens_misreported"), (F.abs(F.col("sum") - 1) < 1e-9).alias("shares_add_up"),
+    )
