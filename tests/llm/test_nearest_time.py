@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import nearest_time
 
@@ -29,33 +30,46 @@ def world(seed, n=150):
 
 
 @pytest.mark.parametrize("seed", range(2))
-@pytest.mark.parametrize("slice_days", [1, 32])
-def test_bounded_tables_equal_brute_force(spark, tmp_path, seed, slice_days):
+@pytest.mark.parametrize("sizes", [{"slice_days": 1, "rows_per_task": 20, "rows_per_buffer": 8}, {"slice_days": 32}])
+def test_bounded_tables_equal_brute_force(spark, seed, sizes):
     left, right = world(seed)
-    spark.createDataFrame(left, "k string, t timestamp, i string").repartition(3).write.parquet(f"{tmp_path}/l.parquet")
-    spark.createDataFrame(right, "k string, t timestamp, i string").write.parquet(f"{tmp_path}/r.parquet")
-    out = nearest_time.nearest_in_time((spark, f"{tmp_path}/l.parquet", "k", "t", "i"), (spark, f"{tmp_path}/r.parquet", "k", "t", "i"), tolerance_seconds=TOL, slice_days=slice_days)
-    assert {tuple(r) for r in out.collect()} == brute(left, right)
-
-
-def test_empty_sides(spark, tmp_path):
-    schema = "k string, t timestamp, i string"
-    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/e.parquet")
-    spark.createDataFrame([("A", T0, "x")], schema).write.parquet(f"{tmp_path}/o.parquet")
-    for a, b in (("e", "o"), ("o", "e"), ("e", "e")):
-        out = nearest_time.nearest_in_time((spark, f"{tmp_path}/{a}.parquet", "k", "t", "i"), (spark, f"{tmp_path}/{b}.parquet", "k", "t", "i"), tolerance_seconds=TOL)
-        assert out.collect() == []
-
-
-def test_one_file_instead_of_a_folder(spark, tmp_path):
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    (tmp_path / "one").mkdir()
-    for name, ident in (("l", "s1"), ("r", "f1")):
-        pq.write_table(pa.table({"k": ["A"], "t": pa.array([T0], pa.timestamp("us", "UTC")), "i": [ident]}), tmp_path / "one" / f"{name}.parquet")
-    out = nearest_time.nearest_in_time((spark, f"{tmp_path}/one/l.parquet", "k", "t", "i"), (spark, f"{tmp_path}/one/r.parquet", "k", "t", "i"), tolerance_seconds=TOL)
-    assert [tuple(r) for r in out.collect()] == [("s1", "f1")]
+    assert run(spark, left, right, **sizes) == brute(left, right)
+
+
+def test_any_date_is_answered(spark):
+    """Before 1970, after 2262, and both at once; half of the rows belong to one entity."""
+    for years in ([1931], [1700, 2700], [1969, 1970, 9000]):
+        left, right = [], []
+        for y in years:
+            at = lambda t: t.replace(year=y)  # noqa: E731, B023
+            a, b = world(y, 60)
+            left += [("A" if n % 2 else k, t and at(t), f"{i}-{y}") for n, (k, t, i) in enumerate(a)]
+            right += [(k, t and at(t), i and f"{i}-{y}") for k, t, i in b]
+        assert run(spark, left, right, slice_days=1, rows_per_task=30) == brute(left, right) != set()
+
+
+SCHEMA = "k string, t timestamp, i string"
+
+
+def run(spark, left, right, **kw):
+    sides = [(spark.createDataFrame(x, SCHEMA).repartition(3), "k", "t", "i") for x in (left, right)]
+    return {tuple(r) for r in nearest_time.nearest_in_time(*sides, tolerance_seconds=TOL, **kw).collect()}
+
+
+def test_empty_sides(spark):
+    one = [("A", T0, "x")]
+    for a, b in (([], one), (one, []), ([], [])):
+        assert run(spark, a, b) == set()
+
+
+def test_the_course_bounds_buffers_and_batches(spark):
+    hot = [("A", T0 + timedelta(minutes=i), f"s{i}") for i in range(6000)]
+    rows = spark.createDataFrame(hot, "entity string, ts timestamp, id string")
+    c = nearest_time.plan_course(rows, slice_days=32, rows_per_buffer=10, rows_per_batch=1000)
+    assert c.slice_days == 3 and c.lanes >= 50 and len(c.starts) == 1
+    spread = rows.withColumn("ts", rows["ts"] + F.expr("make_interval(0, 0, 0, int(substr(id, 2)) div 50)"))
+    c = nearest_time.plan_course(spread, slice_days=8, rows_per_buffer=4000, rows_per_batch=1000)
+    assert c.slice_days == 8 and c.lanes == 1 and 4 <= len(c.starts) <= 6
 
 
 def test_a_stream_in_order_emits_early_and_evicts(spark, tmp_path):

@@ -29,8 +29,8 @@ FROM d WHERE least(db, da) <= 43200000000""",
 )
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pin(spark)
-    signals = (spark, f"{sf_dir}/signals.parquet", "cik", "prev_acceptance", "signal_id")
-    filings = (spark, f"{sf_dir}/filings.parquet", "cik", "acceptance_datetime", "accession")
+    signals = (load(spark, sf_dir, "signals"), "cik", "prev_acceptance", "signal_id")
+    filings = (load(spark, sf_dir, "filings"), "cik", "acceptance_datetime", "accession")
     pairs = nearest_time.nearest_in_time(signals, filings, tolerance_seconds=12 * 3600)
     return pairs.select(F.col("left_id").cast("bigint").alias("signal_id"), F.col("right_id").alias("accession")).distinct()
 
