@@ -42,6 +42,9 @@ _SENTENCE_END = re.compile(r"(?<=[.!?؟।])\s+|(?<=[。！？])\s*")
 _ENDS, _CLOSERS = frozenset(".!?؟।。！？…"), "\"')]”’»」』 \t"
 _BREAK = re.compile(r"[;|/·•、，；：]|[,:](?!\d)|\s[-–—]\s|\s{2,}")
 _LINK = re.compile(r"://|www\.|\]\(|<a\s|\.[a-z]{2,12}/|(?<!\S)[#@]\w|[|>»]")
+_LINK_SIGNS = ("://", "www.", "](", "<a", "/", "#", "@", "|", ">", "»")  # one stands in every link
+_BREAK_SIGNS = ",;:|/·•、，；-–—"  # one stands in every break but a wide blank
+_ASCII_NO_LETTER = bytes(b for b in range(128) if not chr(b).isalpha())
 _MIXED = re.compile(r"(?<=[a-z])[013457]|[013457](?=[a-z])")
 
 
@@ -71,7 +74,8 @@ def clause_letters(segment: str) -> int:
     if n < (5 if dense else 3) or kinds < VARIETY * min(n, 40):
         return 0
     ended = segment.rstrip(_CLOSERS)[-1:] in _ENDS
-    pieces = 1 + len(_BREAK.findall(segment.rstrip(" .;!?")))
+    breaks = sum(map(segment.count, _BREAK_SIGNS)) + segment.count("  ") if latin else n
+    pieces = 1 + (len(_BREAK.findall(segment.rstrip(" .;!?"))) if breaks >= 3 else breaks)
     if pieces >= 4 and n < (4.5 if dense else 2.6) * pieces:
         return 0
     if dense:
@@ -154,10 +158,12 @@ def page_measures(text: str | None, enough: float = 2.0) -> tuple[float, float]:
     if not text:
         return 1.0, 0.0
     t = fold(text)
-    letters = len(_NO_LETTER.sub("", t))
+    letters = len(t.encode().translate(None, _ASCII_NO_LETTER)) if t.isascii() else len(_NO_LETTER.sub("", t))
     if not letters:
         return 1.0, 0.0
-    held, clause, links = 0, bytearray(len(t)), [m.start() for m in _LINK.finditer(t)]
+    held, clause, links = 0, bytearray(len(t)), []
+    if any(sign in t for sign in _LINK_SIGNS):
+        links = [m.start() for m in _LINK.finditer(t)]
     for lo, hi in segments(t):
         at = bisect_left(links, lo)
         if at < len(links) and links[at] < hi:
