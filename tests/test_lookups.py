@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from datetime import date
+import random
+from datetime import date, timedelta
+
+import pytest
 
 from tests.conftest import rows
 from tidemark.operators import pit
@@ -57,3 +60,28 @@ def test_empty_snapshots(spark):
     empty = membership(spark).limit(0)
     assert snapshot_calendar(empty, "snapshot_date").collect() == []
     assert pit.members_as_of(days(spark, "2020-03-01"), empty, day="day", date="snapshot_date", member="ticker").collect() == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_validity_and_activity_equal_brute_force(spark, seed):
+    """Nested, touching, empty and open ranges, most of them of one key; ties, repeats and nulls."""
+    r = random.Random(seed)
+    day = lambda lo=0, hi=900: date(2019, 1, 1) + timedelta(days=r.randrange(lo, hi))
+    maybe = lambda x: None if r.random() < 0.15 else x
+    key = lambda: r.choice(["HOT", "HOT", "B", "C", None, f"k{r.randrange(9)}"])
+    ranges = [(key(), maybe(day()), maybe(day()), r.randrange(4), r.randrange(50)) for _ in range(120)]
+    ranges += ranges[:5]
+    asked = [(key(), maybe(day(-200, 1200)), i) for i in range(150)]
+    R = spark.createDataFrame(ranges, "k string, a date, b date, o int, v int")
+    A = spark.createDataFrame(asked, "k string, d date, i int")
+    got = {x["i"]: x["v"] for x in pit.resolve_validity(A, R, key="k", day="d", valid_from="a", valid_to="b", order=["o", "v"], values=["v"]).collect()}
+    for k, d, i in asked:
+        own = [x for x in ranges if k is not None and x[0] == k]
+        hold = [(o, v) for _, a, b, o, v in own if d and (a is None or a <= d) and (b is None or b >= d)]
+        want = min(hold)[1] if hold else own[0][4] if len(own) == 1 else None
+        assert got[i] == want, (k, d)
+    pairs = spark.createDataFrame([(k, a, b, n) for n, (k, a, b, *_) in enumerate(ranges)], "k string, a date, b date, n int")
+    near = {x["n"] for x in pit.near_window(pairs, A, key="k", first="a", last="b", at="d", pad_days=3).collect()}
+    pad = timedelta(days=3)
+    assert near == {n for n, (k, a, b, *_) in enumerate(ranges) if k and a and b and any(x == k and d and a - pad <= d <= b + pad for x, d, _ in asked)}
+    assert pit.resolve_validity(A.limit(0), R, key="k", day="d", valid_from="a", valid_to="b", order=["o"], values=["v"]).collect() == []

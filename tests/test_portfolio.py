@@ -4,6 +4,7 @@ import math
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,28 @@ def test_deflated_sharpe(spark):
     out = {r["v"]: r for r in statistics.deflated(m, 10, 0.01).collect()}
     x = np.array([0.01, 0.02, -0.01, 0.03, 0.0])
     assert out["v"]["sharpe"] == pytest.approx(x.mean() / x.std(ddof=1)) and 0 < out["v"]["dsr"] < 1 and out["one"]["dsr"] is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ordinals_and_rank_correlation_equal_brute_force(spark, seed):
+    """Most rows in one group, half of its values equal, null groups, NaN and null values, repeated rows."""
+    r = np.random.default_rng(seed)
+    data = [(None if i % 17 == 0 else "hot" if i % 3 else "b", float(r.integers(0, 5)) if i % 2 else 7.0, None if i % 29 == 0 else float("nan") if i % 31 == 0 else float(r.integers(0, 40))) for i in range(400)]
+    data += data[:9] + [("one", 1.0, 2.0), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0)]
+    df = spark.createDataFrame(data, "g string, x double, y double").withColumn("extra", F.lit(1)).repartition(5)
+    placed = ranking.ordinals(df, ["g"], ["x", "y"], "p").toPandas()
+    for _, part in placed.groupby("g", dropna=False):
+        assert sorted(part["p"]) == list(range(1, len(part) + 1)) and part.sort_values("p")["x"].is_monotonic_increasing
+    got = {x["g"]: (x["n"], x["ic"]) for x in ranking.rank_correlation(df, ["g"], "x", "y").collect()}
+    pdf = pd.DataFrame(data, columns=["g", "x", "y"]).dropna(subset=["x", "y"])
+    for g, part in pdf.groupby("g", dropna=False):
+        n, ic = got.pop(None if g != g or g is None else g)
+        want = part["x"].rank().corr(part["y"].rank()) if part["x"].nunique() > 1 and part["y"].nunique() > 1 else None
+        assert n == len(part) and ic == (None if want is None else pytest.approx(want))
+    assert not got and ranking.rank_correlation(df.limit(0), ["g"], "x", "y").collect() == []
+
+
+def test_t_without_spread(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (1.0, None), (1.0, 2.0)], "m double, s double")
+    got = [x[0] for x in df.select(portfolio.t_stat(F.col("m"), F.col("s"), F.lit(4))).collect()]
+    assert got[0] == float("inf") and got[1] == float("-inf") and got[2] != got[2] and got[3:] == [None, 1.0]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from tests.conftest import rows
 from tidemark import session
 from tidemark.catalog import Catalog
@@ -10,7 +12,7 @@ def test_stage_survives_its_source_and_can_be_swept(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     kept = session.stage(df, "t")
     assert kept.schema == df.schema and rows(kept) == rows(df)
-    path = session._made[-1]
+    path = session._made[spark.sparkContext.applicationId][-1]
     assert path.startswith(session.scratch_root(spark)) and rows(spark.read.parquet(path)) == rows(df)
     session.sweep(spark)
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,3 +35,18 @@ def test_catalog_refuses_a_name_twice():
         except ValueError:
             continue
         raise AssertionError
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Away:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext, conf = Away(), {}
+
+    with pytest.raises(RuntimeError, match="share"):
+        session.scratch_root(Session())
+    Away.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError, match="share"):
+        session.scratch_root(Session())

@@ -90,3 +90,14 @@ def test_a_mask_is_compiled_once():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "t string").withColumn("at", ts.parse_timestamp(F.col("t")))
     assert df.collect() == []
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Europe/Berlin", "Australia/Sydney", "Africa/Casablanca", "Asia/Kolkata", "America/Caracas"])
+def test_zone_tables_hold_in_every_century(zone):
+    """Against the time zone library itself, up to where it counts itself, and by the 400 years after which rules repeat."""
+    z, version = ZoneInfo(zone), ts.zone_version()
+    walls = [datetime(y, m, d, 12) for y in (1, 1700, 1850, 1899, 1943, 1999, 2024, 2100, 2150, 2499, 2500, 2950, 9999) for m, d in ((1, 15), (7, 1), (3, 28), (10, 30))]
+    secs = np.array([int((w - datetime(1970, 1, 1)).total_seconds()) for w in walls])
+    got, ok = ts.wall_to_instant(secs, zone, version)
+    want = [s - int(w.replace(tzinfo=z).utcoffset().total_seconds()) for s, w in zip(secs, walls)]
+    assert ok.all() and got.tolist() == want

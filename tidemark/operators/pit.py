@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import asof_join
 from tidemark.operators.snapshots import snapshot_calendar
 
 
@@ -47,6 +48,19 @@ def member_windows(membership: DataFrame, *, date: str, member: str, end: str) -
     )
 
 
+def _dyadic(first: Column, last: Column, levels: int) -> Column:
+    """The fewest aligned blocks (level, block) of 2^level days that make up [first, last], two a level at most."""
+
+    def at(level: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1), level)
+        lo, hi = F.ceil(first / width).cast("int"), (F.floor((last + 1) / width) - 1).cast("int")
+        inside = lo <= hi  # then both blocks lie within the range
+        return F.array(F.struct(level.alias("level"), F.when(inside & (lo % 2 == 1), lo).alias("block")), F.struct(level.alias("level"), F.when(inside & (hi % 2 == 0), hi).alias("block")))
+
+    blocks = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+    return F.array_distinct(F.filter(blocks, lambda b: b["block"].isNotNull()))
+
+
 def resolve_validity(
     asked: DataFrame, ranges: DataFrame, *, key: str, day: str, valid_from: str, valid_to: str, order: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
@@ -54,25 +68,40 @@ def resolve_validity(
 
     Of several, the first by ``order``; where none holds the day but the key has exactly one range,
     that one.  Null bounds are open.  Each distinct (key, day) is looked up once.
+
+    A range is cut into aligned blocks of 1, 2, 4, ... days, of which only the first range by
+    ``order`` is kept, and a day asks the one block of each width that holds it: work grows with
+    ranges and days, never with their product, and a hot key spreads over its blocks.
     """
-    n = ranges.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    packed = ranges.where(F.col(key).isNotNull()).join(n, key).select(
-        key, F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to"), "_n", F.struct(*order).alias("_o"), F.struct(*[F.col(v).alias(v) for v in values]).alias("_v")
-    )
-    holds = (F.col("_from").isNull() | (F.col("_from") <= F.col(day))) & (F.col("_to").isNull() | (F.col("_to") >= F.col(day)))
-    days = asked.select(key, day).distinct()
-    best = (
-        days.join(packed, key).where(holds | (F.col("_n") == 1))
-        .groupBy(key, day).agg(F.min_by("_v", F.struct((~holds).alias("_miss"), "_o")).alias("_v"))
-    )
-    return asked.join(best, [key, day], "left").select(*asked.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
+    kept = ranges.where(F.col(key).isNotNull()).select(key, F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to"), F.struct(*order).alias("_o"), F.struct(*[F.col(v).alias(v) for v in values]).alias("_v"))
+    days = asked.select(key, day).where(F.col(key).isNotNull() & F.col(day).isNotNull()).distinct()
+    span = days.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+    if span["a"] is None:
+        return asked.select(*asked.columns, *[F.lit(None).cast(ranges.schema[v].dataType).alias(v) for v in values])
+    origin, width = F.lit(span["a"]), (span["b"] - span["a"]).days
+    first = F.greatest(F.datediff("_from", origin), F.lit(0))
+    last = F.least(F.datediff("_to", origin), F.lit(width))
+    levels = width.bit_length()
+    bounded = kept.select(key, "_o", "_v", F.coalesce(first, F.lit(0)).alias("_a"), F.coalesce(last, F.lit(width)).alias("_b")).where("_a <= _b")
+    blocks = bounded.select(key, F.inline(_dyadic(F.col("_a"), F.col("_b"), levels)), "_o", "_v").groupBy(key, "level", "block").agg(F.min(F.struct("_o", "_v")).alias("_best"))
+    at = F.datediff(day, origin)
+    looks = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda n: F.struct(n.alias("level"), F.floor(at / F.call_function("shiftleft", F.lit(1), n)).cast("int").alias("block")))
+    held = days.select(key, day, F.inline(looks)).join(blocks, [key, "level", "block"]).groupBy(key, day).agg(F.min("_best").alias("_best"))
+    only = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_only")).where("_n = 1").drop("_n")
+    found = asked.join(held, [key, day], "left").join(only, key, "left").withColumn("_v", F.coalesce("_best._v", "_only"))
+    return found.select(*asked.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def near_window(pairs: DataFrame, activity: DataFrame, *, key: str, first: str, last: str, at: str, pad_days: int) -> DataFrame:
-    """Rows of ``pairs`` whose key was active at least once within the padded window, inclusive."""
-    a = activity.select(F.col(key).alias("_k"), F.col(at).alias("_at")).where("_k IS NOT NULL").distinct()
-    close = (F.col("_at") >= F.date_sub(first, pad_days)) & (F.col("_at") <= F.date_add(last, pad_days))
-    return pairs.join(a, (F.col(key) == F.col("_k")) & close, "left_semi")
+    """Rows of ``pairs`` whose key was active at least once within the padded window, inclusive.
+
+    The first activity at or after the window's beginning decides, so a key with many activities is
+    met once; a row without a key or a bound is not near.
+    """
+    a = activity.select(F.col(key), F.col(at).alias("_at")).where(F.col(key).isNotNull() & F.col("_at").isNotNull()).distinct()
+    opens = pairs.where(F.col(key).isNotNull() & F.col(first).isNotNull() & F.col(last).isNotNull()).withColumn("_opens", F.date_sub(first, pad_days))
+    met = asof_join(opens, a.withColumn("_met", F.col("_at")), keys=[key], left_time="_opens", right_time="_at", values=["_met"], direction="forward", slice_width=1024)
+    return met.where(F.col("_met") <= F.date_add(last, pad_days)).select(*pairs.columns)
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.pit import in_force
-from tidemark.operators.ranking import bucket, rank_correlation
+from tidemark.operators.ranking import bucket, ordinals, rank_correlation
 from tidemark.session import stage
 
 
@@ -49,14 +49,15 @@ def row_horizon(prices: DataFrame, rows: int) -> DataFrame:
     return clean.withColumns({"exit_date": F.lead("date", rows).over(w), "exit_close": F.lead("adj_close", rows).over(w)})
 
 
-def _legs(panel: DataFrame, q: int, min_stocks: int, size: str | None) -> DataFrame:
+def legs(panel: DataFrame, q: int, min_stocks: int, size: str | None = None) -> DataFrame:
+    """The panel's usable rows of periods that have enough of them, with ``n``, the place ``r`` by
+    (score, ticker, cik) and the bucket ``q``; a period may be of any size."""
     ok = panel.where("score IS NOT NULL AND ret IS NOT NULL AND NOT isnan(score) AND NOT isnan(ret)")
     if size:
         ok = ok.where(F.col(size) > 0)
-    by_date = W.partitionBy("date")
-    n = F.count(F.lit(1)).over(by_date)
-    r = F.row_number().over(by_date.orderBy("score", "ticker", "cik"))
-    return ok.withColumns({"n": n, "r": r}).where(F.col("n") >= min_stocks).withColumn("q", bucket(F.col("r"), F.col("n"), q))
+    placed = ordinals(ok, ["date"], ["score", "ticker", "cik"], "r")
+    n = placed.groupBy("date").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_stocks)
+    return placed.join(n, "date").withColumn("q", bucket(F.col("r"), F.col("n"), q))
 
 
 def long_short(panel: DataFrame, *, q: int = 5, min_stocks: int = 100, cost_bp: float = 10.0, size: str | None = None) -> DataFrame:
@@ -68,14 +69,15 @@ def long_short(panel: DataFrame, *, q: int = 5, min_stocks: int = 100, cost_bp:
     Periods with fewer than ``min_stocks`` usable rows are left out.  No row's state depends on
     more than the period before, so all periods are computed at once.
     """
-    legs = stage(_legs(panel, q, min_stocks, size), "legs")  # read by returns, trades, quantiles and ranks
-    periods = legs.select("date").distinct().withColumn("i", F.row_number().over(W.orderBy("date")))
+    rows = stage(legs(panel, q, min_stocks, size), "legs")  # read by returns, trades, quantiles and ranks
+    periods = rows.select("date").distinct().withColumn("i", F.row_number().over(W.orderBy("date")))
     leg = F.when(F.col("q") == q, 1).when(F.col("q") == 1, -1)
     base = F.col(size) if size else F.lit(1.0)
-    held = legs.withColumn("leg", leg).where("leg IS NOT NULL").join(periods, "date")
-    held = held.withColumn("w", base / F.sum(base).over(W.partitionBy("date", "leg")))
-    grown = F.col("w") * (1 + F.coalesce("ret", F.lit(0.0)))
-    drifted = held.withColumn("w_prev", grown / F.sum(grown).over(W.partitionBy("date", "leg"))).select((F.col("i") + 1).alias("i"), "leg", "cik", "w_prev")
+    held = rows.withColumn("leg", leg).where("leg IS NOT NULL").join(periods, "date")
+    grown = base * (1 + F.coalesce("ret", F.lit(0.0)))
+    sums = held.groupBy("i", "leg").agg(F.sum(base).alias("_base"), F.sum(grown).alias("_grown"))  # two rows a period
+    held = held.join(sums, ["i", "leg"]).withColumns({"w": base / F.col("_base"), "_drift": grown / F.col("_grown")})
+    drifted = held.select((F.col("i") + 1).alias("i"), "leg", "cik", F.col("_drift").alias("w_prev"))
     target = held.select("i", "leg", "cik", "w")
     trades = (
         target.join(drifted, ["i", "leg", "cik"], "full")
@@ -86,8 +88,8 @@ def long_short(panel: DataFrame, *, q: int = 5, min_stocks: int = 100, cost_bp:
         _leg_return(1).alias("ret_long"), _leg_return(-1).alias("ret_short"),
         F.count(F.when(F.col("leg") == 1, 1)).alias("n_long"), F.count(F.when(F.col("leg") == -1, 1)).alias("n_short"),
     )
-    quantiles = legs.groupBy("date").agg(F.first("n").alias("n_stocks"), *[F.avg(F.when(F.col("q") == k, F.col("ret"))).alias(f"ret_q{k}") for k in range(1, q + 1)])
-    ic = rank_correlation(legs, ["date"], "score", "ret").select("date", "ic")
+    quantiles = rows.groupBy("date").agg(F.first("n").alias("n_stocks"), *[F.avg(F.when(F.col("q") == k, F.col("ret"))).alias(f"ret_q{k}") for k in range(1, q + 1)])
+    ic = rank_correlation(rows, ["date"], "score", "ret", x_place="r").select("date", "ic")
     cost = F.col("traded") * cost_bp * 1e-4
     spread = F.col("ret_long") - F.col("ret_short")
     return (
@@ -102,8 +104,10 @@ def _leg_return(leg: int) -> Column:
 
 
 def t_stat(mean: Column, sd: Column, n: Column) -> Column:
-    """mean / (sd / sqrt n); null where the sd is zero or missing."""
-    return F.when(sd > 0, mean / (F.when(sd > 0, sd) / F.sqrt(n)))
+    """mean / (sd / sqrt n); without spread infinite with the mean's sign, NaN where that is zero
+    too, null where the sd is missing."""
+    flat = F.when(mean > 0, float("inf")).when(mean < 0, float("-inf")).when(mean == 0, float("nan"))
+    return F.when(sd > 0, mean / (F.when(sd > 0, sd) / F.sqrt(n))).when(sd == 0, flat)
 
 
 def growth(monthly: DataFrame, value: str, groups: Sequence[str] = (), order: str = "date") -> DataFrame:

@@ -101,9 +101,17 @@ def zone_version() -> str:
         return "unknown"
 
 
+CYCLE = 146_097 * 86_400  # 400 years, a whole number of weeks: the rules of all zones repeat after it
+_SCANNED = [(-5_364_662_400, 20), (-2_208_988_800, 1), (4_102_444_800, 20)]  # from 1800, 1900 and 2100 on: days between looks
+_SCAN_END = 16_725_225_600  # 2500
+
+
 @lru_cache(maxsize=None)
 def transitions(version: str, name: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """(instants at which an offset begins, offsets), seconds, 1900 to 2100; None for no zone."""
+    """(instants at which an offset begins, offsets), seconds, 1800 to 2500; None for no zone.
+
+    Before 1800 the first offset holds; what comes after 2500 repeats with :data:`CYCLE`.
+    """
     import zoneinfo
 
     try:
@@ -114,18 +122,19 @@ def transitions(version: str, name: str) -> tuple[np.ndarray, np.ndarray] | None
     def offset(at: int) -> int:
         return int((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=at)).astimezone(zone).utcoffset().total_seconds())
 
-    first, last = -2208988800, 4102444800
-    at, off = [-(1 << 50)], [offset(first)]
-    prev = first
-    for day in range(first + 86400, last, 86400):
-        if offset(day) != off[-1]:
-            lo, hi = prev, day
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if offset(mid) == off[-1] else (lo, mid)
-            at.append(hi)
-            off.append(offset(hi))
-        prev = day
+    prev = _SCANNED[0][0]
+    at, off = [-(1 << 50)], [offset(prev)]
+    ends = [first for first, _ in _SCANNED[1:]] + [_SCAN_END]
+    for (first, days), end in zip(_SCANNED, ends):
+        for look in range(first, end, days * 86400):
+            if offset(look) != off[-1]:
+                lo, hi = prev, look
+                while hi - lo > 1:
+                    mid = (lo + hi) // 2
+                    lo, hi = (mid, hi) if offset(mid) == off[-1] else (lo, mid)
+                at.append(hi)
+                off.append(offset(hi))
+            prev = look
     return np.array(at, dtype=np.int64), np.array(off, dtype=np.int64)
 
 
@@ -135,7 +144,11 @@ def wall_to_instant(wall: np.ndarray, zone: str, version: str) -> tuple[np.ndarr
     if table is None:
         return wall, np.zeros(len(wall), dtype=bool)
     at, off = table
-    offset = lambda s: off[np.searchsorted(at, s, side="right") - 1]
+
+    def offset(s: np.ndarray) -> np.ndarray:
+        rounds = np.maximum(-(-(s + 86_400 - _SCAN_END) // CYCLE), 0)
+        return off[np.searchsorted(at, s - rounds * CYCLE, side="right") - 1]
+
     o1, o2 = offset(wall - 86400 - off.max()), offset(wall + 86400 - off.min())
     u1, u2 = wall - o1, wall - o2
     ok1, ok2 = offset(u1) == o1, offset(u2) == o2

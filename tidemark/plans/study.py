@@ -163,10 +163,7 @@ def _legs_sql(size: bool = False, name: str = "legs", source: str = "panel_r") -
 
 @catalog.query("quantile_buckets", f"WITH {_PANEL_CTES}, {_legs_sql()} SELECT date::VARCHAR AS date, q, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(ret), 6) AS mean_ret FROM legs GROUP BY date, q")
 def quantile_buckets(spark: SparkSession, d: str) -> DataFrame:
-    p = panel(spark, d)
-    by_date = W.partitionBy("date")
-    n, r = F.count(F.lit(1)).over(by_date), F.row_number().over(by_date.orderBy("score", "ticker", "cik"))
-    legs = p.withColumns({"n": n, "r": r}).where(F.col("n") >= roles.min_stocks(spark, d)).withColumn("q", ranking.bucket(F.col("r"), F.col("n"), Q))
+    legs = portfolio.legs(panel(spark, d), Q, roles.min_stocks(spark, d))
     out = legs.groupBy("date", "q").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("ret"), 6).alias("mean_ret"))
     return out.withColumn("date", F.col("date").cast("string"))
 
@@ -308,7 +305,7 @@ def noise_sanity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_COVER_SQL = f"""months AS (SELECT last_day(m::DATE) AS month FROM (SELECT unnest(generate_series(DATE '2012-01-01', DATE '2018-12-01', INTERVAL 1 MONTH)) AS m)),
+_COVER_SQL = f"""months AS (SELECT last_day(m::DATE) AS month FROM (SELECT unnest(generate_series(date_trunc('month', min(snapshot_date)), date_trunc('month', max(snapshot_date)), INTERVAL 1 MONTH)) AS m FROM members_r)),
 month_members AS (SELECT month AS day, ticker FROM months JOIN cal_r c ON month >= c.snapshot_date AND (c.next_date IS NULL OR month < c.next_date)
   JOIN members_r m ON m.snapshot_date = c.snapshot_date WHERE ticker IS NOT NULL),
 {lookups.VALID_SQL.format(out='held', asked='month_members')},
@@ -322,9 +319,12 @@ _COVER_CTES = f"{roles.ctes('daily', 'members', 'calendar', 'ranges')}, {_COVER_
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     """(month, ticker, cik, yahoo_symbol, has_price, missing_reason) of every member at every month-end;
-    membership counts on the calendar month-end, prices on the last trading day of the month."""
-    months = spark.sql("SELECT explode(sequence(DATE'2012-01-01', DATE'2018-12-01', INTERVAL 1 MONTH)) AS m").select(F.last_day("m").alias("day"))
-    on_day = pit.members_as_of(months, roles.members(spark, d), day="day", date="snapshot_date", member="ticker").select("day", "ticker")
+    membership counts on the calendar month-end, prices on the last trading day of the month.  The
+    months run from the first snapshot's to the last one's."""
+    members = roles.members(spark, d)
+    span = members.agg(F.trunc(F.min("snapshot_date"), "MM").alias("a"), F.trunc(F.max("snapshot_date"), "MM").alias("b")).where("a IS NOT NULL")
+    months = span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("m")).select(F.last_day("m").alias("day"))
+    on_day = pit.members_as_of(months, members, day="day", date="snapshot_date", member="ticker").select("day", "ticker")
     daily = roles.daily(spark, d)
     trading = daily.groupBy(F.trunc("date", "MM").alias("_m")).agg(F.max("date").alias("date"))
     priced = daily.join(trading, "date").select("_m", "symbol", F.lit(True).alias("priced"))
@@ -344,7 +344,7 @@ def coverage_by_year(spark: SparkSession, d: str) -> DataFrame:
     return coverage(spark, d).groupBy(F.year("month").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("has_price").cast("int")), 6).alias("share"))
 
 
-_PERIODS = [("all", "2012-01-01", "2018-12-31"), ("early", "2012-01-01", "2015-12-31"), ("late", "2015-01-01", "2018-12-31")]
+_PERIODS = [("all", normal.MIN_DAY, normal.MAX_DAY), ("early", normal.MIN_DAY, "2015-12-31"), ("late", "2015-01-01", normal.MAX_DAY)]
 
 
 @catalog.query(

@@ -7,6 +7,7 @@ assumes a local file system shared by accident: intermediate tables go to the fo
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,27 +42,47 @@ def pin(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables and checkpoints."""
+    """The shared folder for written intermediate tables and checkpoints.
+
+    It has to be set where executors run on other machines; only a local session makes its own.
+    """
     root = spark.sparkContext.getConf().get(SCRATCH_KEY) or spark.conf.get(SCRATCH_KEY, None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{SCRATCH_KEY} must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(SCRATCH_KEY, root)
     return root.rstrip("/")
 
 
-_made: list[str] = []
+_made: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{scratch_root(spark)}/tidemark-{tag}-{uuid.uuid4().hex[:12]}"
-    _made.append(path)
+    """A new folder's name; the session's folders lie in one, which goes when the session's JVM ends."""
+    app = spark.sparkContext.applicationId
+    home = f"{scratch_root(spark)}/tidemark-{app}"
+    if app not in _made:
+        _made[app] = []
+        _file_system(spark, home).deleteOnExit(_hadoop_path(spark, home))
+    path = f"{home}/{tag}-{uuid.uuid4().hex[:12]}"
+    _made[app].append(path)
     return path
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete the intermediate tables made so far; results read from them are gone with them."""
-    while _made:
-        drop_scratch(spark, _made.pop())
+    """Delete the intermediate tables this session made so far; results read from them are gone with them."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    while made:
+        drop_scratch(spark, made.pop())
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -74,6 +95,4 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete one folder made by :func:`scratch_path`."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _file_system(spark, path).delete(_hadoop_path(spark, path), True)
