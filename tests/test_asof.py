@@ -7,7 +7,7 @@ import pytest
 
 from tests.conftest import rows
 from tidemark.operators.asof import asof_join
-from tidemark.operators.eventtime import known_as_of, valid_keys
+from tidemark.operators.eventtime import known_as_of, periods_of_both, valid_keys
 
 D0 = date(2020, 1, 1)
 
@@ -96,8 +96,10 @@ def test_valid_keys_equals_brute_force(spark):
     for _ in range(25):
         a = D0 + timedelta(days=r.randrange(300))
         ranges.append((r.choice([1, 2]), r.choice(["X", "Y", "Z", None]), r.choice([a, a, None]), r.choice([a + timedelta(days=r.randrange(-5, 60)), None])))
-    got = valid_keys(
-        spark.createDataFrame(events, "i int, c int, t date"), spark.createDataFrame(ranges, "c int, m string, a date, b date"), entity="c", member="m", event_time="t", valid_from="a", valid_to="b", slice_days=40
+    runs = [("X", D0, D0 + timedelta(days=90)), ("X", D0 + timedelta(days=120), D0 + timedelta(days=400)), ("Y", D0 - timedelta(days=9), date(9999, 12, 31)), (None, D0, D0)]
+    both = periods_of_both(
+        spark.createDataFrame(ranges, "c int, m string, a date, b date"), spark.createDataFrame(runs, "m string, u date, v date"), entity="c", member="m", valid_from="a", valid_to="b", run_from="u", run_to="v"
     )
-    want = {(i, c, t, m) for i, c, t in events for rc, m, a, b in ranges if c == rc and m and (a is None or a <= t) and (b is None or b >= t)}
+    got = valid_keys(spark.createDataFrame(events, "i int, c int, t date"), both, entity="c", member="m", event_time="t", slice_days=40)
+    want = {(i, c, t, m) for i, c, t in events for rc, m, a, b in ranges if c == rc and m and (a is None or a <= t) and (b is None or b >= t) and any(n == m and u <= t <= v for n, u, v in runs)}
     assert {tuple(x) for x in got.select("i", "c", "t", "m").collect()} == want and got.count() == len(want)

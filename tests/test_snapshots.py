@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 
 from tests.conftest import rows
-from tidemark.operators.snapshots import snapshot_changes, version_history
+from tidemark.operators.snapshots import pruned_share, snapshot_changes, version_history
 
 DAYS = [date(2020, 1, 1) + timedelta(days=11 * i) for i in range(19)]
 SCHEMA = "d date, e string, p string, q int, extra string"
@@ -68,10 +68,10 @@ def test_history_equals_brute_force(spark, seed, block_bits):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("bits", [(2, 1), (12, 4), (5, 3)])
-def test_changes_equal_brute_force(spark, seed, bits):
+@pytest.mark.parametrize(("rows_per_leaf", "fanout_bits"), [(8, 1), (1, 2), (1000, 8)])
+def test_changes_equal_brute_force(spark, seed, rows_per_leaf, fanout_bits):
     data = world(seed)
-    got = snapshot_changes(spark.createDataFrame(data, SCHEMA), date="d", entity="e", payload=["p", "q"], leaf_bits=bits[0], fanout_bits=bits[1])
+    got = snapshot_changes(spark.createDataFrame(data, SCHEMA), date="d", entity="e", payload=["p", "q"], rows_per_leaf=rows_per_leaf, fanout_bits=fanout_bits)
     assert rows(got) == sorted(brute_changes(data), key=key)
 
 
@@ -100,3 +100,11 @@ def test_no_payload_means_presence(spark):
     data = [(DAYS[0], "E", "a", 1, ""), (DAYS[1], "E", "b", 2, ""), (DAYS[2], "F", "b", 2, "")]
     got = version_history(spark.createDataFrame(data, SCHEMA), date="d", entity="e", payload=[])
     assert rows(got) == [("E", DAYS[0], DAYS[2] - timedelta(days=1)), ("F", DAYS[2], date(9999, 12, 31))]
+
+
+def test_unchanged_leaves_need_no_rows(spark):
+    """Twenty of 4,000 entities change: nearly all leaves are passed over, at any size."""
+    for n in (400, 4000):
+        data = [(d, f"e{i}", str(d.day if i % 200 == 0 else 0), i, "") for d in DAYS[:2] for i in range(n)]
+        (row,) = pruned_share(spark.createDataFrame(data, SCHEMA), date="d", entity="e", payload=["p", "q"]).collect()
+        assert row["differing"] == n // 200 and row["pruned_share"] > 0.95

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -49,8 +50,9 @@ def known_as_of(
     Method: entities are hashed into buckets and time is cut into slices; each (bucket, slice)
     runs an ASOF LEFT JOIN in an embedded DuckDB.  A slice holds the versions that became known in
     it and, per entity with events there, the one carried in from before, so neither a hot entity's
-    versions nor its events gather in one task; events of a slice beyond ``rows_per_task`` are
-    salted and its versions repeated for each salt.
+    versions nor its events gather in one task.  The number of buckets follows from the counted
+    rows.  Only an entity that has more than ``rows_per_task`` events in a slice is salted: its
+    events are dealt to as many buckets, and its own versions of that slice alone go to each.
 
     Ties (several versions of an entity at one tick) are settled before the join: the greatest
     tuple of ``values``, nulls lowest.  Events with a null key or time, or without any version,
@@ -59,7 +61,6 @@ def known_as_of(
     """
     keys, values = list(keys), list(values)
     spark = events.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = {v: v if v not in events.columns else f"{v}_known" for v in values}
     left = events.withColumn("_t", ticks(events, event_time))
     left = left.withColumn("_slice", slice_of(F.col("_t"), slice_width))
@@ -73,36 +74,37 @@ def known_as_of(
         .groupBy(*keys, "_t").agg(F.max("_s").alias("_s"))
         .withColumn("_slice", slice_of(F.col("_t"), slice_width))
     )
-    wanted = left.where(present & F.col("_t").isNotNull()).select(*keys, "_slice").distinct()
+    right = stage(right, "versions")  # read by the slices and by what is carried in
+    counted = left.where(present & F.col("_t").isNotNull()).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    counted = stage(counted, "wanted")  # read by both and by the counts
+    wanted = counted.select(*keys, "_slice")
     carried = carried_in(right, wanted, keys)
     right = right.join(wanted, [*keys, "_slice"], "left_semi").select(*keys, "_t", "_s", "_slice").unionByName(carried)
 
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    sizes = counted.agg(F.sum("_n").alias("n"), F.max("_n").alias("most")).first()
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(((sizes["n"] or 0) + versions.count()) / rows_per_task))
+    left, right = left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
+    if (sizes["most"] or 0) > rows_per_task:
+        hot = counted.where(F.col("_n") > rows_per_task).select(*keys, "_slice", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
+        salts = F.coalesce("_salts", F.lit(1))
+        left = left.join(hot, [*keys, "_slice"], "left").withColumn("_salt", F.pmod(F.xxhash64(*events.columns), salts).cast("int")).drop("_salts")
+        right = right.join(hot, [*keys, "_slice"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    bucket = F.pmod(F.xxhash64(*keys, "_salt"), F.lit(n)).cast("int")
     left, right = left.withColumn("_bucket", bucket), right.withColumn("_bucket", bucket)
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # its own attributes, if both sides share a source
-    salts = (
-        left.groupBy("_bucket", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_task)
-        .select("_bucket", "_slice", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
-    )
-    left = left.join(salts, ["_bucket", "_slice"], "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*events.columns), F.coalesce("_salts", F.lit(1))).cast("int")
-    ).drop("_salts")
-    right = right.join(salts, ["_bucket", "_slice"], "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    ).drop("_salts").select(*keys, "_t", F.col("_s.*"), "_bucket", "_slice", "_salt").drop("_one")
-
-    group = ["_bucket", "_slice", "_salt"]
+    right = right.select(*keys, "_t", F.col("_s.*"), "_bucket", "_slice", "_salt").drop("_one")
+
+    group, keyed = ["_bucket", "_slice"], [*keys, "_salt"]
     kinds = {f.name: f for f in versions.schema.fields}
     schema = T.StructType([*events.schema.fields, *[T.StructField(names[v], kinds[v].dataType) for v in values]])
     event_cols = events.columns
-    on = " AND ".join([*[f'l."{k}" = r."{k}"' for k in keys], "l._t >= r._t"])
+    on = " AND ".join([*[f'l."{k}" = r."{k}"' for k in keyed], "l._t >= r._t"])
     sql = f"SELECT l._i, r._j FROM l ASOF LEFT JOIN r ON {on}"
 
     def asof(lt: pa.Table, rt: pa.Table) -> pa.Table:
         con = _connection()
-        lk = lt.select([*keys, "_t"]).append_column("_i", pa.array(range(lt.num_rows), pa.int64()))
-        rk = rt.select([*keys, "_t"]).append_column("_j", pa.array(range(rt.num_rows), pa.int64()))
+        lk = lt.select([*keyed, "_t"]).append_column("_i", pa.array(range(lt.num_rows), pa.int64()))
+        rk = rt.select([*keyed, "_t"]).append_column("_j", pa.array(range(rt.num_rows), pa.int64()))
         con.register("l", lk)
         con.register("r", rk)
         try:
@@ -128,29 +130,32 @@ def presence_versions(ranges: DataFrame, keys: Sequence[str], valid_from: str, v
     return ranges.select(*keys, F.inline(states)).where("known_on IS NOT NULL")
 
 
-def valid_keys(
-    events: DataFrame, ranges: DataFrame, *, entity: str, member: str, event_time: str, valid_from: str, valid_to: str, slice_days: int
-) -> DataFrame:
-    """Each event once for every ``member`` whose range with the event's ``entity`` holds its day.
+def periods_of_both(ranges: DataFrame, runs: DataFrame, *, entity: str, member: str, valid_from: str, valid_to: str, run_from: str, run_to: str) -> DataFrame:
+    """(entity, member, _from, _to): the days on which a range of (entity, member) and a run of the
+    member both hold; the ranges are merged to disjoint periods first, the runs are disjoint."""
+    pair = [entity, member]
+    merged = coverage(ranges, keys=pair, valid_from=valid_from, valid_to=valid_to)
+    periods = merged.select(*pair, F.date_from_unix_date("_a").alias("_a"), F.date_from_unix_date(F.col("_b") - 1).alias("_b"))
+    met = periods.join(runs.select(member, F.col(run_from).alias("_c"), F.col(run_to).alias("_d")), member)
+    return met.select(*pair, F.greatest("_a", "_c").alias("_from"), F.least("_b", "_d").alias("_to")).where("_from <= _to")
+
 
-    Ranges of an (entity, member) pair are merged to disjoint periods first; an event meets only
-    the members whose periods touch its (entity, slice) - written out, as the join below reads
-    them several times - and the embedded ASOF join then says which of them were valid on the day.  Null bounds are open, both bounds inclusive.
+def valid_keys(events: DataFrame, periods: DataFrame, *, entity: str, member: str, event_time: str, slice_days: int) -> DataFrame:
+    """Each event once for every ``member`` of which a period (entity, member, _from, _to) holds its day.
+
+    An event meets only the members whose periods touch its (entity, slice) - written out, as the
+    join below reads them several times - and the embedded ASOF join on the states that the periods'
+    bounds make known then says which of them hold on the day.  Both bounds are inclusive.
     """
     bounds = events.agg(F.min(event_time).alias("a"), F.max(event_time).alias("b")).first()
     pair = [entity, member]
-    merged = coverage(ranges, keys=pair, valid_from=valid_from, valid_to=valid_to)
-    periods = merged.select(*pair, F.date_from_unix_date("_a").alias("_from"), F.date_from_unix_date(F.col("_b") - 1).alias("_to"))
     lo, hi = (F.unix_date(F.lit(x).cast("date")) for x in (bounds["a"], bounds["b"]))
     first, last = F.greatest(F.unix_date("_from"), lo), F.least(F.unix_date("_to"), hi)
     slices = F.sequence(F.floor(first / F.lit(slice_days)), F.floor(last / F.lit(slice_days)))
     at = F.floor(F.unix_date(event_time) / F.lit(slice_days))
-    sliced = events.withColumn("_near", at)
-    near = (
-        periods.where(first <= last).select(*pair, F.explode(slices).alias("_near")).distinct()
-        .join(sliced.select(entity, "_near").distinct(), [entity, "_near"], "left_semi")
+    near = periods.where(first <= last).select(*pair, F.explode(slices).alias("_near")).distinct()
+    candidates = stage(events.withColumn("_near", at).join(near, [entity, "_near"]).drop("_near"), "candidates")
+    known = known_as_of(
+        candidates, presence_versions(periods, pair, "_from", "_to"), keys=pair, event_time=event_time, version_time="known_on", values=["present"], slice_width=slice_days
     )
-    candidates = stage(sliced.join(near, [entity, "_near"]).drop("_near"), "candidates")
-    states = presence_versions(periods, pair, "_from", "_to")
-    known = known_as_of(candidates, states, keys=pair, event_time=event_time, version_time="known_on", values=["present"], slice_width=slice_days)
     return known.where("present").drop("present")

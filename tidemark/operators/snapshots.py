@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -94,7 +96,7 @@ def _digest(cols: Sequence[Column | str], seed: str) -> Column:
     return F.xxhash64(F.lit(seed), *cols, *[F.isnull(c) for c in cols])
 
 
-def _pairs(nodes: DataFrame, id_cols: Sequence[str], n: int) -> DataFrame:
+def _pairs(nodes: DataFrame, n: int) -> DataFrame:
     """Each node of snapshot k is the new side of pair k and the old side of pair k + 1."""
     sides = F.array(
         F.struct(F.col("k").alias("pair"), F.lit(True).alias("is_new")),
@@ -105,53 +107,48 @@ def _pairs(nodes: DataFrame, id_cols: Sequence[str], n: int) -> DataFrame:
     return out.where((F.col("pair") > 0) & (F.col("pair") < n))
 
 
-def snapshot_changes(
-    df: DataFrame, *, date: str, entity: str, payload: Sequence[str], leaf_bits: int = 12, fanout_bits: int = 4
-) -> DataFrame:
-    """What changed between consecutive full snapshots.
+@dataclass(frozen=True)
+class MerkleComparison:
+    """Rows (k, leaf, _e, _p) of all snapshots, the calendar (k), and the (pair, node) leaves that differ."""
 
-    Returns (date, entity, change_type) with ``added``, ``removed`` or ``changed`` (payload
-    differs; two nulls are equal) against the snapshot just before.
+    rows: DataFrame
+    calendar: DataFrame
+    leaves: DataFrame
+    differing: DataFrame
 
-    Method: entities fall into 2^leaf_bits hash ranges.  Each snapshot gets a Merkle tree: a
-    leaf's digest combines its rows (two independent 64-bit hashes, xor-ed, and their number), a
-    node's digest those of its children.  Trees of consecutive snapshots are compared from the
-    root down, a level at a time, following only nodes that differ; rows are compared only in
-    leaves that differ.  The digest tables hold snapshots x 2^leaf_bits rows at most.
 
-    Repeats, conflicting payloads and nulls are treated as in :func:`one_payload`; a snapshot
-    without usable rows still counts, so all its predecessors' entities are removed by it.
+def compare_snapshots(df: DataFrame, *, date: str, entity: str, payload: Sequence[str], rows_per_leaf: int = 4, fanout_bits: int = 8) -> MerkleComparison:
+    """Merkle trees of all snapshots, those of neighbours compared from the root down.
+
+    The table is read and its repeats collapsed once; the number of hash ranges follows from the
+    rows of a snapshot, about ``rows_per_leaf`` to a leaf, so that a leaf without a change is as
+    likely in a large table as in a small one.
     """
     payload = list(payload)
-    calendar = snapshot_calendar(df, date)
+    best = df.where(F.col(date).isNotNull()).groupBy(date, entity).agg(F.min(F.struct(*[F.col(c) for c in payload], F.lit(1).alias("_one"))).alias("_p"))
+    once = stage(best.select(date, F.col(entity).alias("_e"), "_p"), "snapshots")  # read by the calendar, the digests and the rows compared
+    calendar = snapshot_calendar(once, date)
     n = calendar.count()
-    rows = (
-        one_payload(df, date, entity, payload)
-        .join(calendar.select(date, "k"), date)
-        .select("k", F.col(entity).alias("_e"), F.struct(*[F.col(c) for c in payload], F.lit(1).alias("_one")).alias("_p"))
-        .withColumn("leaf", F.shiftrightunsigned(F.xxhash64("_e"), 64 - leaf_bits).cast("int"))
-    )
-    parts = [F.col(f"_p.{c}") for c in payload]
-    leaves = rows.groupBy("k", "leaf").agg(
-        F.bit_xor(_digest([F.col("_e"), *parts], "a")).alias("d1"),
-        F.bit_xor(_digest([F.col("_e"), *parts], "b")).alias("d2"),
-        F.count(F.lit(1)).alias("c"),
-    )
-    leaves = stage(leaves, "digests")  # small, and read once per level
+    usable = once.where("_e IS NOT NULL")
+    leaf_bits = max(0, math.ceil(math.log2(max(1, usable.count() / max(n, 1) / rows_per_leaf))))
+    leaf = F.shiftrightunsigned(F.xxhash64("_e"), 64 - leaf_bits) if leaf_bits else F.lit(0).cast("bigint")
+    rows = usable.join(calendar.select(date, "k"), date).select("k", "_e", "_p", leaf.alias("leaf"))
+    parts = [F.col("_e"), *[F.col(f"_p.{c}") for c in payload]]
+    leaves = rows.groupBy("k", "leaf").agg(F.bit_xor(_digest(parts, "a")).alias("d1"), F.bit_xor(_digest(parts, "b")).alias("d2"), F.count(F.lit(1)).alias("c"))
+    leaves = stage(leaves, "digests")  # read once per level
     bits = [*range(0, leaf_bits, fanout_bits), leaf_bits]
     differing = None
     for above, depth in zip([0, *bits], bits):
         shift = leaf_bits - depth
         if shift:
-            node = F.shiftright("leaf", shift)
-            level = leaves.groupBy("k", node.alias("node")).agg(
+            level = leaves.groupBy("k", F.shiftright("leaf", shift).alias("node")).agg(
                 F.bit_xor(F.xxhash64("leaf", "d1", "c")).alias("d1"),
                 F.bit_xor(F.xxhash64("leaf", "d2", "c")).alias("d2"),
                 F.sum("c").alias("c"),
             )
         else:
             level = leaves.withColumnRenamed("leaf", "node")
-        sides = _pairs(level, ["node"], n)
+        sides = _pairs(level, n)
         if differing is not None:
             parents = differing.select("pair", F.col("node").alias("_up"))
             sides = sides.withColumn("_up", F.shiftright("node", depth - above)).join(parents, ["pair", "_up"], "left_semi").drop("_up")
@@ -162,13 +159,45 @@ def snapshot_changes(
             .where(~F.col("new").eqNullSafe(F.col("old")))
             .select("pair", "node")
         )
-    candidates = _pairs(rows, ["_e"], n).join(differing.withColumnRenamed("node", "leaf"), ["pair", "leaf"], "left_semi")
-    both = candidates.groupBy("pair", "_e").agg(
-        F.max(F.when(F.col("is_new"), F.col("_p"))).alias("new"), F.max(F.when(~F.col("is_new"), F.col("_p"))).alias("old")
+    return MerkleComparison(rows, calendar, leaves, stage(differing, "differing"))
+
+
+def snapshot_changes(df: DataFrame, *, date: str, entity: str, payload: Sequence[str], rows_per_leaf: int = 4, fanout_bits: int = 8) -> DataFrame:
+    """What changed between consecutive full snapshots.
+
+    Returns (date, entity, change_type) with ``added``, ``removed`` or ``changed`` (payload
+    differs; two nulls are equal) against the snapshot just before.
+
+    Method: entities fall into hash ranges.  Each snapshot gets a Merkle tree: a leaf's digest
+    combines its rows (two independent 64-bit hashes, xor-ed, and their number), a node's digest
+    those of its children.  Trees of consecutive snapshots are compared from the root down, a level
+    at a time, following only nodes that differ; only rows of leaves that differ are shuffled and
+    compared, each on the sides on which its leaf does.
+
+    Repeats, conflicting payloads and nulls are treated as in :func:`one_payload`; a snapshot
+    without usable rows still counts, so all its predecessors' entities are removed by it.
+    """
+    m = compare_snapshots(df, date=date, entity=entity, payload=payload, rows_per_leaf=rows_per_leaf, fanout_bits=fanout_bits)
+    sides = F.array(
+        F.struct(F.col("pair").alias("k"), F.struct("pair", F.lit(True).alias("is_new")).alias("s")), F.struct((F.col("pair") - 1).alias("k"), F.struct("pair", F.lit(False).alias("is_new")).alias("s"))
+    )
+    wanted = m.differing.select(F.col("node").alias("leaf"), F.inline(sides)).groupBy("k", "leaf").agg(F.collect_list("s").alias("sides"))  # two at most
+    both = (
+        m.rows.join(wanted, ["k", "leaf"]).select("_e", "_p", F.inline("sides"))
+        .groupBy("pair", "_e").agg(F.max(F.when(F.col("is_new"), F.col("_p"))).alias("new"), F.max(F.when(~F.col("is_new"), F.col("_p"))).alias("old"))
     )
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
     return (
         both.where(~F.col("new").eqNullSafe(F.col("old")))
-        .join(calendar.select(F.col("k").alias("pair"), date), "pair")
+        .join(m.calendar.select(F.col("k").alias("pair"), date), "pair")
         .select(F.col(date), F.col("_e").alias(entity), kind.alias("change_type"))
     )
+
+
+def pruned_share(df: DataFrame, *, date: str, entity: str, payload: Sequence[str], **kw: int) -> DataFrame:
+    """(date, leaves, differing, pruned_share) of every snapshot after the first: how many leaves of
+    either side there were, how many differ, and what share of them needed no rows."""
+    m = compare_snapshots(df, date=date, entity=entity, payload=payload, **kw)
+    every = _pairs(m.leaves.select("k", "leaf"), m.calendar.count()).groupBy("pair", "leaf").agg(F.lit(1).alias("one")).groupBy("pair").agg(F.count(F.lit(1)).alias("leaves"))
+    out = every.join(m.differing.groupBy("pair").agg(F.count(F.lit(1)).alias("differing")), "pair", "left").na.fill(0, ["differing"])
+    return out.join(m.calendar.select(F.col("k").alias("pair"), date), "pair").select(date, "leaves", "differing", (1 - F.col("differing") / F.col("leaves")).alias("pruned_share"))

@@ -129,11 +129,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     filings = load(pin(spark), sf_dir, "filings").where("acceptance_datetime IS NOT NULL AND cik IS NOT NULL")
     events = stage(filings.select("accession", "cik", normal.day_in_zone(F.col("acceptance_datetime")).alias("day")).distinct(), "p6-events")
     overrides = load(spark, sf_dir, "ticker_overrides").select("cik", normal.ticker(F.col("ticker")).alias("ticker"), "valid_from", "valid_to")
-    held = stage(eventtime.valid_keys(events, overrides, entity="cik", member="ticker", event_time="day", valid_from="valid_from", valid_to="valid_to", slice_days=SLICE_DAYS), "p6-held")
     listed = members(spark, sf_dir)
     runs = snapshots.version_history(listed, date="snapshot_date", entity="ticker", payload=[], open_end=normal.MAX_DAY)
-    known = eventtime.known_as_of(
-        held, eventtime.presence_versions(runs, ["ticker"], "valid_from", "valid_to"), keys=["ticker"], event_time="day", version_time="known_on", values=["present"], slice_width=SLICE_DAYS
-    ).where("present")
+    both = eventtime.periods_of_both(overrides, runs, entity="cik", member="ticker", valid_from="valid_from", valid_to="valid_to", run_from="valid_from", run_to="valid_to")
+    known = eventtime.valid_keys(events, stage(both, "p6-periods"), entity="cik", member="ticker", event_time="day", slice_days=SLICE_DAYS)
     snapshot_of_day = pit.in_force(events, listed, day="day", date="snapshot_date")
     return known.join(snapshot_of_day, "day").select("accession", "cik", "ticker", F.col("snapshot_date").cast("string").alias("snapshot_date")).distinct()
+
+
+@catalog.query("p2_pruning")
+def p2_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What share of the leaves the digests let p2 pass over, for every snapshot after the first."""
+    out = snapshots.pruned_share(members(pin(spark), sf_dir), date="snapshot_date", entity="ticker", payload=["sector", "size_band"])
+    return out.select(F.col("snapshot_date").cast("string").alias("snapshot_date"), "leaves", "differing", F.round("pruned_share", 6).alias("pruned_share"))
