@@ -16,12 +16,12 @@ from tidemark.session import pin
 from tidemark.sources.sinks import write_table
 
 STAGES = {
-    "index": ["index_parse", "accession_from_filename"], "sample": ["deterministic_sample"], "sections": ["section_extract"], "check": ["section_report"],
-    "universe": ["ticker_windows", "entity_resolution", "symbol_resolution", "map_review", "universe_filings"], "prices": ["symbol_vetting", "wide_to_long_all"],
+    "index": ["index_quarters", "index_parse", "accession_from_filename"], "sample": ["deterministic_sample"], "sections": ["section_extract"], "check": ["section_report", "section_failures"],
+    "universe": ["ticker_windows", "entity_resolution", "symbol_resolution", "map_review", "universe_filings"], "prices": ["symbol_vetting", "wide_to_long"],
     "returns": ["forward_returns", "lookahead_violations"], "coverage": ["coverage_panel", "coverage_by_year", "coverage_summary", "missing_companies"], "documents": ["document_scope"],
     "dictionary": ["lm_cohort_counts", "lm_shares"], "signals": ["prev_filing_asof", "lm_change", "signal_coverage", "missing_reasons"], "factors": ["factor_compound"],
     "backtest": ["backtest_panel", "long_short_monthly", "performance_summary", "factor_ols_hac"], "sanity": ["planted_sanity", "noise_sanity"], "llm-score": ["excerpt", "score_run"],
-    "llm-signals": ["llm_change", "score_agreement"], "size": ["public_float", "asof_strict_size"], "robustness": ["variant_grid", "long_short_value_weighted", "deflated_sharpe"],
+    "llm-signals": ["llm_change", "score_agreement"], "size": ["public_float", "asof_strict_size"], "robustness": ["variant_grid", "variant_verdicts", "long_short_value_weighted", "deflated_sharpe"],
     "anonymize": ["entity_mask", "mask_report"], "memorization": ["memorization_cells", "bootstrap_ci"], "report": ["growth_path", "monthly_ic"],
 }
 

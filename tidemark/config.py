@@ -16,6 +16,7 @@ DEFAULTS: dict[str, Any] = {
     "portfolio": {"quantiles": 5, "max_age_days": 365, "cost_bp": 10.0, "min_stocks": 100},
     "sections": {"min_words": 250, "max_heading_chars": 200},
     "excerpts": {"tokens": 500, "min_forward": 200, "retries": 1},
+    "bars": {"ic": 0.02, "ic_t": 2.0, "sharpe_net": 0.5, "alpha_t": 2.0, "dsr": 0.95},
     "gates": {"signal_coverage": 0.80, "sections": 0.90, "scores": 0.95},
 }
 PREFIX = "TIDEMARK_"

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
+from tidemark.config import DEFAULTS
 from tidemark.functions import normal
 from tidemark.operators import asof, pit, portfolio, ranking
 from tidemark.plans import lookups, roles
@@ -138,14 +139,15 @@ panel_r AS (SELECT p.*, a.score FROM priced p JOIN asof_r a ON a.t = p.date AND
 _PANEL_CTES = f"{roles.ctes('monthly', 'signals', 'members', 'calendar', 'ranges')}, {_PANEL_SQL}"
 
 
-def panel(spark: SparkSession, d: str) -> DataFrame:
+def panel(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
     """(date, cik, ticker, symbol, score, ret): members of the day with a signal known before it and
-    a price on it; of several share classes the first ticker priced."""
+    a price on it; of several share classes the first ticker priced.  ``every`` so many months."""
     m = roles.monthly(spark, d)
-    dates = portfolio.rebalance_dates(m).where("next_date IS NOT NULL")
+    rebalanced = portfolio.rebalance_dates(m, every=every)
+    dates = rebalanced.where("next_date IS NOT NULL")
     on_day = pit.members_as_of(dates.select(F.col("date").alias("day")), roles.members(spark, d), day="day", date="snapshot_date", member="ticker").select("day", "ticker")
     held = lookups.with_symbol(lookups.resolved(on_day, spark, d).where("cik IS NOT NULL"), spark, d).withColumnRenamed("day", "date")
-    priced = held.join(monthly_returns(spark, d), ["date", "symbol"])
+    priced = held.join(portfolio.period_returns(m, rebalanced), ["date", "symbol"])
     scored = priced.join(signals_on(dates, roles.signals(spark, d)).select("date", "cik", "score"), ["date", "cik"])
     return pit.first_of(scored, ["date", "cik"], ["ticker"]).select("date", "cik", "ticker", "symbol", "score", "ret")
 
@@ -204,11 +206,14 @@ def long_short_monthly(spark: SparkSession, d: str) -> DataFrame:
 _SIZED = "sized AS (SELECT p.*, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS size FROM panel_r p LEFT JOIN supplier ON s_suppkey = symbol)"
 
 
+def sized_panel(spark: SparkSession, d: str) -> DataFrame:
+    sup = load(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("size"))
+    return panel(spark, d).join(sup, "symbol", "left")
+
+
 @catalog.query("long_short_value_weighted", f"WITH {_PANEL_CTES}, {_SIZED}, {_legs_sql(True, source='sized')}, {_long_short_sql(True)} SELECT {_MONTHLY_OUT} FROM monthly_ls")
 def long_short_value_weighted(spark: SparkSession, d: str) -> DataFrame:
-    sup = load(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("size"))
-    sized = panel(spark, d).join(sup, "symbol", "left")
-    return _rounded(portfolio.long_short(sized, q=Q, min_stocks=roles.min_stocks(spark, d), cost_bp=COST_BP, size="size"))
+    return _rounded(portfolio.long_short(sized_panel(spark, d), q=Q, min_stocks=roles.min_stocks(spark, d), cost_bp=COST_BP, size="size"))
 
 
 _SUMMARY_SQL = """path AS (SELECT *, product(1 + ret_ls_net) OVER (ORDER BY date) AS growth, row_number() OVER (ORDER BY date) AS rn FROM monthly_ls),
@@ -240,25 +245,55 @@ def growth_path(spark: SparkSession, d: str) -> DataFrame:
     return path.unionByName(seed).withColumn("date", F.col("date").cast("string"))
 
 
-_GRID = [("base", COST_BP, None, None), ("cost_0", 0.0, None, None), ("cost_25", 25.0, None, None), ("early", COST_BP, "2012-01-01", "2014-12-31"), ("late", COST_BP, "2015-01-01", "2018-12-31")]
+_GRID = [("base", COST_BP, None, None), ("cost_0", 0.0, None, None), ("cost_25", 25.0, None, None), ("early", COST_BP, None, "2014-12-31"), ("late", COST_BP, "2015-01-01", None)]
 _GRID_SQL = ", ".join(f"('{n}', {c}, DATE '{a or '0001-01-01'}', DATE '{b or '9999-12-31'}')" for n, c, a, b in _GRID)
+HELD = 3  # months of the longer horizon
+_HELD_CTES = _PANEL_CTES.replace(REBALANCE_SQL.format(p="monthly_r"), REBALANCE_SQL.format(p="monthly_r").replace(
+    "FROM (SELECT max(date)", f"FROM (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT max(date)").replace("GROUP BY date_trunc('month', date))", f"GROUP BY date_trunc('month', date))) WHERE i % {HELD} = 0)"))
+_GRID_CTES = f"""base_m AS (WITH {_PANEL_CTES}, {_legs_sql()}, {_long_short_sql()} SELECT * FROM monthly_ls),
+sized_m AS (WITH {_PANEL_CTES}, {_SIZED}, {_legs_sql(True, source='sized')}, {_long_short_sql(True)} SELECT * FROM monthly_ls),
+held_m AS (WITH {_HELD_CTES}, {_legs_sql()}, {_long_short_sql()} SELECT * FROM monthly_ls),
+grid(variant, bp, a, b) AS (VALUES {_GRID_SQL}),
+v AS (SELECT variant, 12 AS per_year, ic, ret_ls - turnover * 4 * bp * 1e-4 AS net FROM base_m JOIN grid ON date BETWEEN a AND b
+  UNION ALL SELECT 'value_weighted', 12, ic, ret_ls_net FROM sized_m UNION ALL SELECT 'horizon_{HELD}m', {12 // HELD}, ic, ret_ls_net FROM held_m),
+g AS (SELECT variant, any_value(per_year) AS per_year, count(*) AS periods, avg(ic) AS mean_ic, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) END AS ic_t,
+  CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) END AS sr, avg(net) AS mu FROM v GROUP BY variant)"""
+
+
+def robustness(spark: SparkSession, d: str) -> DataFrame:
+    """(variant, per_year, ic, net): every period of the base run under other costs and spans, of the
+    value-weighted run, and of the run whose periods last three months."""
+    day = lambda x: F.lit(x).cast("date")
+    grid = [F.struct(F.lit(n).alias("variant"), F.lit(c).alias("bp"), day(a or normal.MIN_DAY).alias("a"), day(b or normal.MAX_DAY).alias("b")) for n, c, a, b in _GRID]
+    net = F.col("ret_ls") - F.col("turnover") * 4 * F.col("bp") * 1e-4
+    base = monthly(spark, d).select("*", F.inline(F.array(*grid))).where("date BETWEEN a AND b").select("variant", F.lit(12).alias("per_year"), "ic", net.alias("net"))
+    stocks = roles.min_stocks(spark, d)
+    sized = portfolio.long_short(sized_panel(spark, d), q=Q, min_stocks=stocks, cost_bp=COST_BP, size="size").select(F.lit("value_weighted").alias("variant"), F.lit(12).alias("per_year"), "ic", F.col("ret_ls_net").alias("net"))
+    held = portfolio.long_short(panel(spark, d, HELD), q=Q, min_stocks=stocks, cost_bp=COST_BP).select(F.lit(f"horizon_{HELD}m").alias("variant"), F.lit(12 // HELD).alias("per_year"), "ic", F.col("ret_ls_net").alias("net"))
+    return base.unionByName(sized).unionByName(held)
+
+
+@catalog.query("variant_grid", f"WITH {_GRID_CTES} SELECT variant, periods, round(mean_ic, 6) AS mean_ic, round(ic_t, 6) AS ic_t, round(sr * sqrt(per_year), 6) AS sharpe_net FROM g")
+def variant_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Costs, spans, weights and horizon as variants: periods, IC with its t, and the net Sharpe ratio a year."""
+    sharpe = F.when(F.stddev_samp("net") > 0, F.avg("net") / F.stddev_samp("net") * F.sqrt(F.max("per_year")))
+    ic_t = portfolio.t_stat(F.avg("ic"), F.stddev_samp("ic"), F.count("ic"))
+    return robustness(spark, d).groupBy("variant").agg(F.count(F.lit(1)).alias("periods"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(ic_t, 6).alias("ic_t"), F.round(sharpe, 6).alias("sharpe_net"))
 
 
 @catalog.query(
-    "variant_grid",
-    f"""WITH {_PANEL_CTES}, {_legs_sql()}, {_long_short_sql()}, grid(variant, bp, a, b) AS (VALUES {_GRID_SQL}),
-v AS (SELECT variant, ic, ret_ls - turnover * 4 * bp * 1e-4 AS net FROM monthly_ls JOIN grid ON date BETWEEN a AND b)
-SELECT variant, count(*) AS periods, round(avg(ic), 6) AS mean_ic, round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(12) END, 6) AS sharpe_net FROM v GROUP BY variant""",
+    "variant_verdicts",
+    f"""WITH {_GRID_CTES} SELECT variant, coalesce(round(mean_ic, 6) > 0.02 AND ic_t > 2, false) AS clears_ic, coalesce(sr * sqrt(per_year) > 0.5, false) AS clears_sharpe,
+  CASE WHEN ic_t > 2 THEN 'significant' WHEN sr * sqrt(per_year) > 0.5 THEN 'sharpe_without_ic' ELSE 'none' END AS reading FROM g""",
 )
-def variant_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Costs and subperiods as parameters of the rows of one base run."""
-    day = lambda x: F.lit(x).cast("date")
-    grid = [F.struct(F.lit(n).alias("variant"), F.lit(c).alias("bp"), day(a or normal.MIN_DAY).alias("a"), day(b or normal.MAX_DAY).alias("b")) for n, c, a, b in _GRID]
-    v = monthly(spark, d).select("*", F.inline(F.array(*grid))).where("date BETWEEN a AND b")
-    net = F.col("ret_ls") - F.col("turnover") * 4 * F.col("bp") * 1e-4
-    v = v.withColumn("net", net)
-    sharpe = F.when(F.stddev_samp("net") > 0, F.avg("net") / F.stddev_samp("net") * 12**0.5)
-    return v.groupBy("variant").agg(F.count(F.lit(1)).alias("periods"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(sharpe, 6).alias("sharpe_net"))
+def variant_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Which bars a variant clears, and how to read it: bars on IC, its t and the net Sharpe ratio."""
+    g, bars = variant_grid(spark, d), DEFAULTS["bars"]
+    sharpe, ic_t = F.col("sharpe_net") > bars["sharpe_net"], F.col("ic_t") > bars["ic_t"]
+    return g.select(
+        "variant", F.coalesce((F.col("mean_ic") > bars["ic"]) & ic_t, F.lit(False)).alias("clears_ic"), F.coalesce(sharpe, F.lit(False)).alias("clears_sharpe"),
+        F.when(ic_t, "significant").when(sharpe, "sharpe_without_ic").otherwise("none").alias("reading"),
+    )
 
 
 def _ic_sql(score: str, source: str) -> str:
@@ -273,11 +308,18 @@ def monthly_ic(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("date").cast("string").alias("date"), "n", (F.round("ic", 6) + 0.0).alias("ic"))
 
 
-@catalog.query("planted_sanity", f"WITH {_PANEL_CTES}, {_ic_sql('ret', 'panel_r')} SELECT count(ic) AS periods, round(avg(ic), 6) AS mean_ic FROM i")
+@catalog.query(
+    "planted_sanity",
+    f"""WITH {_PANEL_CTES}, planted AS (SELECT * REPLACE (ret AS score) FROM panel_r), {_legs_sql(source='planted')}, {_long_short_sql()},
+s AS (SELECT count(ic) AS periods, round(avg(ic), 6) AS mean_ic, round(avg(ret_ls) / stddev_samp(ret_ls) * sqrt(12), 6) AS sharpe_gross, round(avg(ret_ls) * 12, 6) AS annual_return_gross FROM monthly_ls)
+SELECT *, mean_ic > 0.5 AND sharpe_gross > 3 AS passed FROM s""",
+)
 def planted_sanity(spark: SparkSession, d: str) -> DataFrame:
-    """A score that is the next return itself must correlate perfectly."""
-    ic = ranking.rank_correlation(panel(spark, d).withColumn("score", F.col("ret")), ["date"], "score", "ret")
-    return ic.agg(F.count("ic").alias("periods"), F.round(F.avg("ic"), 6).alias("mean_ic"))
+    """A score that is the next return itself must look spectacular: correlation, Sharpe ratio and the gate on both."""
+    run = portfolio.long_short(panel(spark, d).withColumn("score", F.col("ret")), q=Q, min_stocks=roles.min_stocks(spark, d), cost_bp=COST_BP)
+    sharpe = F.when(F.stddev_samp("ret_ls") > 0, F.avg("ret_ls") / F.stddev_samp("ret_ls") * 12**0.5)
+    s = run.agg(F.count("ic").alias("periods"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(sharpe, 6).alias("sharpe_gross"), F.round(F.avg("ret_ls") * 12, 6).alias("annual_return_gross"))
+    return s.withColumn("passed", (F.col("mean_ic") > 0.5) & (F.col("sharpe_gross") > 3))
 
 
 _NOISE_X = "('0x' || substr(sha256(draw::VARCHAR || ':' || cik::VARCHAR || ':' || date::VARCHAR), 1, 12))::BIGINT"
@@ -290,7 +332,7 @@ k AS (SELECT draw, date, s, ret, rank() OVER (PARTITION BY draw, date ORDER BY s
   rank() OVER (PARTITION BY draw, date ORDER BY ret) + (count(*) OVER (PARTITION BY draw, date, ret) - 1) / 2 AS ry FROM noisy),
 i AS (SELECT draw, date, CASE WHEN min(s) < max(s) AND min(ret) < max(ret) THEN corr(rx, ry) END AS ic FROM k GROUP BY draw, date),
 t AS (SELECT draw, avg(ic) AS mean_ic, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) END AS t FROM i GROUP BY draw)
-SELECT count(*) AS draws, round(avg(mean_ic), 6) AS mean_ic, round(max(abs(mean_ic)), 6) AS max_abs_ic, round(stddev_pop(t), 6) AS sd_t, round(avg((abs(t) > 2)::INT), 6) AS share_large FROM t""",
+SELECT count(*) AS draws, round(avg(mean_ic), 6) AS mean_ic, round(max(abs(mean_ic)), 6) AS max_abs_ic, round(stddev_pop(t), 6) AS sd_t, round(avg((abs(t) > 2)::INT), 6) AS share_large, abs(avg(mean_ic)) < 0.005 AS passed FROM t""",
 )
 def noise_sanity(spark: SparkSession, d: str) -> DataFrame:
     """Twenty hashed random scores: mean IC near zero, t about standard normal."""
@@ -302,6 +344,7 @@ def noise_sanity(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(
         F.count(F.lit(1)).alias("draws"), F.round(F.avg("mean_ic"), 6).alias("mean_ic"), F.round(F.max(F.abs("mean_ic")), 6).alias("max_abs_ic"),
         F.round(F.stddev_pop("t"), 6).alias("sd_t"), F.round(F.avg((F.abs("t") > 2).cast("int")), 6).alias("share_large"),
+        (F.abs(F.avg("mean_ic")) < 0.005).alias("passed"),
     )
 
 

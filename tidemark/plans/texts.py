@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
+from tidemark.config import DEFAULTS
 from tidemark.functions import normal
 from tidemark.operators import documents, excerpts, masking, portfolio, ranking, statistics, wordlists
 from tidemark.plans import lookups, roles, study
@@ -190,33 +191,44 @@ def forward_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("doc_id").agg(F.sum(F.size("p")).alias("paragraphs"), F.sum(F.size(F.filter("p", lambda x: x["p"].rlike(excerpts.FORWARD)))).alias("forward"))
 
 
-@catalog.query(
-    "excerpt",
-    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+_EXCERPT_SQL = """l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, i, l[i] AS p, list_filter(regexp_split_to_array(l[i], '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
 k AS (SELECT *, len(w) AS n, regexp_matches(p, '\\b(?:expect\\w*|anticipat\\w*|outlook\\w*|believ\\w*)\\b', 'i') AS ahead FROM p WHERE len(w) >= 8),
 v AS (SELECT 1 AS m, * FROM k WHERE ahead UNION ALL SELECT 2, * FROM k),
 c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id, m ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before FROM v),
-f AS (SELECT doc_id, m, string_agg(CASE WHEN before + n <= 120 THEN p ELSE array_to_string(w[1:120 - before], ' ') END, chr(10) || chr(10) ORDER BY i) AS excerpt, sum(least(n, 120 - before))::INT AS used FROM c WHERE before < 120 GROUP BY doc_id, m)
-SELECT d.doc_id, coalesce(CASE WHEN a.used >= 40 THEN a.excerpt ELSE o.excerpt END, '') AS excerpt, CASE WHEN a.used >= 40 THEN 'forward_looking' ELSE 'opening_fallback' END AS method, coalesce(CASE WHEN a.used >= 40 THEN a.used ELSE o.used END, 0) AS tokens
-FROM l d LEFT JOIN f a ON a.doc_id = d.doc_id AND a.m = 1 LEFT JOIN f o ON o.doc_id = d.doc_id AND o.m = 2""",
-)
+f AS (SELECT doc_id, m, string_agg(CASE WHEN before + n <= 500 THEN p ELSE array_to_string(w[1:500 - before], ' ') END, chr(10) || chr(10) ORDER BY i) AS excerpt, sum(least(n, 500 - before))::INT AS used FROM c WHERE before < 500 GROUP BY doc_id, m)
+SELECT d.doc_id, coalesce(CASE WHEN a.used >= 200 THEN a.excerpt ELSE o.excerpt END, '') AS excerpt, CASE WHEN a.used >= 200 THEN 'forward_looking' ELSE 'opening_fallback' END AS method, coalesce(CASE WHEN a.used >= 200 THEN a.used ELSE o.used END, 0) AS tokens
+FROM l d LEFT JOIN f a ON a.doc_id = d.doc_id AND a.m = 1 LEFT JOIN f o ON o.doc_id = d.doc_id AND o.m = 2"""
+
+
+@catalog.query("excerpt", f"WITH {_EXCERPT_SQL}")
 def excerpt(spark: SparkSession, d: str) -> DataFrame:
     docs = load(pin(spark), d, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", excerpts.excerpt(F.col("text"), 120, 40).alias("e")).select("doc_id", "e.*")
+    return docs.select("doc_id", excerpts.excerpt(F.col("text"), 500, 200).alias("e")).select("doc_id", "e.*")
 
 
-REPLIES = [
-    ('{"tone": 0.2, "hedging": -0.1, "risk_severity": 0.3}', True), ('Sure: {"tone": 1, "hedging": 0, "risk_severity": -1} done', True), ('{"tone": 0.2, "hedging": -0.1}', False),
-    ('{"tone": true, "hedging": 0, "risk_severity": 0}', False), ('{"tone": "0.2", "hedging": 0, "risk_severity": 0}', False), ('{"tone": 1.2, "hedging": 0, "risk_severity": 0}', False),
-    ('{"tone": NaN, "hedging": 0, "risk_severity": 0}', False), ('{"tone": 0, "hedging": 0, "risk_severity": 0, "extra": 1}', False), ("no object", False), ('{"tone": 0', False),
-]
+_INSIDE = "{0} IS NOT NULL AND {0} BETWEEN -1 AND 1"
 
 
-@catalog.query("score_validation", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, (_, ok) in enumerate(REPLIES)) + ") t(reply_id, valid)")
+@catalog.query(
+    "score_validation",
+    f"""WITH s AS (SELECT signal_id, min(tone) AS t, min(hedging) AS h, min(risk_severity) AS r FROM signals WHERE signal_id IS NOT NULL GROUP BY signal_id)
+SELECT signal_id, CASE WHEN signal_id % 6 IN (2, 3, 4) THEN false WHEN signal_id % 6 = 5 THEN {_INSIDE.format('t * 10')} AND {_INSIDE.format('h')} AND {_INSIDE.format('r')}
+  ELSE {_INSIDE.format('t')} AND {_INSIDE.format('h')} AND {_INSIDE.format('r')} END AS valid FROM s""",
+)
 def score_validation(spark: SparkSession, d: str) -> DataFrame:
-    r = pin(spark).createDataFrame([(i, raw) for i, (raw, _) in enumerate(REPLIES)], "reply_id int, raw string")
-    return r.select("reply_id", excerpts.scores(F.col("raw")).isNotNull().alias("valid"))
+    """Replies written from the scores of every signal - plain, within a sentence, with a key missing, a key
+    too many, a number as text, a value ten times as large - and judged."""
+    s = load(pin(spark), d, "signals").where("signal_id IS NOT NULL").groupBy("signal_id").agg(*[F.min(c).alias(c) for c in ("tone", "hedging", "risk_severity")])
+    keep = {"ignoreNullFields": "false"}
+    json = lambda *c: F.to_json(F.struct(*c), keep)
+    whole = json("tone", "hedging", "risk_severity")
+    kinds = [
+        whole, F.concat(F.lit("Here it is: "), whole, F.lit(" as asked.")), json("tone", "hedging"), json("tone", "hedging", "risk_severity", F.lit(0).alias("more")),
+        json(F.col("tone").cast("string").alias("tone"), "hedging", "risk_severity"), json((F.col("tone") * 10).alias("tone"), "hedging", "risk_severity"),
+    ]
+    raw = F.element_at(F.array(*kinds), F.pmod("signal_id", F.lit(6)).cast("int") + 1)
+    return s.select("signal_id", excerpts.scores(raw).isNotNull().alias("valid"))
 
 
 @catalog.query("score_run")
@@ -244,62 +256,101 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     return sinks.upsert(old, new, ["accession"])
 
 
-def _extracted(docs: DataFrame) -> DataFrame:
-    """Item sections cut out of whole filings, each rebuilt as a page around a document's text."""
-    body = F.regexp_replace("text", "\n", "</p><p>")
-    page = F.concat(
-        F.lit("<html><body><p>Item 1. Business</p><p>We make things.</p><p>Item 7. Management's Discussion and Analysis</p><p>"), body,
-        F.lit("</p><table><tr><td>1,234</td></tr></table><p>Item 8. Financial Statements and Supplementary Data</p></body></html>"),
-    )
-    return documents.extract_sections(docs.select("doc_id", page.alias("html")), ident="doc_id", html="html", min_words=50).drop("text")
+ITEM7, ITEM8 = "Item 7. Management's Discussion and Analysis", "Item 8. Financial Statements and Supplementary Data"
 
 
-@catalog.query("section_extract")
+def _extracted(docs: DataFrame) -> DataFrame:
+    """Sections cut out of whole filings, each rebuilt as a page around a document's text: by items, by
+    items after a list of contents, by titles alone, or with a hidden part and a cross-reference within."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    body = F.concat(F.lit("<p>"), F.regexp_replace(plain, "\n", "</p><p>"), F.lit("</p>"))
+    p = lambda *lines: F.lit("".join(f"<p>{x}</p>" for x in lines))
+    table = F.lit("<table><tr><td>1,234</td></tr></table>")
+    items = [p("Item 1. Business", "We make things.", ITEM7), body, table, p(ITEM8)]
+    frames = [
+        F.concat(*items), F.concat(p("Item 1. Business 3", ITEM7 + " 20", ITEM8 + " 40"), *items),
+        F.concat(p(ITEM7.split(". ")[1]), body, table, p(ITEM8.split(". ")[1])),
+        F.concat(*items[:2], F.lit("<div style='display: none'>Item 8. Financial Statements</div>"), p("Item 8 of this report."), *items[2:]),
+    ]
+    page = F.concat(F.lit("<html><head><title>Item 7</title></head><body>"), F.element_at(F.array(*frames), F.pmod("doc_id", F.lit(4)).cast("int") + 1), F.lit("</body></html>"))
+    return documents.extract_sections(docs.select("doc_id", page.alias("html")), ident="doc_id", html="html")
+
+
+_BLANK = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_EXTRACT_SQL = rf"""lines_x AS (SELECT doc_id, unnest(string_split(replace(replace(replace(text, chr(160), ' '), chr(8203), ''), chr(13), chr(10)), chr(10))) AS l, generate_subscripts(string_split(replace(replace(replace(text, chr(160), ' '), chr(8203), ''), chr(13), chr(10)), chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+words_x AS (SELECT doc_id, i, list_filter(regexp_split_to_array(l, '{_BLANK}'), lambda x: x <> '') AS w FROM lines_x),
+kept_x AS (SELECT doc_id, i, array_to_string(w, ' ') AS l, len(w) AS n FROM words_x WHERE len(w) > 0
+  AND NOT regexp_matches(array_to_string(w, ' '), '^(?:[-–—\s]*\d{{1,3}}[-–—\s]*|page\s+\d+(?:\s+of\s+\d+)?|table\s+of\s+contents|index)$', 'i')),
+body_x AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS body, sum(n)::INT AS n FROM kept_x GROUP BY doc_id),
+full_x AS (SELECT doc_id, coalesce(n, 0) + 1 + CASE WHEN doc_id % 4 = 3 THEN 5 ELSE 0 END AS n_words, concat_ws(chr(10), body, CASE WHEN doc_id % 4 = 3 THEN 'Item 8 of this report.' END, '1,234') AS section
+  FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) LEFT JOIN body_x USING (doc_id)),
+extracted_x AS (SELECT doc_id, n_words::INT AS n_words, CASE WHEN n_words >= 250 THEN CASE WHEN doc_id % 4 = 2 THEN 'title_fallback' ELSE 'item_heading' END END AS method, CASE WHEN n_words >= 250 THEN 'ok' ELSE 'failed' END AS status,
+  CASE WHEN n_words >= 250 THEN NULL WHEN regexp_matches(section, 'regulation\s+ab\b', 'i') THEN 'abs_issuer_no_mda' WHEN regexp_matches(section, 'incorporated\s+(?:herein\s+)?by\s+reference|exhibit\s+13', 'i') THEN 'incorporated_by_reference' ELSE 'section_too_short' END AS failure_reason,
+  CASE WHEN n_words >= 250 THEN md5(section) END AS digest FROM full_x)"""
+
+
+@catalog.query("section_extract", f"WITH {_EXTRACT_SQL} SELECT * FROM extracted_x")
 def section_extract(spark: SparkSession, d: str) -> DataFrame:
-    return _extracted(load_texts(pin(spark), d, "documents", "doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL"))
+    out = _extracted(load_texts(pin(spark), d, "documents", "doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL"))
+    return out.withColumn("digest", F.md5("text")).drop("text")
 
 
-@catalog.query("section_report")
+@catalog.query(
+    "section_report",
+    f"""WITH {_EXTRACT_SQL}, t AS (SELECT count(*) AS total, round(avg((status = 'ok')::INT), 4) AS coverage, median(n_words) FILTER (WHERE status = 'ok') AS median_words_ok FROM extracted_x)
+SELECT status, method, failure_reason, count(*) AS n, median(n_words) AS median_words, any_value(coverage) AS coverage, any_value(median_words_ok) AS median_words_ok, any_value(coverage) >= 0.9 AS passed, round(count(*) / any_value(total), 4) AS share
+FROM extracted_x CROSS JOIN t GROUP BY status, method, failure_reason""",
+)
 def section_report(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes of the extraction over all documents, a row per status, method and kind of failure;
-    ``coverage`` is the share that succeeded and ``median_words_ok`` its median, the same in every row."""
-    t = stage(_extracted(load_texts(pin(spark), d, "documents", "doc_id", "text")), "extracted")  # read by groups and totals
+    ``coverage`` is the share that succeeded, ``median_words_ok`` its median and ``passed`` whether
+    the share reaches its gate, the same in every row."""
+    t = stage(section_extract(spark, d), "extracted")  # read by groups and totals
+    return extraction_report(t, DEFAULTS["gates"]["sections"])
+
+
+def extraction_report(t: DataFrame, gate: float) -> DataFrame:
+    """Counts of (status, method, failure_reason, n_words) by outcome; of a reason what stands before its colon."""
     t = t.withColumn("failure_reason", F.split_part("failure_reason", F.lit(":"), F.lit(1)))
     by = t.groupBy("status", "method", "failure_reason").agg(F.count(F.lit(1)).alias("n"), F.median("n_words").alias("median_words"))
     ok = F.col("status") == "ok"
     total = t.agg(F.count(F.lit(1)).alias("total"), F.round(F.avg(ok.cast("int")), 4).alias("coverage"), F.median(F.when(ok, F.col("n_words"))).alias("median_words_ok"))
-    return by.join(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("total"), 4)).drop("total")  # total: one row
+    return by.join(F.broadcast(total.withColumn("passed", F.col("coverage") >= gate))).withColumn("share", F.round(F.col("n") / F.col("total"), 4)).drop("total")  # total: one row
 
 
 @catalog.query(
-    "extraction_report",
-    """WITH t AS (SELECT doc_id, coalesce(n_chars, 0) AS n, CASE WHEN coalesce(n_chars, 0) = 0 THEN 'empty: no text' WHEN n_chars < 500 THEN 'short: under 500' END AS failure_reason FROM documents)
-SELECT split_part(coalesce(failure_reason, 'ok'), ':', 1) AS status, count(*) AS n, round(count(*) / (SELECT count(*) FROM t), 4) AS share, median(n) AS median_chars FROM t GROUP BY 1""",
+    "section_failures",
+    f"""WITH {_EXTRACT_SQL}, named AS (SELECT accession, min(company) AS company, min(primary_doc_url) AS url FROM filings WHERE accession IS NOT NULL GROUP BY accession)
+SELECT x.doc_id, accession, company, failure_reason, url FROM extracted_x x JOIN (SELECT DISTINCT doc_id, accession FROM documents) USING (doc_id) JOIN named USING (accession) WHERE status = 'failed'""",
 )
-def extraction_report(spark: SparkSession, d: str) -> DataFrame:
-    """Share and median length by outcome, the outcome being what stands before the colon of a reason."""
-    n = F.coalesce("n_chars", F.lit(0))
-    reason = F.when(n == 0, "empty: no text").when(n < 500, "short: under 500")
-    t = load(pin(spark), d, "documents").select(n.alias("n"), F.split_part(F.coalesce(reason, F.lit("ok")), F.lit(":"), F.lit(1)).alias("status"))
-    by = t.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.median("n").alias("median_chars"))
-    total = t.agg(F.count(F.lit(1)).alias("total"))
-    return by.join(F.broadcast(total)).select("status", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"), "median_chars")  # total: one row
+def section_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Failed extractions with the company and address of their filing, for a look by hand."""
+    failed = section_extract(spark, d).where("status = 'failed'").select("doc_id", "failure_reason")
+    of = load(spark, d, "documents").select("doc_id", "accession").distinct()
+    named = load(spark, d, "filings").where("accession IS NOT NULL").groupBy("accession").agg(F.min("company").alias("company"), F.min("primary_doc_url").alias("url"))
+    return failed.join(of, "doc_id").join(named, "accession").select("doc_id", "accession", "company", "failure_reason", "url")
 
 
-@catalog.query(
-    "date_year_mask",
-    """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\\.?\\s+\\d{1,2},?\\s+(?:19|20)\\d{2}\\b', '[DATE]', 'g'),
-  '\\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\\.?\\s+\\d{1,2}\\b', '[DATE]', 'g'),
-  '\\b\\d{1,2}/\\d{1,2}/(?:19|20)?\\d{2}\\b', '[DATE]', 'g'), '\\b(?:19|20)\\d\\dx', '[YEAR]', 'g')) AS digest FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(19[5-9]\\d|20[0-4]\\d|FY\\d|fiscal )', 'i')""",
-)
-def date_year_mask(spark: SparkSession, d: str) -> DataFrame:
-    """Native masking of dates and years, checked where no year stands (SQL has no look-behind)."""
-    docs = load(pin(spark), d, "documents").where("text IS NOT NULL").where(~F.col("text").rlike(r"(?i)(19[5-9]\d|20[0-4]\d|FY\d|fiscal )"))
-    return docs.select("doc_id", F.md5(masking.mask_dates(F.col("text"))).alias("digest"))
+_YEAR_SQL = "replace({}, chr(1), '')"
+
 
+def _date_year_sql() -> str:
+    """The patterns without look-around: a year that a figure follows is split by a mark first, twice, as
+    neighbours share letters; FY and fiscal are put back."""
+    out = "text"
+    for p in masking.DATES:
+        out = f"regexp_replace({out}, '{p}', '[DATE]', 'g')"
+    for _ in range(2):
+        for century, decades in (("19", "[5-9]"), ("20", "[0-4]")):
+            out = rf"regexp_replace({out}, '\b({century})({decades}\d(?:s\b)?[\d,.]\d)', '\1' || chr(1) || '\2', 'g')"
+    out = rf"regexp_replace({out}, '\b(?:19[5-9]\d|20[0-4]\d)(?:s\b)?', '[YEAR]', 'g')"
+    out = rf"regexp_replace({_YEAR_SQL.format(out)}, '\bFY(?:20)?\d{{2}}\b', 'FY[YEAR]', 'g')"
+    return rf"regexp_replace({out}, '(?i)\b(fiscal )''?\d{{2}}\b', '\1[YEAR]', 'g')"
 
-@catalog.query("date_year_mask_all")
-def date_year_mask_all(spark: SparkSession, d: str) -> DataFrame:
+
+@catalog.query("date_year_mask", f"SELECT doc_id, md5({_date_year_sql()}) AS digest FROM documents WHERE text IS NOT NULL")
+def date_year_mask(spark: SparkSession, d: str) -> DataFrame:
     """Dates and years masked in every document that has a text."""
     docs = load_texts(pin(spark), d, "documents", "doc_id", "text").where("text IS NOT NULL")
     return docs.select("doc_id", F.md5(masking.mask_dates(F.col("text"))).alias("digest"))
@@ -320,6 +371,20 @@ def filing_identities(spark: SparkSession, d: str) -> DataFrame:
     return identities(spark, d).select("cik", *[F.concat_ws("|", c).alias(c) for c in ("names", "tickers")])
 
 
+@catalog.query(
+    "registrant_identities",
+    f"""WITH pairs AS (SELECT DISTINCT accession, cik FROM filings WHERE accession IS NOT NULL AND cik IS NOT NULL),
+seen AS (SELECT DISTINCT cik, company, {roles.TICKER_SQL.replace('ticker', 'symbol')} AS ticker FROM filings WHERE cik IS NOT NULL)
+SELECT accession, count(DISTINCT cik) AS n_registrants, coalesce(string_agg(DISTINCT company, '|' ORDER BY company), '') AS names, coalesce(string_agg(DISTINCT ticker, '|' ORDER BY ticker), '') AS tickers
+FROM pairs JOIN seen USING (cik) GROUP BY accession""",
+)
+def registrant_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Names and tickers of a filing: those of all its co-registrants, each seen anywhere."""
+    pairs = load(pin(spark), d, "filings").where("accession IS NOT NULL AND cik IS NOT NULL").select("accession", "cik").distinct()
+    union = lambda c: F.concat_ws("|", F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))))  # noqa: E731  (as many lists as registrants)
+    return pairs.join(identities(spark, d), "cik").groupBy("accession").agg(F.count(F.lit(1)).alias("n_registrants"), union("names").alias("names"), union("tickers").alias("tickers"))
+
+
 @catalog.query("entity_mask")
 def entity_mask(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its company's names and tickers masked; what leaks through is counted."""
@@ -335,43 +400,63 @@ def mask_report(spark: SparkSession, d: str) -> DataFrame:
     return m.agg(F.count(F.lit(1)).alias("documents"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in cols], *[F.round(F.avg((F.col(c) > 0).cast("int")), 6).alias(f"share_{c}") for c in cols if c.startswith("leak")])
 
 
-INDEX_LINES = [
-    "CIK|Company Name|Form Type|Date Filed|Filename", "-" * 40, "1000045|ALPHA FINANCIAL INC|10-Q|2021-02-11|edgar/data/1000045/0001-21-005399.txt", "99999|PIPE | NAME CO|10-K|2021-03-31|edgar/data/99999/0002-21-000001.txt",
-    "1000209|BETA CORP|10-K/A|2021-03-30|edgar/data/1000209/0003-21-016001.txt", "1000209|BETA CORP|10-K/A|2021-03-30|edgar/data/1000209/0003-21-016001.txt", "", "note",
-]
-
-
 @catalog.query(
     "index_parse",
-    """SELECT * FROM (VALUES (99999::BIGINT, 'PIPE | NAME CO', '10-K', '2021-03-31', '0002-21-000001', 'edgar/data/99999/0002-21-000001.txt'),
-(1000209::BIGINT, 'BETA CORP', '10-K/A', '2021-03-30', '0003-21-016001', 'edgar/data/1000209/0003-21-016001.txt')) t(cik, company, form_type, date_filed, accession, filename)""",
+    r"""WITH l AS (SELECT cik, trim(company) AS company, trim(form_type) AS form_type, date_filed, regexp_extract(filename, '([^/]+?)(?:\.txt)?$', 1) AS accession, filename FROM filings
+  WHERE cik IS NOT NULL AND company IS NOT NULL AND form_type IS NOT NULL AND date_filed IS NOT NULL AND filename IS NOT NULL AND trim(form_type) IN ('10-K', '10-K/A'))
+SELECT cik, company, form_type, date_filed::VARCHAR AS date_filed, accession, filename FROM l QUALIFY row_number() OVER (PARTITION BY accession, cik ORDER BY date_filed, company, form_type, filename) = 1""",
 )
 def index_parse(spark: SparkSession, d: str) -> DataFrame:
-    lines = pin(spark).createDataFrame([(x,) for x in INDEX_LINES], "value string")
+    """The filings written as lines of a published index, header and rulers among them, and read back."""
+    fields = ["cik", "company", "form_type", "date_filed", "filename"]
+    f = load(pin(spark), d, "filings").dropna(subset=fields)
+    lines = f.select(F.concat_ws("|", *fields).alias("value")).unionAll(spark.createDataFrame([("CIK|Company Name|Form Type|Date Filed|Filename",), ("-" * 40,), ("",), ("a note",)], "value string"))
     return parsers.build_index(lines, ["10-K", "10-K/A"]).withColumn("date_filed", F.col("date_filed").cast("string"))
 
 
+@catalog.query(
+    "index_quarters",
+    """SELECT y::INT AS year, q::INT AS quarter, 'https://host/edgar/full-index/' || y || '/QTR' || q || '/master.idx' AS url, (make_date(y, q * 3, 1) + INTERVAL 1 MONTH)::DATE <= today AS use_cache
+FROM (SELECT max(date_filed) AS today, year(min(date_filed)) AS a, year(max(date_filed)) AS b FROM filings), unnest(range(a, b + 1)) t(y), unnest(range(1, 5)) u(q) WHERE make_date(y, q * 3 - 2, 1) <= today""",
+)
+def index_quarters(spark: SparkSession, d: str) -> DataFrame:
+    """The quarterly indexes to read as of the last day filed: none of the future, and the one in progress afresh."""
+    span = load(pin(spark), d, "filings").agg(F.max("date_filed").alias("today"), F.year(F.min("date_filed")).alias("a"), F.year(F.max("date_filed")).alias("b"))
+    years = span.select("today", F.explode(F.sequence("a", "b")).alias("year"))
+    return parsers.index_quarters(years, base=F.lit("https://host"), today=F.col("today"))
+
+
 @catalog.query("accession_from_filename", "SELECT filename, accession AS listed, regexp_extract(filename, '([^/]+?)(?:\\.txt)?$', 1) AS derived FROM filings WHERE filename IS NOT NULL")
 def accession_from_filename(spark: SparkSession, d: str) -> DataFrame:
     return load(pin(spark), d, "filings").where("filename IS NOT NULL").select("filename", F.col("accession").alias("listed"), parsers.accession(F.col("filename")).alias("derived"))
 
 
-FLOAT_JSON = (
-    '{"units": {"USD": [{"end": "2020-06-30", "val": 1.87e10, "filed": "2021-02-01", "form": "10-K"}, {"end": "2020-06-30", "val": 1.9e10, "filed": "2021-04-01", "form": "10-K/A"},'
-    '{"end": "2019-06-30", "val": 18700, "filed": "2020-02-01", "form": "10-K"}, {"end": "2018-06-30", "val": 1.5e10, "filed": "2019-02-01", "form": "S-1"}]}}'
+@catalog.query(
+    "public_float",
+    """WITH f AS (SELECT cik, period_of_report AS d, date_filed AS filed, cik * 10.0 + year(date_filed) AS val FROM filings
+  WHERE cik IS NOT NULL AND period_of_report IS NOT NULL AND date_filed IS NOT NULL AND starts_with(form_type, '10-K'))
+SELECT cik, d::VARCHAR AS "end", arg_min(val, filed)::DOUBLE AS value, min(filed)::VARCHAR AS filed FROM f WHERE val BETWEEN 1e6 AND 5e12 GROUP BY cik, d""",
 )
-
-
-@catalog.query("public_float", "SELECT 7::BIGINT AS cik, '2020-06-30' AS \"end\", 1.87e10::DOUBLE AS value, '2021-02-01' AS filed")
 def public_float(spark: SparkSession, d: str) -> DataFrame:
-    f = parsers.public_float(pin(spark).createDataFrame([(7, FLOAT_JSON)], "cik bigint, json string"))
-    return f.select("cik", F.col("end").cast("string").alias("end"), "value", F.col("filed").cast("string").alias("filed"))
+    """Facts written as published JSON, a document per company and part of its filings, and read back."""
+    f = load(pin(spark), d, "filings").where("cik IS NOT NULL AND period_of_report IS NOT NULL AND date_filed IS NOT NULL")
+    val = F.col("cik") * F.lit(10.0) + F.year("date_filed")
+    fact = F.struct(F.col("period_of_report").cast("string").alias("end"), val.alias("val"), F.col("date_filed").cast("string").alias("filed"), F.col("form_type").alias("form"))
+    part = F.pmod(F.xxhash64("accession"), F.lit(f.count() // 1000 + 1))  # about a thousand facts to a document
+    raw = f.groupBy("cik", part.alias("part")).agg(F.to_json(F.struct(F.struct(F.collect_list(fact).alias("USD")).alias("units"))).alias("json"))
+    out = parsers.public_float(raw.select("cik", "json"))
+    return out.select("cik", F.col("end").cast("string").alias("end"), "value", F.col("filed").cast("string").alias("filed"))
 
 
-@catalog.query("listed_tickers", "SELECT * FROM (VALUES ('AAA', 1::BIGINT, 0), ('AAA.B', 1::BIGINT, 1), ('CCC', 2::BIGINT, 0)) t(ticker, cik, rank)")
+@catalog.query(
+    "listed_tickers",
+    "SELECT replace(upper(n_name), '-', '.') AS ticker, n_regionkey::BIGINT AS cik, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS rank FROM nation",
+)
 def listed_tickers(spark: SparkSession, d: str) -> DataFrame:
-    raw = '{"0": {"cik_str": 1, "ticker": "aaa", "title": "A"}, "1": {"cik_str": 2, "ticker": "CCC", "title": "C"}, "2": {"cik_str": 1, "ticker": "AAA-B", "title": "A"}}'
-    return parsers.listed_tickers(pin(spark).createDataFrame([(raw,)], "json string")).select("ticker", "cik", "rank")
+    """A published file of numbered rows, written from the nations (25 by definition) and read back."""
+    row = F.struct(F.col("n_nationkey").cast("string").alias("key"), F.struct(F.col("n_regionkey").alias("cik_str"), F.lower("n_name").alias("ticker"), F.col("n_name").alias("title")).alias("value"))
+    raw = load(pin(spark), d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(row))).alias("json"))
+    return parsers.listed_tickers(raw).select("ticker", "cik", "rank")
 
 
 @catalog.query(
@@ -386,17 +471,8 @@ def sector_lists_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return parsers.membership(wide).withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
 
 
-@catalog.query(
-    "wide_to_long",
-    f"WITH {roles.ctes('monthly')} SELECT date::VARCHAR AS date, symbol::VARCHAR AS symbol, round(adj_close, 6) AS adj_close FROM monthly_r WHERE symbol IN (1, 2, 3, 4)",
-)
+@catalog.query("wide_to_long", f"WITH {roles.ctes('monthly')} SELECT date::VARCHAR AS date, symbol::VARCHAR AS symbol, round(adj_close, 6) AS adj_close FROM monthly_r")
 def wide_to_long(spark: SparkSession, d: str) -> DataFrame:
-    wide = roles.monthly(spark, d).where("symbol IN (1, 2, 3, 4)").groupBy("date").pivot("symbol", [1, 2, 3, 4]).agg(F.first("adj_close"))
-    return parsers.wide_prices(wide).select(F.col("date").cast("string").alias("date"), "symbol", F.round("adj_close", 6).alias("adj_close"))
-
-
-@catalog.query("wide_to_long_all", f"WITH {roles.ctes('monthly')} SELECT date::VARCHAR AS date, symbol::VARCHAR AS symbol, round(adj_close, 6) AS adj_close FROM monthly_r")
-def wide_to_long_all(spark: SparkSession, d: str) -> DataFrame:
     """Every price series through the wide form, in blocks of columns: a date has a row per block."""
     slots = 100
     block, slot = F.floor(F.col("symbol") / slots).alias("block"), F.pmod("symbol", F.lit(slots)).alias("slot")

@@ -37,14 +37,24 @@ def accession(filename: Column) -> Column:
 
 
 def build_index(lines: DataFrame, forms: list[str]) -> DataFrame:
-    """The index over many files: chosen forms, one row per (accession, cik)."""
-    return master_index(lines).where(F.col("form_type").isin(forms)).dropDuplicates(["accession", "cik"])
+    """The index over many files: chosen forms, one row per (accession, cik), of several the first by
+    day, name, form and file."""
+    rest = ["date_filed", "company", "form_type", "filename"]
+    first = master_index(lines).where(F.col("form_type").isin(forms)).groupBy("accession", "cik").agg(F.min(F.struct(*rest)).alias("_r"))
+    return first.select("cik", "_r.company", "_r.form_type", "_r.date_filed", "accession", "_r.filename")
 
 
 def quarter_is_complete(year: Column, quarter: Column, today: Column) -> Column:
     return today >= F.add_months(F.make_date(year, quarter * 3, F.lit(1)), 1)
 
 
+def index_quarters(years: DataFrame, *, base: Column, today: Column) -> DataFrame:
+    """(year, quarter, url, use_cache) of the quarterly indexes of ``years`` that have begun by
+    ``today``; the one in progress still grows, so its copy in a cache is not to be trusted."""
+    q = years.withColumn("quarter", F.explode(F.sequence(F.lit(1), F.lit(4)))).where(F.make_date("year", F.col("quarter") * 3 - 2, F.lit(1)) <= today)
+    return q.select("year", "quarter", index_url(base, F.col("year"), F.col("quarter")).alias("url"), quarter_is_complete(F.col("year"), F.col("quarter"), today).alias("use_cache"))
+
+
 def eastern(text: Column) -> Column:
     """A New York wall time as an instant; null where it is none."""
     return F.to_utc_timestamp(F.try_to_timestamp(F.trim(text), F.lit("yyyy-MM-dd HH:mm:ss")), NEW_YORK)
