@@ -17,12 +17,12 @@ from tidemark.sources.sinks import write_table
 
 STAGES = {
     "index": ["index_quarters", "index_parse", "accession_from_filename"], "sample": ["deterministic_sample"], "sections": ["section_extract"], "check": ["section_report", "section_failures"],
-    "universe": ["ticker_windows", "entity_resolution", "symbol_resolution", "map_review", "universe_filings"], "prices": ["symbol_vetting", "wide_to_long"],
+    "universe": ["ticker_windows", "entity_resolution", "resolution_notes", "symbol_resolution", "map_review", "universe_filings"], "prices": ["symbol_vetting", "wide_to_long"],
     "returns": ["forward_returns", "lookahead_violations"], "coverage": ["coverage_panel", "coverage_by_year", "coverage_summary", "missing_companies"], "documents": ["document_scope"],
     "dictionary": ["lm_cohort_counts", "lm_shares"], "signals": ["prev_filing_asof", "lm_change", "signal_coverage", "missing_reasons"], "factors": ["factor_compound"],
-    "backtest": ["backtest_panel", "long_short_monthly", "performance_summary", "factor_ols_hac"], "sanity": ["planted_sanity", "noise_sanity"], "llm-score": ["excerpt", "score_run"],
+    "backtest": ["backtest_panel", "long_short_monthly", "performance_summary", "factor_hac_1f", "factor_ols_hac"], "sanity": ["planted_sanity", "noise_sanity"], "llm-score": ["excerpt", "score_run", "scoring_report"], "llm-score-anonymized": ["memorization_cells"],
     "llm-signals": ["llm_change", "score_agreement"], "size": ["public_float", "asof_strict_size"], "robustness": ["variant_grid", "variant_verdicts", "long_short_value_weighted", "deflated_sharpe"],
-    "anonymize": ["entity_mask", "mask_report"], "memorization": ["memorization_cells", "bootstrap_ci"], "report": ["growth_path", "monthly_ic"],
+    "anonymize": ["registrant_identities", "excerpt_audit", "entity_mask", "mask_report"], "memorization": ["memorization_cells", "bootstrap_ci"], "report": ["growth_path", "monthly_ic"],
 }
 
 

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+import time
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stage
+
 # --- fixed values ---------------------------------------------------------------------------
 SCORES = ("tone", "hedging", "risk_severity")
 FORWARD = r"(?i)\b(?:expect\w*|anticipat\w*|outlook\w*|believ\w*)\b"
@@ -17,6 +23,9 @@ PARAGRAPH_WORDS = 8
 # --------------------------------------------------------------------------------------------
 
 
+TokenCounter = Callable[[str], int]
+
+
 def paragraphs(text: Column) -> Column:
     """Lines of at least eight words, as (line, words)."""
     lines = F.transform(F.split(text, "\n"), lambda p: F.struct(p.alias("p"), F.filter(F.split(p, r"\s+"), lambda w: w != "").alias("w")))
@@ -50,6 +59,49 @@ def excerpt(text: Column, budget: int = 500, min_forward: int = 200) -> Column:
     )
 
 
+def count_words(text: str) -> int:
+    """The default token counter: words between ASCII blanks, as :func:`excerpt` counts them."""
+    return len(_words(text))
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+
+
+def pick_excerpt(text: str | None, count: TokenCounter, budget: int = 500, min_forward: int = 200) -> tuple[str, str, int]:
+    """(excerpt, method, tokens) under any token counter that never falls as words are added.
+
+    Whole paragraphs as far as their sums stay within the budget, and of the next one the longest
+    run of words that still fits.
+    """
+    lines = [p for p in (text or "").split("\n") if len(_words(p)) >= PARAGRAPH_WORDS]
+
+    def filled(paragraphs: list[str]) -> tuple[str, int]:
+        sums = [0, *accumulate(map(count, paragraphs))]
+        whole = bisect_right(sums, budget) - 1
+        kept, used = paragraphs[:whole], sums[whole]
+        if whole < len(paragraphs) and used < budget:
+            words = _words(paragraphs[whole])
+            n = bisect_right(range(len(words) + 1), budget - used, key=lambda k: count(" ".join(words[:k])) if k else 0) - 1
+            part = " ".join(words[:n])
+            kept, used = [*kept, part] if n else kept, used + (count(part) if n else 0)
+        return "\n\n".join(kept), used
+
+    ahead, used = filled([p for p in lines if re.search(FORWARD, p)])
+    return (ahead, "forward_looking", used) if used >= min_forward else (*filled(lines)[:1], "opening_fallback", filled(lines)[1])
+
+
+def select_excerpts(docs: DataFrame, make_counter: Callable[[], TokenCounter], *, ident: str, text: str, budget: int = 500, min_forward: int = 200) -> DataFrame:
+    """(ident, excerpt, method, tokens) with a token counter made once per worker."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = make_counter()
+        for pdf in batches:
+            yield pd.DataFrame([(i, *pick_excerpt(t, count, budget, min_forward)) for i, t in zip(pdf[ident].tolist(), pdf[text].tolist())], columns=[ident, "excerpt", "method", "tokens"])
+
+    return docs.select(ident, text).mapInPandas(run, f"{ident} {dict(docs.dtypes)[ident]}, excerpt string, method string, tokens int")
+
+
 def scores(raw: Column) -> Column:
     """struct<tone, hedging, risk_severity> of a reply, or null: the JSON object from the first to
     the last brace must have exactly these keys, each a number from -1 to 1, no text, no boolean."""
@@ -105,26 +157,78 @@ def valid_reply(raw: str) -> dict | None:
     return {k: float(x) for k, x in obj.items()} if ok else None
 
 
-def score_excerpts(work: DataFrame, make_backend: Callable[[], Backend], *, ident: str, text: str, retries: int = 1) -> DataFrame:
-    """(ident, model, status, tone, hedging, risk_severity, attempts, raw_output), a row per excerpt.
+def backend_named(name: str, **options: object) -> Backend:
+    """A backend by name: ``counting``, or ``replies`` with a function from message to reply."""
+    kinds = {"counting": CountingBackend, "replies": RepliesBackend}
+    if name not in kinds:
+        raise ValueError(f"no backend {name}; there are {', '.join(kinds)}")
+    return kinds[name](**options)
+
+
+class RepliesBackend:
+    """Replies from a given function, such as a client of a served model."""
+
+    def __init__(self, reply: Callable[[list[dict]], str], model_id: str = "replies") -> None:
+        self._reply, self.model_id = reply, model_id
+
+    def generate(self, messages: list[dict]) -> str:
+        return self._reply(messages)
+
+
+def score_excerpts(work: DataFrame, make_backend: Callable[[], Backend], *, ident: str, text: str, retries: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """(ident, keep..., model, status, tone, hedging, risk_severity, attempts, raw_output, seconds), a row per excerpt.
 
     A reply that is not valid is asked for again, with a message that says so, ``retries`` times.
     """
+    keep = list(keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make_backend()
         for pdf in batches:
             rows = []
-            for i, message in zip(pdf[ident].tolist(), pdf["_message"].tolist()):
-                talk = [{"role": "user", "content": message}]
+            for *own, message in zip(*[pdf[c].tolist() for c in (ident, *keep, "_message")]):
+                talk, began = [{"role": "user", "content": message}], time.monotonic()
                 for attempt in range(1, retries + 2):
                     raw = backend.generate(talk)
                     if (found := valid_reply(raw)) is not None:
                         break
                     talk += [{"role": "assistant", "content": raw}, {"role": "user", "content": f"Reply only with a JSON object with the keys {', '.join(SCORES)}, each a number from -1 to 1."}]
-                rows.append((i, backend.model_id, "valid" if found else "invalid", *[(found or {}).get(k) for k in SCORES], attempt, raw))
-            yield pd.DataFrame(rows, columns=[ident, "model", "status", *SCORES, "attempts", "raw_output"])
+                rows.append((*own, backend.model_id, "valid" if found else "invalid", *[(found or {}).get(k) for k in SCORES], attempt, raw, time.monotonic() - began))
+            yield pd.DataFrame(rows, columns=[ident, *keep, "model", "status", *SCORES, "attempts", "raw_output", "seconds"])
+
+    kinds = dict(work.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (ident, *keep)) + ", model string, status string, " + ", ".join(f"{k} double" for k in SCORES) + ", attempts int, raw_output string, seconds double"
+    return work.select(ident, *keep, prompt(F.coalesce(text, F.lit(""))).alias("_message")).mapInPandas(run, schema)
+
 
-    kind = dict(work.dtypes)[ident]
-    schema = f"{ident} {kind}, model string, status string, " + ", ".join(f"{k} double" for k in SCORES) + ", attempts int, raw_output string"
-    return work.select(ident, prompt(F.coalesce(text, F.lit(""))).alias("_message")).mapInPandas(run, schema)
+def run_report(scored: DataFrame, *, in_scope: int, gate: float) -> DataFrame:
+    """One row on a scoring run: what the cache held, what was scored, valid and invalid, the valid share of
+    all in scope, how many needed a second try, excerpts by method, median seconds, and the gate."""
+    ok = F.col("status") == "valid"
+    out = scored.agg(
+        F.count(F.lit(1)).alias("scored"), F.count(F.when(ok, 1)).alias("valid"), F.count(F.when(~ok, 1)).alias("invalid"), F.count(F.when(ok & (F.col("attempts") > 1), 1)).alias("needed_retry"),
+        F.count(F.when(F.col("method") == "forward_looking", 1)).alias("forward_looking"), F.count(F.when(F.col("method") == "opening_fallback", 1)).alias("opening_fallback"), F.median("seconds").alias("median_seconds"),
+    )
+    cached = F.lit(in_scope) - F.col("scored")
+    share = F.round((cached + F.col("valid")) / max(in_scope, 1), 4)
+    return out.select(F.lit(in_scope).cast("bigint").alias("in_scope"), cached.alias("cached"), *out.columns, share.alias("valid_share"), (share >= gate).alias("passed"))
+
+
+def score_cached(work: DataFrame, cache_path: str, make_backend: Callable[[], Backend], *, ident: str, text: str, version: str, model_id: str, retries: int = 1, limit: int | None = None, gate: float = 0.95) -> DataFrame:
+    """Score what the cache at ``cache_path`` does not hold under (ident, version, model), write it back, and
+    report the run (:func:`run_report`).  ``work`` is (ident, text, method); ``limit`` bounds one run's work.
+
+    The cache is a folder of Parquet files that only grows, so runs that break off lose their own
+    rows alone; an id that is there twice counts once.
+    """
+    spark = work.sparkSession
+    schema = f"{ident} {dict(work.dtypes)[ident]}, version string, model string, status string"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    done = (spark.read.schema(schema).parquet(cache_path) if there else spark.createDataFrame([], schema)).where((F.col("version") == version) & (F.col("model") == model_id))
+    todo = work.join(done.select(ident).distinct(), ident, "left_anti")
+    if limit is not None:
+        todo = todo.orderBy(ident).limit(limit)
+    fresh = stage(score_excerpts(todo, make_backend, ident=ident, text=text, retries=retries, keep=["method"]).withColumn("version", F.lit(version)), "scores")
+    fresh.write.mode("append").parquet(cache_path)
+    return run_report(fresh, in_scope=work.count(), gate=gate)

@@ -200,9 +200,9 @@ best AS (SELECT * FROM allc QUALIFY prio = min(prio) OVER (PARTITION BY ticker))
 map_r AS (SELECT w.ticker, coalesce(b.valid_from, w.first_day) AS valid_from, coalesce(b.valid_to, w.last_day) AS valid_to, b.cik, b.src AS match_source FROM windows_r w LEFT JOIN best b USING (ticker))"""
 
 
-def ticker_map(spark: SparkSession, d: str) -> DataFrame:
-    """Which company a member ticker meant: hand-checked ranges first, then listed owners that filed
-    near the membership, then a single filer of that normalised name."""
+def resolution(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The parts of a ticker's resolution: ``windows``, hand-checked ranges (``sure``), listed owners
+    (``auto``) and those of them that filed near the membership (``near``), and what a name hits (``names``)."""
     w = windows(spark, d)
     f = load(spark, d, "filings").where("cik IS NOT NULL AND date_filed IS NOT NULL")
     act = f.select("cik", "date_filed", text.company_name(F.col("company")).alias("norm_name")).distinct()
@@ -215,11 +215,19 @@ def ticker_map(spark: SparkSession, d: str) -> DataFrame:
     near = pit.near_window(auto, act, key="cik", first="valid_from", last="valid_to", at="date_filed", pad_days=WINDOW_DAYS)
     vendor = load(spark, d, "vendor_issuers").where("symbol IS NOT NULL AND issuer_name IS NOT NULL").groupBy(normal.ticker(F.col("symbol")).alias("ticker")).agg(F.min(text.company_name(F.col("issuer_name"))).alias("norm_name"))
     close = (F.col("date_filed") >= F.date_sub("first_day", WINDOW_DAYS)) & (F.col("date_filed") <= F.date_add("last_day", WINDOW_DAYS))
-    named = (
-        w.join(vendor, "ticker").join(act, "norm_name").where(close).groupBy("ticker", F.col("first_day").alias("valid_from"), F.col("last_day").alias("valid_to"))
-        .agg(F.min("cik").alias("cik"), F.max("cik").alias("_x")).where("cik = _x").select("ticker", "valid_from", "valid_to", "cik", F.lit("name").alias("match_source"), F.lit(3).alias("prio"))
-    )
-    every = sure.unionByName(near).unionByName(named)
+    hits = (
+        w.join(vendor, "ticker").join(act, "norm_name").where(close)
+        .groupBy("ticker", F.col("first_day").alias("valid_from"), F.col("last_day").alias("valid_to")).agg(F.min("cik").alias("cik"), F.count_distinct("cik").alias("n_hits"))
+    )
+    return {"windows": w, "sure": sure, "auto": auto, "near": near, "names": hits, "vendor": vendor}
+
+
+def ticker_map(spark: SparkSession, d: str) -> DataFrame:
+    """Which company a member ticker meant: hand-checked ranges first, then listed owners that filed
+    near the membership, then a single filer of that normalised name."""
+    r = resolution(spark, d)
+    w, named = r["windows"], r["names"].where("n_hits = 1").select("ticker", "valid_from", "valid_to", "cik", F.lit("name").alias("match_source"), F.lit(3).alias("prio"))
+    every = r["sure"].unionByName(r["near"]).unionByName(named)
     best = every.withColumn("_b", F.min("prio").over(W.partitionBy("ticker"))).where("prio = _b").drop("_b", "prio")
     return w.join(best, "ticker", "left").select("ticker", F.coalesce("valid_from", "first_day").alias("valid_from"), F.coalesce("valid_to", "last_day").alias("valid_to"), "cik", "match_source")
 
@@ -232,6 +240,43 @@ def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     return ticker_map(spark, d).withColumns({"valid_from": F.col("valid_from").cast("string"), "valid_to": F.col("valid_to").cast("string")})
 
 
+@catalog.query(
+    "resolution_notes",
+    f"""WITH {_RESOLVE_CTES}, got AS (SELECT ticker, min(prio) AS prio FROM near GROUP BY ticker),
+failed AS (SELECT c.ticker, c.prio, c.src || ' CIK ' || c.cik || ' did not file near membership' AS note FROM cand c LEFT JOIN got g USING (ticker) WHERE NOT c.sure AND (g.prio IS NULL OR c.prio < g.prio)
+  AND NOT EXISTS (SELECT 1 FROM near n WHERE n.ticker = c.ticker AND n.prio = c.prio)),
+hits AS (SELECT w.ticker, any_value(v.norm_name) AS norm_name, count(DISTINCT a.cik) AS n FROM windows_r w JOIN vendor_r v USING (ticker) LEFT JOIN act a ON a.norm_name = v.norm_name AND a.date_filed BETWEEN w.first_day - {WINDOW_DAYS} AND w.last_day + {WINDOW_DAYS} GROUP BY w.ticker),
+notes AS (FROM failed UNION ALL SELECT h.ticker, 3, 'name ' || chr(39) || norm_name || chr(39) || ' matched ' || n || ' filers' FROM hits h LEFT JOIN got g USING (ticker) WHERE g.prio IS NULL AND n <> 1)
+SELECT ticker, string_agg(note, '; ' ORDER BY prio) AS note FROM notes GROUP BY ticker""",
+)
+def resolution_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Why the candidates tried before the one taken, or all of them, were passed over."""
+    r = resolution(spark, d)
+    got = r["sure"].select("ticker", "prio").unionByName(r["near"].select("ticker", "prio")).groupBy("ticker").agg(F.min("prio").alias("got"))
+    failed = r["auto"].join(r["near"].select("ticker", "prio").distinct(), ["ticker", "prio"], "left_anti").join(got, "ticker", "left").where("got IS NULL OR prio < got")
+    failed = failed.select("ticker", "prio", F.concat("match_source", F.lit(" CIK "), F.col("cik").cast("string"), F.lit(" did not file near membership")).alias("note"))
+    asked = r["windows"].select("ticker").join(r["vendor"], "ticker").join(r["names"].groupBy("ticker").agg(F.max("n_hits").alias("n")), "ticker", "left").join(got, "ticker", "left_anti")
+    n = F.coalesce("n", F.lit(0))
+    named = asked.where(n != 1).select("ticker", F.lit(3).alias("prio"), F.concat(F.lit("name '"), "norm_name", F.lit("' matched "), n.cast("string"), F.lit(" filers")).alias("note"))
+    notes = failed.unionByName(named).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("prio", "note"))).alias("n"))  # three notes at most
+    return notes.select("ticker", F.concat_ws("; ", F.col("n.note")).alias("note"))
+
+
+@catalog.query(
+    "filing_counts",
+    "SELECT form_type, count(*) AS rows_listed, count(DISTINCT accession) AS filings, count(DISTINCT cik) AS companies, count(DISTINCT (accession, cik)) AS registrations FROM filings GROUP BY form_type",
+)
+def filing_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact distinct counts, each as a distinct of its own before the count, so that no group gathers its values."""
+    f = load(spark, d, "filings").select("form_type", "accession", "cik")
+    out = f.groupBy("form_type").agg(F.count(F.lit(1)).alias("rows_listed"))
+    for name, cols in (("filings", ["accession"]), ("companies", ["cik"]), ("registrations", ["accession", "cik"])):
+        present = f.where(F.coalesce(*cols).isNotNull()) if len(cols) == 1 else f
+        n = present.select("form_type", *cols).distinct().groupBy(F.col("form_type").alias("_f")).agg(F.count(F.lit(1)).alias(name))
+        out = out.join(n, F.col("form_type").eqNullSafe(F.col("_f")), "left").drop("_f").na.fill(0, [name])
+    return out
+
+
 @catalog.query(
     "map_review",
     f"""WITH {_RESOLVE_CTES}, span AS (SELECT cik, min(date_filed) AS lo, max(date_filed) AS hi FROM filings WHERE cik IS NOT NULL GROUP BY cik)

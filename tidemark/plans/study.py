@@ -245,7 +245,7 @@ def growth_path(spark: SparkSession, d: str) -> DataFrame:
     return path.unionByName(seed).withColumn("date", F.col("date").cast("string"))
 
 
-_GRID = [("base", COST_BP, None, None), ("cost_0", 0.0, None, None), ("cost_25", 25.0, None, None), ("early", COST_BP, None, "2014-12-31"), ("late", COST_BP, "2015-01-01", None)]
+_GRID = [("base", COST_BP, None, None), ("cost_0", 0.0, None, None), ("cost_25", 25.0, None, None), ("early", COST_BP, None, "2017-12-31"), ("late", COST_BP, "2018-01-01", None)]
 _GRID_SQL = ", ".join(f"('{n}', {c}, DATE '{a or '0001-01-01'}', DATE '{b or '9999-12-31'}')" for n, c, a, b in _GRID)
 HELD = 3  # months of the longer horizon
 _HELD_CTES = _PANEL_CTES.replace(REBALANCE_SQL.format(p="monthly_r"), REBALANCE_SQL.format(p="monthly_r").replace(

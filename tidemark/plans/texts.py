@@ -236,7 +236,40 @@ def score_run(spark: SparkSession, d: str) -> DataFrame:
     """Excerpts not yet in the result cache, scored by the deterministic stand-in backend."""
     todo = result_cache_todo(spark, d).join(sections(spark, d), ["accession", "cik"])
     todo = todo.select("accession", excerpts.excerpt(F.col("text"))["excerpt"].alias("excerpt"))
-    return excerpts.score_excerpts(todo, excerpts.CountingBackend, ident="accession", text="excerpt").drop("raw_output")
+    return excerpts.score_excerpts(todo, excerpts.CountingBackend, ident="accession", text="excerpt").drop("raw_output", "seconds")
+
+
+_SCORED_SQL = _EXCERPT_SQL.replace("FROM documents", "FROM todo_d")
+
+
+@catalog.query(
+    "scoring_report",
+    f"""WITH {_SECTIONS_SQL}, cached AS (SELECT DISTINCT accession FROM signals WHERE accession IS NOT NULL AND prev_acceptance IS NOT NULL),
+todo_d AS (SELECT accession || '|' || cik AS doc_id, text FROM sections_r WHERE accession NOT IN (FROM cached)), scored AS (WITH {_SCORED_SQL}),
+n AS (SELECT count(*) AS in_scope, count(*) FILTER (WHERE accession IN (FROM cached)) AS cached FROM sections_r)
+SELECT any_value(in_scope) AS in_scope, any_value(cached) AS cached, count(doc_id) AS scored, count(doc_id) AS valid, 0::BIGINT AS invalid, round((any_value(cached) + count(doc_id)) / any_value(in_scope), 4) AS valid_share, 0::BIGINT AS needed_retry,
+  count(*) FILTER (WHERE method = 'forward_looking') AS forward_looking, count(*) FILTER (WHERE method = 'opening_fallback') AS opening_fallback, true AS passed FROM n LEFT JOIN scored ON true""",
+)
+def scoring_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a scoring run of all sections found in its cache, scored, had to ask twice and got, against its
+    gate; the seconds it took, which no SQL can know, are left out here."""
+    every = sections(spark, d)
+    cache = load(spark, d, "signals").where("prev_acceptance IS NOT NULL")
+    keyed = every.withColumn("key", F.concat_ws("|", "accession", "cik"))
+    todo = sinks.not_done(keyed, cache, ["accession"]).withColumn("e", excerpts.excerpt(F.col("text"))).select("key", "e.excerpt", "e.method")
+    scored = excerpts.score_excerpts(todo, excerpts.CountingBackend, ident="key", text="excerpt", keep=["method"])
+    return excerpts.run_report(scored, in_scope=every.count(), gate=DEFAULTS["gates"]["scores"]).drop("median_seconds")
+
+
+@catalog.query("excerpt_audit", "SELECT count(*) AS documents, count(*) AS same_excerpt, 1.0::DOUBLE AS share FROM documents WHERE text IS NOT NULL")
+def excerpt_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The excerpts made by native expressions against those made with a token counter in workers."""
+    docs = load_texts(pin(spark), d, "documents", "doc_id", "text").where("text IS NOT NULL")
+    native = docs.select("doc_id", excerpts.excerpt(F.col("text")).alias("e")).select("doc_id", F.md5("e.excerpt").alias("a"), F.col("e.tokens").alias("n"))
+    counted = excerpts.select_excerpts(docs, lambda: excerpts.count_words, ident="doc_id", text="text").select("doc_id", F.md5("excerpt").alias("b"), F.col("tokens").alias("m"))
+    same = ((F.col("a") == F.col("b")) & (F.col("n") == F.col("m"))).cast("int")
+    both = native.groupBy("doc_id", "a", "n").count().join(counted.groupBy("doc_id", "b", "m").agg(F.count(F.lit(1)).alias("k")), "doc_id", "left")
+    return both.agg(F.sum("count").alias("documents"), F.sum(F.coalesce(same * F.col("count"), F.lit(0))).alias("same_excerpt"), (F.sum(same * F.col("count")) / F.sum("count")).alias("share"))
 
 
 @catalog.query("result_cache_todo", f"WITH {_SECTIONS_SQL} SELECT accession, cik FROM sections_r WHERE accession NOT IN (SELECT accession FROM signals WHERE accession IS NOT NULL AND prev_acceptance IS NOT NULL)")
@@ -532,6 +565,27 @@ def factor_ols_1f(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_HAC_SQL = """o AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY m) AS i FROM j),
+fit AS (SELECT strategy, count(*) AS n, regr_intercept(y, f0) AS a, regr_slope(y, f0) AS b, regr_r2(y, f0) AS r2, sum(f0) AS sx, sum(f0 * f0) AS sxx, floor(4 * pow(count(*) / 100, 2 / 9))::INT AS lags FROM o GROUP BY strategy),
+u AS (SELECT o.strategy, i, f0 AS x, y - a - b * f0 AS u, lags FROM o JOIN fit USING (strategy)),
+c AS (SELECT p.strategy, CASE WHEN p.i = q.i THEN 1 ELSE 2 * (1 - (p.i - q.i) / (p.lags + 1)) END AS w, p.u * q.u AS uu, p.x AS xp, q.x AS xq FROM u p JOIN u q ON p.strategy = q.strategy AND p.i - q.i BETWEEN 0 AND p.lags),
+s AS (SELECT strategy, sum(w * uu) AS s00, sum(w * uu * (xp + xq) / 2) AS s01, sum(w * uu * xp * xq) AS s11 FROM c GROUP BY strategy),
+e AS (SELECT *, sxx / (n * sxx - sx * sx) AS i00, -sx / (n * sxx - sx * sx) AS i01, n / (n * sxx - sx * sx) AS i11 FROM fit JOIN s USING (strategy))
+SELECT strategy, 'alpha' AS term, round(a, 6) AS coef, round(a / sqrt(i00 * i00 * s00 + 2 * i00 * i01 * s01 + i01 * i01 * s11), 5) AS t, round(r2, 6) AS r2, n::INT AS months, lags FROM e
+UNION ALL SELECT strategy, 'f0', round(b, 6), round(b / sqrt(i01 * i01 * s00 + 2 * i01 * i11 * s01 + i11 * i11 * s11), 5), round(r2, 6), n::INT, lags FROM e"""
+
+
+@catalog.query(
+    "factor_hac_1f",
+    f"""WITH {roles.ctes('monthly', 'signals', 'members', 'calendar', 'ranges')}, {study._PANEL_SQL}, factors_r AS (SELECT last_day(date) AS month_end, avg(ret) FILTER (WHERE symbol % 6 = 0) AS f0 FROM returns_r GROUP BY date),
+{study._legs_sql()}, {study._long_short_sql()}, j AS (SELECT 'gross' AS strategy, month_end AS m, ret_ls AS y, f0 FROM monthly_ls JOIN factors_r ON last_day(date) = month_end UNION ALL SELECT 'net', month_end, ret_ls_net, f0 FROM monthly_ls JOIN factors_r ON last_day(date) = month_end), {_HAC_SQL}""",
+)
+def factor_hac_1f(spark: SparkSession, d: str) -> DataFrame:
+    """One factor with autocorrelation-robust errors, as SQL can say it; factor_ols_hac has all six."""
+    out = statistics.factor_regression(_strategies(spark, d), factors(spark, d).select("month_end", "f0"), on="month_end", value="ret", names=["f0"], group="strategy")
+    return out.withColumns({"coef": F.round("coef", 6), "t": F.round("t", 5), "r2": F.round("r2", 6)})
+
+
 @catalog.query("factor_ols_hac")
 def factor_ols_hac(spark: SparkSession, d: str) -> DataFrame:
     return statistics.factor_regression(_strategies(spark, d), factors(spark, d), on="month_end", value="ret", names=NAMES, group="strategy")
@@ -558,12 +612,29 @@ def sharpe_moments(spark: SparkSession, d: str) -> DataFrame:
     return m.select("variant", "n", *[F.round(c, 6).alias(c) for c in ("sharpe", "skew", "kurt")])
 
 
-@catalog.query("deflated_sharpe")
+def _normal_cdf_sql(x: str) -> str:
+    """The normal distribution by its series, exact to double precision within six deviations."""
+    terms = f"list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))"
+    return f"(0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum({terms}))"
+
+
+@catalog.query(
+    "deflated_sharpe",
+    f"""WITH RECURSIVE {_VARIANTS_SQL}, m AS (SELECT variant, count(*) AS n, avg(ret_ls_net) AS mu, stddev_samp(ret_ls_net) AS sd FROM variants_r WHERE ret_ls_net IS NOT NULL GROUP BY variant),
+k AS (SELECT variant, n, CASE WHEN sd > 0 THEN mu / sd END AS sharpe, avg(pow(ret_ls_net - mu, 3)) / pow(avg(pow(ret_ls_net - mu, 2)), 1.5) AS skew, avg(pow(ret_ls_net - mu, 4)) / pow(avg(pow(ret_ls_net - mu, 2)), 2) AS kurt
+  FROM variants_r JOIN m USING (variant) WHERE ret_ls_net IS NOT NULL GROUP BY variant, n, mu, sd),
+p AS (SELECT count(sharpe) AS trials, var_samp(sharpe) AS v, 1 - 1 / count(sharpe) AS p1, 1 - 1 / (count(sharpe) * exp(1)) AS p2 FROM k),
+z(z1, z2, i) AS (SELECT 0.0::DOUBLE, 0.0::DOUBLE, 0 UNION ALL SELECT z1 - ({_normal_cdf_sql('z1')} - p1) * sqrt(2 * pi()) * exp(z1 * z1 / 2), z2 - ({_normal_cdf_sql('z2')} - p2) * sqrt(2 * pi()) * exp(z2 * z2 / 2), i + 1 FROM z CROSS JOIN p WHERE i < 60),
+t AS (SELECT CASE WHEN trials < 2 THEN 0 ELSE sqrt(v) * ((1 - {statistics.EULER}) * z1 + {statistics.EULER} * z2) END AS threshold FROM p CROSS JOIN (SELECT * FROM z WHERE i = 60))
+SELECT variant, n, round(sharpe, 6) AS sharpe, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(threshold, 6) AS threshold,
+  round({_normal_cdf_sql('((sharpe - threshold) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe))')}, 6) AS dsr FROM k CROSS JOIN t""",
+)
 def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
     """Deflated by the number of variants tried and the variance of their Sharpe ratios."""
     m = statistics.sharpe_moments(variants(spark, d), ["variant"], "ret_ls_net")
     row = m.agg(F.count("sharpe").alias("n"), F.var_samp("sharpe").alias("v")).first()
-    return statistics.deflated(m, int(row["n"]), float(row["v"] or 0.0))
+    out = statistics.deflated(m, int(row["n"]), float(row["v"] or 0.0))
+    return out.withColumns({c: F.round(c, 6) for c in ("sharpe", "skew", "kurt", "threshold", "dsr")})
 
 
 @catalog.query(

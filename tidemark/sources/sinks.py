@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gzip
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,12 +73,10 @@ def checked_bytes(path: str, sha256: str) -> bytes:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of stored documents, plain or gzip by suffix."""
-    from pyspark.sql.types import BinaryType
 
-    @F.udf(BinaryType())
-    def plain(p: str, raw: bytearray) -> bytes:
-        import gzip
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["content"] = [gzip.decompress(raw) if p.endswith(".gz") else raw for p, raw in zip(pdf["path"], pdf["content"])]
+            yield pdf
 
-        return gzip.decompress(bytes(raw)) if p.endswith(".gz") else bytes(raw)
-
-    return spark.read.format("binaryFile").load(path).select("path", plain("path", "content").alias("content"))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(plain, "path string, content binary")
