@@ -6,6 +6,7 @@ import zipfile
 from datetime import date, datetime
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,7 +165,12 @@ def test_client_retries_caches_and_gives_up(tmp_path):
     bad, calls = client(tmp_path / "b", [(404, b"")], c)
     with pytest.raises(FetchError, match="404"):
         bad.get("u", "k")
-    assert len(calls) == 1 and not list((tmp_path / "b").glob("*"))
+    assert len(calls) == 1 and [x.name for x in (tmp_path / "b").glob("*")] == ["k.missing"]
+    with pytest.raises(FetchError, match="404"):
+        bad.get("u", "k")
+    assert len(calls) == 1 and bad.known_missing("k")
+    fresh, calls = client(tmp_path / "a", [(200, b"new")], c)
+    assert fresh.get("u", "k") == b"body" and fresh.get("u", "k", refresh=True) == b"new" == fresh.get("u", "k") and len(calls) == 1
 
 
 def test_fetch_all_keeps_errors(spark, tmp_path):
@@ -175,9 +181,45 @@ def test_fetch_all_keeps_errors(spark, tmp_path):
     def make():
         return fetch.CachedClient(lambda url: (200, b"x") if url.startswith("good") else (404, b""), folder, fetch.RateLimiter(1000))
 
-    df = spark.createDataFrame([("good1", "a"), ("bad", "b"), ("good1", "a")], "url string, key string")
-    out = {r["key"]: (r["doc_path"] is not None, r["fetch_error"]) for r in fetch.fetch_all(df, make, url="url", key="key").collect()}
-    assert out == {"a": (True, None), "b": (False, "FetchError: bad: status 404")}
+    df = spark.createDataFrame([("good1", "a", 1), ("bad", "b", 2), ("good1", "a", 3), (None, None, 4)], "url string, key string, cik int")
+    out = {r["cik"]: (r["doc_path"] is not None, r["fetch_error"]) for r in fetch.fetch_all(df, make, url="url", key="key").collect()}
+    assert out == {1: (True, None), 3: (True, None), 2: (False, "NotFound: bad: status 404"), 4: (False, None)}
+
+
+def test_floats_and_prices_are_asked_for_once(spark, tmp_path):
+    from tidemark.sources import fetch
+
+    log, cache, prices_at = str(tmp_path / "log"), str(tmp_path / "c"), str(tmp_path / "p")
+
+    def make():
+        def opener(url):
+            with open(log, "a") as f:
+                f.write(url + "\n")
+            return (404, b"") if url.endswith("/7") else (500, b"") if url.endswith("/8") else (200, b'{"units": {}}')
+
+        return fetch.CachedClient(opener, cache, fetch.RateLimiter(1000), tries=1)
+
+    ciks = spark.createDataFrame([(7,), (8,), (9,), (9,), (None,)], "cik int").coalesce(1)
+    for _ in range(2):
+        out = {r["cik"]: (r["json"], r["fetch_error"]) for r in fetch.fetch_floats(ciks, make, address="u/%d").collect()}
+        assert out == {7: (None, None), 8: (None, "FetchError: u/8: status 500"), 9: ('{"units": {}}', None)}
+    assert sorted(open(log).read().split()) == ["u/7", "u/8", "u/8", "u/9"]
+
+    def source():
+        def ask(symbols):
+            with open(log, "a") as f:
+                f.write(",".join(sorted(symbols)) + "\n")
+            rows = [(date(2020, 1, 1), s, 2.0) for s in symbols if s == "A"]
+            return pd.DataFrame(rows, columns=["date", "symbol", "adj_close"])
+
+        return ask
+
+    open(log, "w").close()
+    for symbols in (["A", "B"], ["A", "B", "C"], ["C"]):
+        df = spark.createDataFrame([(x,) for x in symbols], "symbol string").coalesce(1)
+        got = fetch.fetch_prices(df, source, prices_at, pause=0).collect()
+        assert [tuple(r) for r in got] == ([(date(2020, 1, 1), "A", 2.0)] if "A" in symbols else [])
+    assert open(log).read().split() == ["A,B", "C", "C"]  # a batch that is empty as a whole is no answer
 
 
 def test_config(tmp_path):

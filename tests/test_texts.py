@@ -207,23 +207,44 @@ def test_years_and_dates_are_masked_in_every_document(spark, tmp_path):
                 text = re.sub(p, label, text)
         return hashlib.md5(text.encode()).hexdigest()
 
-    got = dict(map(tuple, queries.date_year_mask_all(spark, str(tmp_path)).collect()))
+    got = dict(map(tuple, queries.date_year_mask(spark, str(tmp_path)).collect()))
     assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None}
     assert got[3] == hashlib.md5(b"fiscal [YEAR] or [DATE]").hexdigest()
 
 
-def test_the_check_stage_reports_failed_extractions(spark, tmp_path):
-    from tidemark import __main__ as runner
-
-    (name,) = runner.STAGES["check"]
-    texts = [BODY, BODY + " more words", "Too short a section. " * 30, "too short", None]
-    rows = [(i, t, len(t or "")) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id int, text string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
-    out = queries.catalog.queries[name](spark, str(tmp_path)).collect()
-    assert {(r["status"], r["method"], r["failure_reason"]): r["n"] for r in out} == {
-        ("ok", "item_heading", None): 3, ("failed", None, "section_too_short"): 1, ("failed", None, "empty_document"): 1,
-    }
-    assert {r["coverage"] for r in out} == {0.6} and all(r["median_words_ok"] >= 100 for r in out)
+def test_extraction_report(spark):
+    rows = [(1, "ok", "item_heading", None, 300), (2, "ok", "item_heading", None, 500), (3, "failed", None, "parse_error: x", 0), (4, "failed", None, "parse_error: y", 0), (5, "failed", None, "section_too_short", 20)]
+    df = spark.createDataFrame(rows, "doc_id int, status string, method string, failure_reason string, n_words int")
+    out = queries.extraction_report(df, 0.9).collect()
+    assert {(r["status"], r["failure_reason"]): r["n"] for r in out} == {("ok", None): 2, ("failed", "parse_error"): 2, ("failed", "section_too_short"): 1}
+    assert {(r["coverage"], r["median_words_ok"], r["passed"]) for r in out} == {(0.4, 400.0, False)}
+
+
+def test_excerpts_under_a_token_counter(spark):
+    letters = lambda t: len(t)
+    text = "Short line\nWe expect that one two three four five six\n" + "word " * 40 + "\nThe outlook is good for all of the eight units here"
+    picked, method, used = excerpts.pick_excerpt(text, letters, 60, 10)
+    assert method == "forward_looking" and used == len(picked) - 2 <= 60 and picked.split("\n\n")[0] == "We expect that one two three four five six"
+    assert text.replace("\n", "\n\n").find(picked.split("\n\n")[1]) > 0 and used + len(" units") > 60 - 8
+    assert excerpts.pick_excerpt(None, letters) == ("", "opening_fallback", 0) and excerpts.pick_excerpt("a " * 9, letters, 3, 1)[0] == "a a"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "b " * 700)], "i int, t string")
+    native = {r["i"]: tuple(r["e"]) for r in docs.select("i", excerpts.excerpt(F.col("t"), 20, 8).alias("e")).collect() if r["i"] != 2}
+    counted = {r["i"]: (r["excerpt"], r["method"], r["tokens"]) for r in excerpts.select_excerpts(docs, lambda: excerpts.count_words, ident="i", text="t", budget=20, min_forward=8).collect() if r["i"] != 2}
+    assert native == counted
+
+
+def test_a_scoring_run_writes_its_cache(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    work = spark.createDataFrame([(i, "We may face risk.", "forward_looking" if i % 2 else "opening_fallback") for i in range(10)], "i int, t string, method string")
+    run = lambda **kw: excerpts.score_cached(work, cache, lambda: excerpts.backend_named("counting"), ident="i", text="t", version="v1", model_id="counting-1", **kw).first().asDict()
+    first, second, third = run(limit=4), run(), run()
+    assert [(x["cached"], x["scored"], x["unscored"]) for x in (first, second, third)] == [(0, 4, 6), (4, 6, 0), (10, 0, 0)] and first["valid_share"] == 0.4 and not first["passed"]
+    assert second["valid_share"] == 1.0 and second["passed"] and second["forward_looking"] + first["forward_looking"] == 5 and second["median_seconds"] >= 0
+    assert spark.read.parquet(cache).select("i").distinct().count() == 10
+    with pytest.raises(ValueError, match="no backend"):
+        excerpts.backend_named("none")
+    said = excerpts.backend_named("replies", reply=lambda talk: "no")
+    assert excerpts.score_excerpts(work, lambda: said, ident="i", text="t").where("status = 'invalid' AND attempts = 2").count() == 10
 
 
 def test_the_registered_interval_rests_on_2000_draws(spark, tmp_path):

@@ -1,7 +1,8 @@
-"""python -m tidemark [--dir D] [--out O] [--gate SHARE] STAGE|QUERY...: run and write named queries.
+"""python -m tidemark [--dir D] [--out O] [--config C] [--no-gates] STAGE|QUERY...: run and write named queries.
 
-A stage is a list of queries.  With --gate the run fails (exit 1) where a result's column
-``coverage`` or ``share`` averages below the gate.
+A stage is a list of queries.  The run fails (exit 1) where the coverage of signals, the share of
+sections found or of scores that are valid stays below its gate in the settings, or a sanity check
+does not pass.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import load_config
 from tidemark.plans import core
 from tidemark.session import pin
 from tidemark.sources.sinks import write_table
@@ -26,22 +28,31 @@ STAGES = {
 }
 
 
+#: The stages whose results are held against a gate of the settings, and the column that is.
+GATES = {"signal_coverage": ("coverage", "signal_coverage"), "section_report": ("coverage", "sections"), "scoring_report": ("valid_share", "scores")}
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("names", nargs="+")
     p.add_argument("--dir", default="/root/testdata/sf0.01")
     p.add_argument("--out", default="artifacts")
-    p.add_argument("--gate", type=float)
+    p.add_argument("--config")
+    p.add_argument("--no-gates", action="store_true")
     a = p.parse_args(args)
+    gates = load_config(a.config)["gates"]
     spark, queries, failed = pin(SparkSession.builder.getOrCreate()), core().queries, 0
     for name in [q for n in a.names for q in STAGES.get(n, [n])]:
         path = f"{a.out}/{name}"
         write_table(queries[name](spark, a.dir), path)
         done = spark.read.parquet(path)
         print(f"{name}: {done.count()} rows in {path}")
-        share = next((c for c in ("coverage", "share") if c in done.columns), None)
-        if a.gate is not None and share and (done.agg(F.avg(share)).first()[0] or 0) < a.gate:
-            print(f"{name}: {share} below {a.gate}")
+        column, gate = GATES.get(name, (None, None))
+        if column and not a.no_gates and (done.agg(F.min(column)).first()[0] or 0) < gates[gate]:
+            print(f"{name}: {column} below {gates[gate]}")
+            failed = 1
+        elif not a.no_gates and name.endswith("_sanity") and not done.where("NOT passed").isEmpty():
+            print(f"{name}: not passed")
             failed = 1
     return failed
 

@@ -201,17 +201,17 @@ def score_excerpts(work: DataFrame, make_backend: Callable[[], Backend], *, iden
     return work.select(ident, *keep, prompt(F.coalesce(text, F.lit(""))).alias("_message")).mapInPandas(run, schema)
 
 
-def run_report(scored: DataFrame, *, in_scope: int, gate: float) -> DataFrame:
-    """One row on a scoring run: what the cache held, what was scored, valid and invalid, the valid share of
-    all in scope, how many needed a second try, excerpts by method, median seconds, and the gate."""
+def run_report(scored: DataFrame, *, in_scope: int, cached: int, cached_valid: int, gate: float) -> DataFrame:
+    """One row on a scoring run: what the cache held, what was scored and what is left, valid and invalid, the
+    valid share of all in scope, how many needed a second try, excerpts by method, median seconds, and the gate."""
     ok = F.col("status") == "valid"
     out = scored.agg(
         F.count(F.lit(1)).alias("scored"), F.count(F.when(ok, 1)).alias("valid"), F.count(F.when(~ok, 1)).alias("invalid"), F.count(F.when(ok & (F.col("attempts") > 1), 1)).alias("needed_retry"),
         F.count(F.when(F.col("method") == "forward_looking", 1)).alias("forward_looking"), F.count(F.when(F.col("method") == "opening_fallback", 1)).alias("opening_fallback"), F.median("seconds").alias("median_seconds"),
     )
-    cached = F.lit(in_scope) - F.col("scored")
-    share = F.round((cached + F.col("valid")) / max(in_scope, 1), 4)
-    return out.select(F.lit(in_scope).cast("bigint").alias("in_scope"), cached.alias("cached"), *out.columns, share.alias("valid_share"), (share >= gate).alias("passed"))
+    share = F.round((F.lit(cached_valid) + F.col("valid")) / max(in_scope, 1), 4)
+    known = [F.lit(n).cast("bigint").alias(c) for c, n in (("in_scope", in_scope), ("cached", cached))]
+    return out.select(*known, *out.columns, (F.lit(in_scope - cached) - F.col("scored")).alias("unscored"), share.alias("valid_share"), (share >= gate).alias("passed"))
 
 
 def score_cached(work: DataFrame, cache_path: str, make_backend: Callable[[], Backend], *, ident: str, text: str, version: str, model_id: str, retries: int = 1, limit: int | None = None, gate: float = 0.95) -> DataFrame:
@@ -226,9 +226,11 @@ def score_cached(work: DataFrame, cache_path: str, make_backend: Callable[[], Ba
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     done = (spark.read.schema(schema).parquet(cache_path) if there else spark.createDataFrame([], schema)).where((F.col("version") == version) & (F.col("model") == model_id))
-    todo = work.join(done.select(ident).distinct(), ident, "left_anti")
+    done = done.groupBy(ident).agg(F.max((F.col("status") == "valid").cast("int")).alias("_ok"))
+    held = work.select(ident).join(done, ident).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_ok"), F.lit(0)).alias("ok")).first()
+    todo = work.join(done, ident, "left_anti")
     if limit is not None:
         todo = todo.orderBy(ident).limit(limit)
     fresh = stage(score_excerpts(todo, make_backend, ident=ident, text=text, retries=retries, keep=["method"]).withColumn("version", F.lit(version)), "scores")
     fresh.write.mode("append").parquet(cache_path)
-    return run_report(fresh, in_scope=work.count(), gate=gate)
+    return run_report(fresh, in_scope=work.count(), cached=held["n"], cached_valid=held["ok"], gate=gate)

@@ -247,7 +247,7 @@ _SCORED_SQL = _EXCERPT_SQL.replace("FROM documents", "FROM todo_d")
     f"""WITH {_SECTIONS_SQL}, cached AS (SELECT DISTINCT accession FROM signals WHERE accession IS NOT NULL AND prev_acceptance IS NOT NULL),
 todo_d AS (SELECT accession || '|' || cik AS doc_id, text FROM sections_r WHERE accession NOT IN (FROM cached)), scored AS (WITH {_SCORED_SQL}),
 n AS (SELECT count(*) AS in_scope, count(*) FILTER (WHERE accession IN (FROM cached)) AS cached FROM sections_r)
-SELECT any_value(in_scope) AS in_scope, any_value(cached) AS cached, count(doc_id) AS scored, count(doc_id) AS valid, 0::BIGINT AS invalid, round((any_value(cached) + count(doc_id)) / any_value(in_scope), 4) AS valid_share, 0::BIGINT AS needed_retry,
+SELECT any_value(in_scope) AS in_scope, any_value(cached) AS cached, count(doc_id) AS scored, count(doc_id) AS valid, 0::BIGINT AS invalid, round((any_value(cached) + count(doc_id)) / any_value(in_scope), 4) AS valid_share, 0::BIGINT AS needed_retry, any_value(in_scope) - any_value(cached) - count(doc_id) AS unscored,
   count(*) FILTER (WHERE method = 'forward_looking') AS forward_looking, count(*) FILTER (WHERE method = 'opening_fallback') AS opening_fallback, true AS passed FROM n LEFT JOIN scored ON true""",
 )
 def scoring_report(spark: SparkSession, d: str) -> DataFrame:
@@ -256,9 +256,11 @@ def scoring_report(spark: SparkSession, d: str) -> DataFrame:
     every = sections(spark, d)
     cache = load(spark, d, "signals").where("prev_acceptance IS NOT NULL")
     keyed = every.withColumn("key", F.concat_ws("|", "accession", "cik"))
-    todo = sinks.not_done(keyed, cache, ["accession"]).withColumn("e", excerpts.excerpt(F.col("text"))).select("key", "e.excerpt", "e.method")
+    todo = sinks.not_done(keyed, cache, ["accession"])
+    n, new = every.count(), todo.count()
+    todo = todo.withColumn("e", excerpts.excerpt(F.col("text"))).select("key", "e.excerpt", "e.method")
     scored = excerpts.score_excerpts(todo, excerpts.CountingBackend, ident="key", text="excerpt", keep=["method"])
-    return excerpts.run_report(scored, in_scope=every.count(), gate=DEFAULTS["gates"]["scores"]).drop("median_seconds")
+    return excerpts.run_report(scored, in_scope=n, cached=n - new, cached_valid=n - new, gate=DEFAULTS["gates"]["scores"]).drop("median_seconds")
 
 
 @catalog.query("excerpt_audit", "SELECT count(*) AS documents, count(*) AS same_excerpt, 1.0::DOUBLE AS share FROM documents WHERE text IS NOT NULL")

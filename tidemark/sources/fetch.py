@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import gzip
-import os
-import tempfile
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.session import stage
 
 RETRY = frozenset({429, 500, 502, 503, 504})
 
@@ -43,28 +44,58 @@ class FetchError(RuntimeError):
     pass
 
 
+class NotFound(FetchError):
+    """The address does not exist; asking again is of no use."""
+
+
 class CachedClient:
-    """Bodies by address, kept on disk once fetched; a file appears whole or not at all."""
+    """Bodies by address, kept once fetched in a folder that all workers share; a file appears whole or not at all.
+
+    ``folder`` is an address of any file system that Arrow knows (``hdfs://``, ``s3://``, ``gs://``,
+    or a mounted path), never a worker's own disk: what it returns is read by others.  An address
+    that does not exist leaves an empty marker, so that no later run asks again.
+    """
 
     def __init__(self, opener: Opener, folder: str, limiter: RateLimiter, *, tries: int = 4, pause: float = 1.0, compress: bool = True, sleep: Callable[[float], None] = time.sleep) -> None:
-        self._open, self._folder, self._limiter = opener, Path(folder), limiter
+        from pyarrow import fs
+
+        self._fs, self._folder = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        self._is_file, self._open, self._limiter = fs.FileType.File, opener, limiter
         self._tries, self._pause, self._compress, self._sleep = tries, pause, compress, sleep
 
-    def path(self, key: str) -> Path:
-        return self._folder / (key + ".gz" * self._compress)
+    def path(self, key: str) -> str:
+        return f"{self._folder}/{key}{'.gz' * self._compress}"
+
+    def known_missing(self, key: str) -> bool:
+        return self._has(f"{self._folder}/{key}.missing")
+
+    def _has(self, path: str) -> bool:
+        return self._fs.get_file_info(path).type == self._is_file
 
     def get(self, url: str, key: str, refresh: bool = False) -> bytes:
         path = self.path(key)
-        if path.exists() and not refresh:
-            data = path.read_bytes()
-            return gzip.decompress(data) if self._compress else data
-        body = self._download(url)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        with tempfile.NamedTemporaryFile(dir=path.parent, delete=False) as f:
-            f.write(gzip.compress(body) if self._compress else body)
-        os.replace(f.name, path)
+        if not refresh:
+            if self.known_missing(key):
+                raise NotFound(f"{url}: status 404")
+            if self._has(path):
+                with self._fs.open_input_stream(path, compression=None) as f:
+                    data = f.read()
+                return gzip.decompress(data) if self._compress else data
+        try:
+            body = self._download(url)
+        except NotFound:
+            self._write(f"{self._folder}/{key}.missing", b"")
+            raise
+        self._write(path, gzip.compress(body) if self._compress else body)
         return body
 
+    def _write(self, path: str, data: bytes) -> None:
+        self._fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with self._fs.open_output_stream(part, compression=None) as f:
+            f.write(data)
+        self._fs.move(part, path)
+
     def _download(self, url: str) -> bytes:
         status = 0
         for attempt in range(self._tries):
@@ -76,23 +107,90 @@ class CachedClient:
                 break
             if attempt + 1 < self._tries:
                 self._sleep(self._pause * 2**attempt)
-        raise FetchError(f"{url}: status {status}")
+        raise (NotFound if status == 404 else FetchError)(f"{url}: status {status}")
+
+
+def fetch_all(todo: DataFrame, make_client: Callable[[], CachedClient], *, url: str, key: str, refresh: str | None = None) -> DataFrame:
+    """``todo`` with doc_path and fetch_error: every distinct address is fetched once and joined back to
+    all its rows, so co-registrants share it.  One client per worker; a failure is written down
+    instead of stopping the others.  ``refresh`` names a flag column of rows whose copy is not to be trusted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make_client()
+        for pdf in batches:
+            rows = []
+            for u, k, again in zip(pdf["_url"].tolist(), pdf["_key"].tolist(), pdf["_again"].tolist()):
+                try:
+                    client.get(u, k, refresh=again)
+                    rows.append((u, k, client.path(k), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((u, k, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["_url", "_key", "doc_path", "fetch_error"])
+
+    again = F.coalesce(F.col(refresh), F.lit(False)) if refresh else F.lit(False)
+    asked = todo.groupBy(F.col(url).alias("_url"), F.col(key).alias("_key")).agg(F.bool_or(again).alias("_again")).where("_url IS NOT NULL AND _key IS NOT NULL")
+    got = stage(asked.mapInPandas(run, "_url string, _key string, doc_path string, fetch_error string"), "fetched")  # never fetched twice by a retried join
+    return todo.join(got, (F.col(url) == F.col("_url")) & (F.col(key) == F.col("_key")), "left").drop("_url", "_key")
 
 
-def fetch_all(todo: DataFrame, make_client: Callable[[], CachedClient], *, url: str, key: str) -> DataFrame:
-    """(key, doc_path, fetch_error), a row per distinct address; one client per worker, and a failure
-    is written down instead of stopping the others.  Join back to get a row per registrant."""
+def fetch_floats(companies: DataFrame, make_client: Callable[[], CachedClient], *, address: str, ident: str = "cik") -> DataFrame:
+    """(ident, json, fetch_error): the published facts of every distinct company; one without any has
+    neither, and is not asked about again.  ``address`` is a pattern with ``%d``."""
+    kind = dict(companies.dtypes)[ident]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for pdf in batches:
             rows = []
-            for u, k in zip(pdf[url].tolist(), pdf[key].tolist()):
+            for i in pdf[ident].tolist():
                 try:
-                    client.get(u, k)
-                    rows.append((k, str(client.path(k)), None))
+                    rows.append((i, client.get(address % i, f"float-{i}").decode(), None))
+                except NotFound:
+                    rows.append((i, None, None))
                 except Exception as e:  # noqa: BLE001
-                    rows.append((k, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[key, "doc_path", "fetch_error"])
+                    rows.append((i, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[ident, "json", "fetch_error"])
 
-    return todo.select(url, key).distinct().mapInPandas(run, f"{key} string, doc_path string, fetch_error string")
+    return companies.select(ident).where(F.col(ident).isNotNull()).distinct().mapInPandas(run, f"{ident} {kind}, json string, fetch_error string")
+
+
+def fetch_prices(symbols: DataFrame, make_source: Callable[[], Callable[[list[str]], pd.DataFrame]], folder: str, *, batch: int = 50, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(date, symbol, adj_close) of every distinct symbol through a cache of one file per symbol.
+
+    ``make_source`` makes, once per worker, a function from symbols to their (date, symbol,
+    adj_close).  Symbols go out in batches with a pause between; one without prices leaves an empty
+    file and is not asked about again, unless its whole batch came back empty, which tells of a
+    failure of the source.  ``folder`` must be shared, as for :class:`CachedClient`.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        source, schema = make_source(), pa.schema([("date", pa.date32()), ("symbol", pa.string()), ("adj_close", pa.float64())])
+        files.create_dir(root, recursive=True)
+        asked = False
+        for pdf in batches:
+            todo = []
+            for s in pdf["symbol"].tolist():
+                path = f"{root}/{s}.parquet"
+                if files.get_file_info(path).type == fs.FileType.File:
+                    yield pq.read_table(path, filesystem=files).to_pandas()
+                else:
+                    todo.append(s)
+            for some in (todo[i : i + batch] for i in range(0, len(todo), batch)):
+                if asked:
+                    sleep(pause)
+                asked, found = True, source(some)
+                if found.empty:
+                    continue
+                for s in some:
+                    own = pa.Table.from_pandas(found[found["symbol"] == s][["date", "symbol", "adj_close"]], schema=schema, preserve_index=False)
+                    part = f"{root}/{s}.{uuid.uuid4().hex}.part"
+                    pq.write_table(own, part, filesystem=files)
+                    files.move(part, f"{root}/{s}.parquet")
+                    yield own.to_pandas()
+
+    return symbols.select(F.col("symbol").cast("string").alias("symbol")).where("symbol IS NOT NULL").distinct().mapInPandas(run, "date date, symbol string, adj_close double")

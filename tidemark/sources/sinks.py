@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +53,24 @@ def settings_hash(df: DataFrame, settings: Sequence[str]) -> DataFrame:
     return df.withColumn("config_hash", F.substring(F.sha2(body, 256), 1, 12))
 
 
-def markdown_table(df: DataFrame, digits: int = 4) -> str:
-    """A report table of a small result (a row per period, year or variant)."""
-    rows = df.collect()
+def markdown_table(df: DataFrame, digits: int = 4, max_rows: int = 1000) -> str:
+    """A report table of a small result (a row per period, year or variant); longer ones end with a note."""
+    rows = df.limit(max_rows + 1).collect()
     show = lambda v: "–" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows]) + "\n"
+    body = ["| " + " | ".join(show(v) for v in r) + " |" for r in rows[:max_rows]]
+    return "\n".join([*lines, *body]) + "\n" + (f"\nOnly the first {max_rows} rows are shown.\n" if len(rows) > max_rows else "")
+
+
+def nested_json(parts: Mapping[str, DataFrame], max_rows: int = 1000) -> str:
+    """One JSON document of several small results, each a list of its rows."""
+    found = {}
+    for name, df in parts.items():
+        rows = df.limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
+            raise ValueError(f"{name} has more than {max_rows} rows; write it as a table")
+        found[name] = [r.asDict(recursive=True) for r in rows]
+    return json.dumps(found, indent=2, default=str, sort_keys=True)
 
 
 def checked_bytes(path: str, sha256: str) -> bytes:
