@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof_join
 from tidemark.operators.snapshots import snapshot_calendar
 
 
@@ -48,17 +47,28 @@ def member_windows(membership: DataFrame, *, date: str, member: str, end: str) -
     )
 
 
-def _dyadic(first: Column, last: Column, levels: int) -> Column:
-    """The fewest aligned blocks (level, block) of 2^level days that make up [first, last], two a level at most."""
+BASE, LEVELS = 16, 6  # blocks of 1, 16, 256, ... days; six levels hold the whole calendar
+_FIRST_DAY, _LAST = "0001-01-01", 3_652_058  # 9999-12-31
 
-    def at(level: Column) -> Column:
-        width = F.call_function("shiftleft", F.lit(1), level)
-        lo, hi = F.ceil(first / width).cast("int"), (F.floor((last + 1) / width) - 1).cast("int")
-        inside = lo <= hi  # then both blocks lie within the range
-        return F.array(F.struct(level.alias("level"), F.when(inside & (lo % 2 == 1), lo).alias("block")), F.struct(level.alias("level"), F.when(inside & (hi % 2 == 0), hi).alias("block")))
 
-    blocks = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
-    return F.array_distinct(F.filter(blocks, lambda b: b["block"].isNotNull()))
+def _aligned(first: Column, last: Column) -> Column:
+    """The aligned blocks (level, block) that make up the days [first, last], at most twice BASE a level:
+    those inside of it whose own greater block is not."""
+
+    def inner(width: int) -> tuple[Column, Column]:
+        return F.ceil(first / F.lit(width)).cast("int"), (F.floor((last + 1) / F.lit(width)) - 1).cast("int")
+
+    none, blocks = F.array().cast("array<int>"), []
+    run = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(none)
+    for level in range(LEVELS):
+        (lo, hi), (up_lo, up_hi) = inner(BASE**level), inner(BASE ** (level + 1))
+        own = F.when(up_lo <= up_hi, F.concat(run(lo, up_lo * BASE - 1), run((up_hi + 1) * BASE, hi))).otherwise(run(lo, hi))
+        blocks.append(F.transform(own, _of_level(level)))
+    return F.concat(*blocks)
+
+
+def _of_level(level: int) -> Callable[[Column], Column]:
+    return lambda k: F.struct(F.lit(level).alias("level"), k.alias("block"))
 
 
 def resolve_validity(
@@ -69,23 +79,17 @@ def resolve_validity(
     Of several, the first by ``order``; where none holds the day but the key has exactly one range,
     that one.  Null bounds are open.  Each distinct (key, day) is looked up once.
 
-    A range is cut into aligned blocks of 1, 2, 4, ... days, of which only the first range by
+    A range is cut into aligned blocks of 1, 16, 256, ... days, of which only the first range by
     ``order`` is kept, and a day asks the one block of each width that holds it: work grows with
     ranges and days, never with their product, and a hot key spreads over its blocks.
     """
     kept = ranges.where(F.col(key).isNotNull()).select(key, F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to"), F.struct(*order).alias("_o"), F.struct(*[F.col(v).alias(v) for v in values]).alias("_v"))
-    days = asked.select(key, day).where(F.col(key).isNotNull() & F.col(day).isNotNull()).distinct()
-    span = days.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
-    if span["a"] is None:
-        return asked.select(*asked.columns, *[F.lit(None).cast(ranges.schema[v].dataType).alias(v) for v in values])
-    origin, width = F.lit(span["a"]), (span["b"] - span["a"]).days
-    first = F.greatest(F.datediff("_from", origin), F.lit(0))
-    last = F.least(F.datediff("_to", origin), F.lit(width))
-    levels = width.bit_length()
-    bounded = kept.select(key, "_o", "_v", F.coalesce(first, F.lit(0)).alias("_a"), F.coalesce(last, F.lit(width)).alias("_b")).where("_a <= _b")
-    blocks = bounded.select(key, F.inline(_dyadic(F.col("_a"), F.col("_b"), levels)), "_o", "_v").groupBy(key, "level", "block").agg(F.min(F.struct("_o", "_v")).alias("_best"))
+    origin = F.lit(_FIRST_DAY).cast("date")
+    bounded = kept.select(key, "_o", "_v", F.coalesce(F.datediff("_from", origin), F.lit(0)).alias("_a"), F.coalesce(F.datediff("_to", origin), F.lit(_LAST)).alias("_b")).where("_a <= _b")
+    blocks = bounded.select(key, F.inline(_aligned(F.col("_a"), F.col("_b"))), "_o", "_v").groupBy(key, "level", "block").agg(F.min(F.struct("_o", "_v")).alias("_best"))
     at = F.datediff(day, origin)
-    looks = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda n: F.struct(n.alias("level"), F.floor(at / F.call_function("shiftleft", F.lit(1), n)).cast("int").alias("block")))
+    looks = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(at / F.lit(BASE**n)).cast("int").alias("block")) for n in range(LEVELS)])
+    days = asked.select(key, day).where(F.col(key).isNotNull() & F.col(day).isNotNull()).distinct()
     held = days.select(key, day, F.inline(looks)).join(blocks, [key, "level", "block"]).groupBy(key, day).agg(F.min("_best").alias("_best"))
     only = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_only")).where("_n = 1").drop("_n")
     found = asked.join(held, [key, day], "left").join(only, key, "left").withColumn("_v", F.coalesce("_best._v", "_only"))
@@ -95,13 +99,19 @@ def resolve_validity(
 def near_window(pairs: DataFrame, activity: DataFrame, *, key: str, first: str, last: str, at: str, pad_days: int) -> DataFrame:
     """Rows of ``pairs`` whose key was active at least once within the padded window, inclusive.
 
-    The first activity at or after the window's beginning decides, so a key with many activities is
-    met once; a row without a key or a bound is not near.
+    Windows are cut into aligned blocks and meet the blocks in which their key was active, so a key
+    with many activities and many windows is never multiplied out.  A row without a key or a bound
+    is not near.
     """
-    a = activity.select(F.col(key), F.col(at).alias("_at")).where(F.col(key).isNotNull() & F.col("_at").isNotNull()).distinct()
-    opens = pairs.where(F.col(key).isNotNull() & F.col(first).isNotNull() & F.col(last).isNotNull()).withColumn("_opens", F.date_sub(first, pad_days))
-    met = asof_join(opens, a.withColumn("_met", F.col("_at")), keys=[key], left_time="_opens", right_time="_at", values=["_met"], direction="forward", slice_width=1024)
-    return met.where(F.col("_met") <= F.date_add(last, pad_days)).select(*pairs.columns)
+    origin = F.lit(_FIRST_DAY).cast("date")
+    day = F.datediff(at, origin)
+    seen = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(day / F.lit(BASE**n)).cast("int").alias("block")) for n in range(LEVELS)])
+    active = activity.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_k"), F.inline(seen)).distinct()
+    windows = pairs.select(F.col(key).alias("_k"), F.col(first).alias("_first"), F.col(last).alias("_last")).dropna().distinct()
+    lo, hi = F.datediff("_first", origin) - pad_days, F.datediff("_last", origin) + pad_days
+    spans = windows.where(lo <= hi).select("_k", "_first", "_last", F.inline(_aligned(F.greatest(lo, F.lit(0)), hi)))
+    near = spans.join(active, ["_k", "level", "block"], "left_semi").select("_k", "_first", "_last").distinct()
+    return pairs.join(near, (F.col(key) == F.col("_k")) & (F.col(first) == F.col("_first")) & (F.col(last) == F.col("_last")), "left_semi")
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
