@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stage
+
 
 def cohort_counts(docs: DataFrame, vocabulary: DataFrame, lexicon: DataFrame, *, ident: list[str], text: str) -> tuple[DataFrame, DataFrame]:
     """((ident..., n_words), (ident..., category, kind, year, cnt)).
@@ -15,7 +17,7 @@ def cohort_counts(docs: DataFrame, vocabulary: DataFrame, lexicon: DataFrame, *,
     """
     words = docs.select(*ident, F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).withColumn("word", F.upper("w"))
     # counted per document first: the join then sees each distinct word once
-    seen = words.groupBy(*ident, "word").agg(F.count(F.lit(1)).alias("c")).join(vocabulary.select("word").distinct(), "word")
+    seen = stage(words.groupBy(*ident, "word").agg(F.count(F.lit(1)).alias("c")).join(vocabulary.select("word").distinct(), "word"), "words")  # texts are read once
     totals = seen.groupBy(*ident).agg(F.sum("c").alias("n_words"))
     cohorts = seen.join(lexicon, "word").groupBy(*ident, "category", "kind", "year").agg(F.sum("c").alias("cnt"))
     return totals, cohorts

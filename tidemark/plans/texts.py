@@ -47,8 +47,17 @@ def lexicon(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Word counts of every filing's management discussion.
+
+    All such documents are counted where they lie and those of smallest id are picked by their
+    counts, so no text is shuffled to find out which one counts.
+    """
     vocabulary, lex = lexicon(spark)
-    return wordlists.cohort_counts(sections(spark, d), vocabulary, lex, ident=["accession", "cik"], text="text")
+    docs = load(pin(spark), d, "documents").where("section = 'item7' AND accession IS NOT NULL AND cik IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    first = docs.groupBy("accession", "cik").agg(F.min("doc_id").alias("doc_id"))
+    both = wordlists.cohort_counts(docs, vocabulary, lex, ident=["accession", "cik", "doc_id"], text="text")
+    totals, cohorts = (t.join(first, ["accession", "cik", "doc_id"], "left_semi").drop("doc_id") for t in both)
+    return totals, cohorts
 
 
 @catalog.query("lexicon_cohorts", f"WITH {_MASTER_SQL} SELECT word, category, kind, year FROM lex")
@@ -107,16 +116,14 @@ def lm_changes(spark: SparkSession, d: str) -> DataFrame:
     totals, cohorts = counts(spark, d)
     pairs = lookups.previous_filings(spark, d).withColumn("year_at", F.year(normal.day_in_zone(F.col("t"))))
     ident = ["accession", "cik"]
-    now = wordlists.shares(totals, cohorts, _by_category(pairs.select(*ident, "year_at")), ident=ident)
     old = pairs.where("prev_accession IS NOT NULL").select(F.col("prev_accession").alias("accession"), "cik", "year_at")
-    then = wordlists.shares(totals, cohorts, _by_category(old), ident=ident).select(
-        F.col("accession").alias("prev_accession"), "cik", "year_at", "category", F.col("share").alias("prev_share"), F.col("n_words").alias("prev_words")
-    )
-    both = pairs.join(now, [*ident, "year_at"], "left").join(then, ["prev_accession", "cik", "year_at", "category"], "left")
-    delta = F.col("share") - F.col("prev_share")
-    agg = both.groupBy(*ident, "prev_accession").agg((F.max("n_words") / F.max("prev_words")).alias("ratio"), F.sum(delta).alias("delta"), F.count(delta).alias("both"))
-    alike = (F.col("ratio") <= MAX_RATIO) & (F.col("ratio") >= 1 / MAX_RATIO)
-    return agg.select(*ident, "prev_accession", "ratio", F.when((F.col("both") == 2) & alike, F.col("delta")).alias("lm_change"))
+    every = wordlists.shares(totals, cohorts, _by_category(pairs.select(*ident, "year_at").unionByName(old)), ident=ident)
+    listed = every.groupBy(*ident, "year_at").agg(F.sum("share").alias("share"), F.count("share").alias("known"), F.max("n_words").alias("words"))  # a row per filing and list
+    then = listed.select(F.col("accession").alias("prev_accession"), "cik", "year_at", *[F.col(c).alias(f"prev_{c}") for c in ("share", "known", "words")])
+    both = pairs.join(listed, [*ident, "year_at"], "left").join(then, ["prev_accession", "cik", "year_at"], "left")
+    ratio = F.col("words") / F.col("prev_words")
+    whole = (F.col("known") == 2) & (F.col("prev_known") == 2) & (ratio <= MAX_RATIO) & (ratio >= 1 / MAX_RATIO)
+    return both.select(*ident, "prev_accession", ratio.alias("ratio"), F.when(whole, F.col("share") - F.col("prev_share")).alias("lm_change"))
 
 
 @catalog.query("lm_change", f"WITH {_CHANGE_CTES} SELECT accession, cik, prev_accession, round(ratio, 6) AS length_ratio, round(lm_change, 8) + 0.0 AS lm_change FROM lm_r")
