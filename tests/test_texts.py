@@ -178,6 +178,21 @@ def test_unknown_names_persons_and_places():
     assert masking.mask(text, [], [])[0] == text
 
 
+def test_finders(spark):
+    text = "Dr. Ada Lund left Zentech Paper Corp. at Oslo; The SEC asked Lund."
+    found = {(text[a:b], kind) for a, b, kind in masking.RuleFinder()(text)}
+    assert found == {("Ada Lund", "PERSON"), ("Zentech Paper Corp.", "ORG"), ("Oslo", "GPE")}
+    assert masking.mask(text, [], [], masking.RuleFinder())[0] == "Dr. [PERSON] left [ORGANIZATION] at Oslo; The SEC asked Lund."
+
+    class Entity:
+        start_char, end_char, label_ = 4, 12, "PERSON"
+
+    model = lambda text: type("Doc", (), {"ents": [Entity]})
+    assert masking.model_finder(lambda: model)(text) == [(4, 12, "PERSON")]
+    docs = spark.createDataFrame([("the mill ran and the Mill",)] * 5 + [("rare",)], "text string")
+    assert queries.common_words(docs, 2) == {"THE", "AND"} and queries.common_words(docs) == {"THE", "AND", "MILL", "RAN"}
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_marks_settle_by_precedence_length_and_place(seed):
     r = random.Random(seed)

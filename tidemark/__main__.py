@@ -24,7 +24,7 @@ STAGES = {
     "dictionary": ["lm_cohort_counts", "lm_shares"], "signals": ["prev_filing_asof", "lm_change", "signal_coverage", "missing_reasons"], "factors": ["factor_compound"],
     "backtest": ["backtest_panel", "long_short_monthly", "performance_summary", "factor_hac_1f", "factor_ols_hac"], "sanity": ["planted_sanity", "noise_sanity"], "llm-score": ["excerpt", "score_run", "scoring_report"], "llm-score-anonymized": ["memorization_cells"],
     "llm-signals": ["llm_change", "score_agreement"], "size": ["public_float", "asof_strict_size"], "robustness": ["variant_grid", "variant_verdicts", "long_short_value_weighted", "deflated_sharpe"],
-    "anonymize": ["registrant_identities", "excerpt_audit", "entity_mask", "mask_report"], "memorization": ["memorization_cells", "bootstrap_ci"], "report": ["growth_path", "monthly_ic"],
+    "anonymize": ["registrant_identities", "excerpt_audit", "entity_mask", "entity_mask_named", "planted_mask", "mask_report"], "memorization": ["memorization_cells", "bootstrap_ci"], "report": ["growth_path", "monthly_ic"],
 }
 
 

@@ -435,6 +435,45 @@ def entity_mask(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("masked", F.md5("masked"))
 
 
+def common_words(docs: DataFrame, most: int = 50_000) -> frozenset[str]:
+    """The ``most`` frequent words that stand in lower case, in upper case: what a language uses, whatever
+    the number of documents.  The driver reads them as a parameter of the masking."""
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[a-z]{2,}\b"), F.lit(0))).alias("w"))
+    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").orderBy(F.desc("n"), "w").limit(most)
+    return frozenset(r["w"].upper() for r in top.select("w").collect())
+
+
+@catalog.query("entity_mask_named")
+def entity_mask_named(spark: SparkSession, d: str) -> DataFrame:
+    """Every document masked with a finder of companies, persons and places and the collection's common words."""
+    docs = load_texts(pin(spark), d, "documents", "doc_id", "cik", "text").where("text IS NOT NULL")
+    out = masking.mask_documents(
+        docs.join(identities(spark, d), "cik", "left"), ident="doc_id", text="text", names="names", tickers="tickers", make_finder=masking.RuleFinder, common=common_words(docs)
+    )
+    return out.withColumn("masked", F.md5("masked"))
+
+
+@catalog.query(
+    "planted_mask",
+    r"""WITH f AS (SELECT accession, cik, min(company) AS company, min(date_filed) AS day FROM filings WHERE accession IS NOT NULL AND cik IS NOT NULL AND date_filed IS NOT NULL AND company IS NOT NULL GROUP BY ALL)
+SELECT accession, cik, 'The report of [COMPANY]' || regexp_extract(company, '(\s*(?:/[A-Z]{2,3}/?)?\s*)$', 1) || ' (NYSE: [TICKER]) of [DATE] covers [YEAR] and FY[YEAR]; [TICKER] rose.' AS masked, 1::BIGINT AS n_company, 2::BIGINT AS n_ticker, 1::BIGINT AS n_date, 2::BIGINT AS n_year, 0::BIGINT AS leaks FROM f""",
+)
+def planted_mask(spark: SparkSession, d: str) -> DataFrame:
+    """A sentence written for every filing with its company, ticker, date and years, masked: nothing of it
+    may show but the state tag behind a name."""
+    f = load(pin(spark), d, "filings").where("accession IS NOT NULL AND cik IS NOT NULL AND date_filed IS NOT NULL AND company IS NOT NULL")
+    f = f.groupBy("accession", "cik").agg(F.min("company").alias("company"), F.min("date_filed").alias("day"))
+    ticker = F.concat(F.lit("Q"), F.translate(F.substring(F.lpad(F.col("cik").cast("string"), 3, "0"), -3, 3), "0123456789", "ABCDEFGHIJ"))
+    text = F.format_string(
+        "The report of %s (NYSE: %s) of %s covers %s and FY%s; %s rose.", "company", ticker, F.date_format("day", "MMMM d, yyyy"), F.date_format("day", "yyyy"), F.date_format("day", "yy"), ticker
+    )
+    rows = f.select(F.struct("accession", "cik").alias("key"), text.alias("text"), F.array("company").alias("names"), F.array(ticker).alias("tickers"))
+    rows = rows.withColumn("key", F.to_json("key"))
+    out = masking.mask_documents(rows, ident="key", text="text", names="names", tickers="tickers")
+    key = F.from_json("key", "accession string, cik bigint")
+    return out.select(key.alias("k"), "*").select("k.accession", "k.cik", "masked", "n_company", "n_ticker", "n_date", "n_year", (F.col("leak_name") + F.col("leak_ticker") + F.col("leak_year")).alias("leaks"))
+
+
 @catalog.query("mask_report")
 def mask_report(spark: SparkSession, d: str) -> DataFrame:
     m = entity_mask(spark, d)
