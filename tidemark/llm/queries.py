@@ -35,8 +35,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("left_id").cast("bigint").alias("signal_id"), F.col("right_id").alias("accession")).distinct()
 
 
-def company_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(left_id review, right_id vendor, confidence) of all candidate pairs."""
+def companies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The review rows and the vendor's as (id, core, trade, form, state, symbol, tail, y0, y1)."""
     pin(spark)
     name = entity_match.parsed_name
     review = load(spark, sf_dir, "ticker_map_review").withColumn("n", name(F.col("company"))).select(
@@ -47,7 +47,41 @@ def company_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vendor_id").alias("id"), "n.core", "n.trade", "n.form", F.coalesce(F.lower("state"), F.col("n.state")).alias("state"), entity_match.symbol_form(F.col("symbol")).alias("symbol"),
         F.nullif(F.btrim("reg_tail"), F.lit("")).alias("tail"), F.col("first_year").alias("y0"), F.col("last_year").alias("y1"),
     )
-    return entity_match.match_entities(review, vendor)
+    return review, vendor
+
+
+def company_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(left_id review, right_id vendor, confidence) of all candidate pairs."""
+    return entity_match.match_entities(*companies(spark, sf_dir))
+
+
+_SYMBOL_SQL = r"replace(nullif(regexp_replace(regexp_replace(regexp_replace(upper(trim({}, ' ' || chr(9))), '^[A-Z]+:', ''), '[ /]US$', ''), '[-/ ]+', '.', 'g'), ''), '.', '')"
+
+
+@catalog.query(
+    "p3_blocks_kept",
+    f"""WITH r AS (SELECT DISTINCT review_id, {_SYMBOL_SQL.format('ticker')} AS symbol, lpad((cik % 10000)::VARCHAR, 4, '0') AS tail, year(valid_from) AS y FROM ticker_map_review WHERE review_id IS NOT NULL),
+v AS (SELECT DISTINCT vendor_id, {_SYMBOL_SQL.format('symbol')} AS symbol, nullif(trim(reg_tail), '') AS tail, first_year AS y FROM vendor_issuers WHERE vendor_id IS NOT NULL),
+p AS (SELECT DISTINCT review_id, vendor_id, 'symbol_tail' AS block FROM r JOIN v USING (symbol, tail) UNION SELECT DISTINCT review_id, vendor_id, 'symbol_year' FROM r JOIN v ON r.symbol = v.symbol AND abs(r.y - v.y) <= 2)
+SELECT block, count(*) AS pairs, count(*) AS met FROM p GROUP BY block""",
+)
+def p3_blocks_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that agree on symbol and tail, or on symbol and first year, counted by a plain join of these
+    attributes, and those of them that the blocks brought together: all."""
+    review, vendor = (stage(df.where("id IS NOT NULL").dropDuplicates(), "companies") for df in companies(spark, sf_dir))
+    forms = lambda df, p, *years: df.select(F.col("id").alias(f"{p}_id"), F.regexp_replace("symbol", "\\.", "").alias("symbol"), *years).distinct()
+    apart, pair = entity_match.YEARS_APART, lambda df, block: df.select("left_id", "right_id", F.lit(block).alias("block")).distinct()
+    near = F.explode(F.sequence(F.col("y0") - apart, F.col("y0") + apart)).alias("y0")
+    tails = pair(forms(review, "left", "tail").join(forms(vendor, "right", "tail"), ["symbol", "tail"]), "symbol_tail")
+    years = pair(forms(review, "left", near).join(forms(vendor, "right", F.col("y0").cast("int").alias("y0")), ["symbol", "y0"]), "symbol_year")
+    agree = tails.unionByName(years)
+    # the blocks take each id once, so ids that come in several forms are numbered first
+    sides = [df.withColumn("row", F.monotonically_increasing_id()) for df in (review, vendor)]
+    one, two = (stage(df, "numbered") for df in sides)
+    met = entity_match.candidates(one.drop("id").withColumnRenamed("row", "id"), two.drop("id").withColumnRenamed("row", "id"))
+    ids = lambda df, p: df.select(F.col("row").alias(f"{p}_id"), F.col("id").alias(p))
+    found = met.join(ids(one, "left"), "left_id").join(ids(two, "right"), "right_id").select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.lit(1).alias("met")).distinct()
+    return agree.join(found, ["left_id", "right_id"], "left").groupBy("block").agg(F.count(F.lit(1)).alias("pairs"), F.count("met").alias("met"))
 
 
 @catalog.query("p3_found")
