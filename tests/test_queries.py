@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle_check
+from tests.conftest import hollow
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -42,3 +43,12 @@ def test_entry(spark):
 def test_nothing_outside_imports_the_llm_package():
     root = Path(entry.__file__).parent / "tidemark"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "tidemark.llm" in p.read_text()]
+
+
+@needs_data
+@pytest.mark.parametrize("rows", [0, 3])
+def test_empty_tables_and_tables_of_nulls(spark, tmp_path, rows):
+    """The dealt problems and the readers of published formats find nothing there, and do not fail."""
+    d = hollow(Path(DATA), tmp_path / "d", rows)
+    for name in ("p1_found", "p2_found", "p2_pruning", "p5_found", "p6_found", "p7_found", "listed_tickers", "index_parse", "public_float", "long_short_monthly", "entity_resolution"):
+        assert entry.queries()[name](spark, d).collect() == [], name

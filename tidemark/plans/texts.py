@@ -536,7 +536,7 @@ def public_float(spark: SparkSession, d: str) -> DataFrame:
 def listed_tickers(spark: SparkSession, d: str) -> DataFrame:
     """A published file of numbered rows, written from the nations (25 by definition) and read back."""
     row = F.struct(F.col("n_nationkey").cast("string").alias("key"), F.struct(F.col("n_regionkey").alias("cik_str"), F.lower("n_name").alias("ticker"), F.col("n_name").alias("title")).alias("value"))
-    raw = load(pin(spark), d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(row))).alias("json"))
+    raw = load(pin(spark), d, "nation").where("n_nationkey IS NOT NULL").agg(F.to_json(F.map_from_entries(F.collect_list(row))).alias("json"))
     return parsers.listed_tickers(raw).select("ticker", "cik", "rank")
 
 
