@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle_check
+from tests.conftest import hollow
 from tidemark.llm.queries import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -24,3 +25,10 @@ def test_query(spark, name):
         cur = con.execute(catalog.sql[name])
         cols = [d[0] for d in cur.description]
         assert oracle_check.bag(df.columns, rows) == oracle_check.bag(cols, cur.fetchall())
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_empty_tables_and_tables_of_nulls(spark, tmp_path, rows):
+    d = hollow(Path(DATA), tmp_path / "d", rows)
+    for name in catalog.queries:
+        assert catalog.queries[name](spark, d).collect() == [], name
