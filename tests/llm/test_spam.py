@@ -131,12 +131,12 @@ def labelled(r, spammy):
     return block if want == 1500 else f"{prose}\n{block}"
 
 
-def test_thresholds_part_held_out_pages():
-    """Fitted on one half of the generated pages, the thresholds judge the other half."""
+def test_thresholds_come_near_the_best_on_generated_pages():
+    """The thresholds, set by hand, against the best of a grid on one half, and on the other half."""
     r = random.Random(21)
     pages = [(spam.page_measures(labelled(r, kind)), kind) for _ in range(300) for kind in (True, False)]
     right = lambda part, c, m: sum((p[0] < c and p[1] >= m) == kind for p, kind in part) / len(part)
     fit, held = pages[:300], pages[300:]
     best = max(right(fit, c / 50, m / 50) for c in range(5, 40) for m in range(2, 30))
-    assert right(fit, spam.MAX_CLAUSE, spam.MIN_REPEATED) >= best - 0.02
+    assert right(fit, spam.MAX_CLAUSE, spam.MIN_REPEATED) >= best - 0.01
     assert right(held, spam.MAX_CLAUSE, spam.MIN_REPEATED) >= 0.97
